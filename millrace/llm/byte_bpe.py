@@ -26,6 +26,7 @@ from millrace.llm.words import row_slices
 #: Distinct pre-tokens a worker remembers, and the longest that it does; results do not depend on either.
 MEMORY = 300_000
 LONGEST_KEPT = 64
+_STEP, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,13 +56,12 @@ class PerfectHash:
                 alone += [b] * len(members[b])
                 continue
             h = np.array([hashed[i] for i in members[b]], np.uint64)
-            first, step = self._places(h)
-            if len(np.unique((first << np.uint64(32)) | step)) < len(h):
+            if len(np.unique(h)) < len(h):
                 raise ValueError("two keys share a hash")
             d = 0
             while True:
                 tries = np.arange(d, d + 256, dtype=np.uint64)[:, None]
-                at = ((first + tries * step) % np.uint64(n)).astype(np.int64)
+                at = self._places(h, tries)
                 good = free[at].all(axis=1)
                 if good.any():
                     for k in np.flatnonzero(good):
@@ -80,9 +80,10 @@ class PerfectHash:
             self.move[b] = -1 - slot
             self.slots[slot] = keys[members[b][0]]
 
-    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = np.uint64(max(1, self.n))
-        return (h >> np.uint64(32)) % n, (h & np.uint64(0xFFFFFFFF)) % max(n - np.uint64(1), np.uint64(1)) + np.uint64(1)
+    def _places(self, h: np.ndarray, move: np.ndarray) -> np.ndarray:
+        x = h + move * np.uint64(_STEP)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(_MIX)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.n)).astype(np.int64)
 
     def find(self, key: bytes) -> int:
         """The key's slot, or -1 for a stranger."""
@@ -90,7 +91,12 @@ class PerfectHash:
             return -1
         h = xxhash.xxh3_64_intdigest(key)
         move = self.move[h % self.buckets]
-        slot = -1 - move if move < 0 else ((h >> 32) % self.n + move * ((h & 0xFFFFFFFF) % max(self.n - 1, 1) + 1)) % self.n
+        if move < 0:
+            slot = -1 - move
+        else:
+            x = (h + move * _STEP) & _MASK
+            x = ((x ^ (x >> 32)) * _MIX) & _MASK
+            slot = (x ^ (x >> 29)) % self.n
         return slot if self.slots[slot] == key else -1
 
 

@@ -4,21 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.byte_bpe import round_trip
+from millrace.llm.difference_cover import without_repeats
 from millrace.llm.hyperminhash import near_duplicates
+from millrace.llm.robust_outliers import quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir)).drop("lang", "source")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_documents(spark, sf_dir))
+
+
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_robust_outliers": op5_robust_outliers,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_difference_cover": op7_difference_cover,
         "op9_hyperminhash": op9_hyperminhash,
     }
 
@@ -30,6 +49,16 @@ _LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLM
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_difference_cover": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+            s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+            m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS n FROM s) WHERE n > 1),
+            c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM m),
+            l AS (SELECT r, list(p) AS gone FROM c GROUP BY r),
+            t AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, w, gone FROM d LEFT JOIN l USING (r)),
+            k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) u ANTI JOIN c USING (r, p) GROUP BY r)
+            SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+        """,
         "op9_hyperminhash": f"""
             WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
             s AS (
