@@ -11,12 +11,22 @@ from millrace.llm.byte_bpe import round_trip
 from millrace.llm.difference_cover import without_repeats
 from millrace.llm.hyperminhash import near_duplicates
 from millrace.llm.robust_outliers import quality_rules
+from millrace.llm.secret_forest import report
+from millrace.llm.template_windows import contaminated
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(_documents(spark, sf_dir))
+
+
+def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).drop("lang", "source")
 
@@ -35,6 +45,8 @@ def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_forest": op1_secret_forest,
+        "op10_template_windows": op10_template_windows,
         "op5_robust_outliers": op5_robust_outliers,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_difference_cover": op7_difference_cover,
