@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.byte_bpe import round_trip
 from millrace.llm.difference_cover import without_repeats
 from millrace.llm.hyperminhash import near_duplicates
+from millrace.llm.licence_sentences import licences
+from millrace.llm.pseudo_likelihood import score
+from millrace.llm.quote_links import reply_order
+from millrace.llm.repair_grammar import read, write
 from millrace.llm.robust_outliers import quality_rules
 from millrace.llm.secret_forest import report
 from millrace.llm.template_windows import contaminated
@@ -27,6 +31,22 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_order(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op3_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences(_documents(spark, sf_dir))
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_documents(spark, sf_dir))
+
+
+def op8_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).drop("lang", "source")
 
@@ -47,6 +67,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_forest": op1_secret_forest,
         "op10_template_windows": op10_template_windows,
+        "op2_quote_links": op2_quote_links,
+        "op3_licence_sentences": op3_licence_sentences,
+        "op4_pseudo_likelihood": op4_pseudo_likelihood,
+        "op8_repair_grammar": op8_repair_grammar,
         "op5_robust_outliers": op5_robust_outliers,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_difference_cover": op7_difference_cover,
