@@ -47,7 +47,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         "doc_id", "lang", "source",
         F.expr(f"array_remove(split(text, '{_SPACE}'), '')").alias("words"),
         F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
-        F.expr(r"char_length(translate(text, ' \t\n\u000b\f\r', ''))").cast("long").alias("word_chars"),
+        F.expr(r"char_length(translate(text, ' \t\n\u000b\u000c\r', ''))").cast("long").alias("word_chars"),
         F.expr("char_length(text) - char_length(translate(text, '#*$%&|<>', ''))").cast("long").alias("n_symbols"),
     )
     # Hashes of the three-word windows, then (hash, place) in order: neighbours with one hash are repeated.
