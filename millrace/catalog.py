@@ -5,13 +5,136 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import normalise as N
+from millrace.operators import rules as R
+from millrace.sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def order_item_rules(spark, sf_dir):
+    return R.order_item_rules(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem"))
+
+
+def sum_field(spark, sf_dir):
+    return R.sum_field(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem"))
+
+
+def normalize_date(spark, sf_dir):
+    day = F.col("o_orderdate")
+    printed = F.expr("CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'yyyy. M. d') WHEN 2 THEN date_format(o_orderdate, 'yyyyMMdd') ELSE date_format(o_orderdate, 'yyMMdd') END")
+    printed = F.when(F.col("o_orderkey") % 5 == 0, F.replace(printed, F.lit("0"), F.lit("O"))).otherwise(printed)
+    printed = F.when(F.col("o_orderkey") % 11 == 0, F.lit("2023.02.30")).otherwise(printed)
+    return _t(spark, sf_dir, "orders").where(day.isNotNull()).select("o_orderkey", N.date(printed).alias("day"))
+
+
+def normalize_amount(spark, sf_dir):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    sign = F.when(key % 7 == 0, "△").otherwise("")
+    printed = F.when(key % 3 == 0, F.format_number(F.floor(price), 0)).otherwise(F.format_number(price, 2))
+    printed = F.when((key % 5 == 0), F.translate(printed, "01", "OI")).otherwise(printed)
+    printed = F.when(key % 13 == 0, F.lit("원")).otherwise(F.concat(F.when(printed.rlike(r"^\d"), sign).otherwise(""), printed, F.lit("원")))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", N.amount(printed).alias("amount"))
+
+
+def normalize_code(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    printed = F.concat(F.lit("m"), F.lpad(key, 5, "0"), F.lit(".9 / 020.9, M"), F.lpad(key, 5, "0"), F.lit(".9"))
+    return _t(spark, sf_dir, "part").select("p_partkey", N.disease_codes(printed).alias("codes"))
+
+
+def normalize_idnum(spark, sf_dir):
+    key = F.lpad(F.col("c_custkey").cast("string"), 6, "8")
+    return _t(spark, sf_dir, "customer").select("c_custkey", N.identity_number(F.concat(key, F.lit(" - 1"), F.when(F.col("c_custkey") % 2 == 0, "234567").otherwise(""))).alias("idnum"))
+
+
+def dictionary_lookup(spark, sf_dir):
+    names = _t(spark, sf_dir, "part").select(N.dictionary_key(F.concat(F.lit("kk."), F.col("p_partkey").cast("string"))).alias("code"), "p_name")
+    cells = _t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_cells"))
+    return cells.withColumn("code", N.dictionary_key(F.concat(F.lit(" KK-"), F.col("l_partkey").cast("string")))).join(names, "code", "left").select("code", "p_name", "n_cells")
+
+
+def dispute_cells(spark, sf_dir):
+    own = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    mark = F.col("o_orderkey") % 11
+    other = own.where(mark != 3).withColumn("o_orderstatus", F.when(mark == 5, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    return R.disputes(own, other, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+def latest_status(spark, sf_dir):
+    return R.latest(_t(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+def json_extract(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+def score_grouping_sets(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", (F.col("n_chars") > 1000).cast("int").alias("prediction"))
+    return R.score_grouping_sets(docs.join(_t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), ["lang", "source"])
+
+
+def content_dedup(spark, sf_dir):
+    return R.content_groups(_t(spark, sf_dir, "documents"))
+
+
+def evidence_exact(spark, sf_dir):
+    return R.exact_evidence(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def text_blocks(spark, sf_dir):
+    return T.text_blocks(_t(spark, sf_dir, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+def html_blocks(spark, sf_dir):
+    return T.html_headings(_t(spark, sf_dir, "pages"))
+
+
+_QUERIES = (order_item_rules, sum_field, normalize_date, normalize_amount, normalize_code, normalize_idnum, dictionary_lookup, dispute_cells, latest_status, json_extract, score_grouping_sets, content_dedup, evidence_exact, text_blocks, html_blocks)
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "order_item_rules": """
+            SELECT 'DATE.ORDER' AS rule, count(*) AS n_flags FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate::date < o_orderdate::date
+            UNION ALL SELECT 'MISSING.REQUIRED', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
+        "sum_field": """
+            SELECT o_orderkey, o_totalprice::decimal(18,2)::double AS total, parts::double AS parts, n_parts FROM orders
+            JOIN (SELECT l_orderkey, sum(l_extendedprice::decimal(18,2)) AS parts, count(*) AS n_parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+            WHERE n_parts >= 2 AND abs(o_totalprice::decimal(18,2) - parts) >= 100""",
+        "normalize_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y%m%d') END AS day FROM orders WHERE o_orderdate IS NOT NULL",
+        "normalize_amount": """
+            SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN
+                (CASE WHEN o_orderkey % 7 = 0 AND NOT (o_orderkey % 5 = 0 AND left(floor(p)::bigint::varchar, 1) IN ('0', '1')) THEN '-' ELSE '' END)
+                || CASE WHEN o_orderkey % 3 = 0 THEN floor(p)::bigint::varchar ELSE regexp_replace(p::varchar, '\\.?0*$', '') END END AS amount
+            FROM (SELECT o_orderkey, o_totalprice::decimal(18,2) AS p FROM orders)""",
+        "normalize_code": "SELECT p_partkey, 'M' || lpad(p_partkey::varchar, 5, '0') || '9, D209' AS codes FROM part",
+        "normalize_idnum": "SELECT c_custkey, lpad(c_custkey::varchar, 6, '8') || '-1' || CASE WHEN c_custkey % 2 = 0 THEN '234567' ELSE '******' END AS idnum FROM customer",
+        "dictionary_lookup": "SELECT 'KK' || l_partkey AS code, p_name, count(*) AS n_cells FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2",
+        "dispute_cells": """
+            SELECT o_orderkey, 'missing' AS kind, c AS "column", CASE c WHEN 'o_orderstatus' THEN o_orderstatus ELSE o_orderpriority END AS own, NULL::varchar AS other
+            FROM orders, (VALUES ('o_orderstatus'), ('o_orderpriority')) v(c) WHERE o_orderkey % 11 = 3
+            UNION ALL SELECT o_orderkey, 'differs', 'o_orderstatus', o_orderstatus, 'X' FROM orders WHERE o_orderkey % 11 = 5""",
+        "latest_status": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_events FROM events GROUP BY user_id",
+        "json_extract": "SELECT event_id, (props::json->>'k')::bigint AS k FROM events",
+        "score_grouping_sets": """
+            SELECT lang, source, sum((quality = (n_chars > 1000)::int)::int)::bigint AS n_hit, count(*) AS n_total
+            FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())""",
+        "content_dedup": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
+        "evidence_exact": r"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\x20\x09-\x0D]+')) >= 6",
+        "text_blocks": r"""
+            SELECT doc_id, line_no, text FROM (
+                SELECT doc_id, unnest(range(len(l))) AS line_no, regexp_replace(unnest(l), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text
+                FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE text <> ''""",
+        "html_blocks": "SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '(?i)<li[ >]')) AS n_li FROM pages",
+    }

@@ -1,0 +1,84 @@
+"""Normalisers of printed values as Column expressions; every one gives null for null or unusable input."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Characters that readers of print confuse with digits.
+MISREAD_FROM, MISREAD_TO = "Il|/OoㅇBb", "111100086"
+#: Strings that stand for an empty cell.
+EMPTY = ("", "[]", "{}", "none", "null", "nan", "-", "n/a")
+
+
+def _none_if(value: Column, bad: Column) -> Column:
+    return F.when(~bad, value)
+
+
+def present(value: Column) -> Column:
+    """The trimmed value, null where it stands for an empty cell."""
+    text = F.trim(F.replace(value, F.lit("[UNK]"), F.lit(" ")))
+    return _none_if(text, F.lower(text).isin(*EMPTY))
+
+
+def dates(value: Column) -> Column:
+    """All distinct calendar dates of a text as yyyyMMdd, in order; two-digit years from 50 on are 19yy."""
+    text = F.regexp_replace(value, r"(?<=\d[OoIl]{0,9})[Oo]|[Oo](?=[OoIl]*\d)", "0")
+    text = F.regexp_replace(text, r"(?<=\d[Il]{0,9})[Il]|[Il](?=[Il]*\d)", "1")
+    pattern = r"(?<!\d)(?:\d{4}|\d{2})\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}|(?<!\d)\d{8}(?!\d)|(?<!\d)\d{6}(?!\d)"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def parsed(x: Column) -> Column:
+        parts = F.split(x, r"\D+")
+        n = F.length(parts[0])
+        single = F.size(parts) == 1
+        year = F.when(single, F.substring(x, 1, n - 4)).otherwise(parts[0])
+        month = F.when(single, F.substring(x, n - 3, F.lit(2))).otherwise(F.get(parts, F.lit(1)))
+        day = F.when(single, F.substring(x, n - 1, F.lit(2))).otherwise(F.get(parts, F.lit(2)))
+        full = F.when(F.length(year) == 4, year).when(year >= "50", F.concat(F.lit("19"), year)).otherwise(F.concat(F.lit("20"), year))
+        return F.date_format(F.try_to_date(F.concat_ws("-", full, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"), "yyyyMMdd")
+
+    return F.array_distinct(F.filter(F.transform(found, parsed), lambda x: x.isNotNull()))
+
+
+def date(value: Column) -> Column:
+    return F.get(dates(value), F.lit(0))
+
+
+def amount(value: Column) -> Column:
+    """Digits of an amount of money: thousands marks go, one or two decimals stay, a leading minus or △ stays."""
+    digits = F.regexp_replace(F.translate(F.replace(value, F.lit("이"), F.lit("0")), MISREAD_FROM, MISREAD_TO), r"[^\d.]", "")
+    decimal = digits.rlike(r"^\d+\.\d{1,2}$")
+    whole = F.when(decimal, F.regexp_extract(digits, r"^(\d+)", 1)).otherwise(F.replace(digits, F.lit("."), F.lit("")))
+    fraction = F.when(decimal, F.regexp_extract(digits, r"\.(\d*?)0*$", 1)).otherwise(F.lit(""))
+    plain = F.regexp_replace(whole, r"^0+(?=\d)", "")
+    number = F.when(fraction != "", F.concat(plain, F.lit("."), fraction)).otherwise(plain)
+    signed = F.when(value.rlike(r"^\s*[-−△]\s*\d") & (number != "0"), F.concat(F.lit("-"), number)).otherwise(number)
+    return _none_if(signed, whole == "")
+
+
+def identity_number(value: Column) -> Column:
+    """Six digits, a hyphen and seven more; hidden digits are stars."""
+    text = F.regexp_replace(value, r"[^\d*]", "")
+    tail = F.regexp_extract(text, r"^\d{6}([\d*]{0,7})", 1)
+    head = F.substring(text, 1, 6)
+    return F.when(text.rlike(r"^\d{6}"), F.when(tail != "", F.concat(head, F.lit("-"), F.rpad(tail, 7, "*"))).otherwise(head))
+
+
+def disease_codes(value: Column) -> Column:
+    """Letter-and-digit codes without dots, distinct, joined by comma and space; a first 0 is D, a first 1 is I."""
+    found = F.regexp_extract_all(F.replace(value, F.lit(" "), F.lit("")), F.lit(r"[A-Za-z01][0-9]{2,5}(?:\.[0-9]{1,2})?"), F.lit(0))
+    fixed = F.transform(found, lambda x: F.replace(F.concat(F.upper(F.translate(F.substring(x, 1, 1), "01", "DI")), F.substring(x, 2, 99)), F.lit("."), F.lit("")))
+    joined = F.array_join(F.array_distinct(fixed), ", ")
+    return _none_if(joined, joined == "")
+
+
+def dictionary_key(value: Column) -> Column:
+    return F.upper(F.regexp_replace(value, r"[\s.\-_]+", ""))
+
+
+def html_rows(value: Column) -> Column:
+    """Rows of table cells as nested arrays, tags and surplus space removed."""
+    rows = F.regexp_extract_all(value, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+    cell = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), cell))
