@@ -2,8 +2,9 @@
 
 A document's distinct five-word shingles are hashed once. The top bits choose one of 256 registers; a
 register keeps, of the smallest remaining hash, the leading-zero count and ten mantissa bits (16 bits
-together). Empty registers borrow from a register drawn by a fixed hash sequence, so each register
-agrees for two sets with a probability equal to their Jaccard similarity, however small the sets are.
+together). A register that no shingle fell into is filled from all shingles under a hash of its own, so
+each register agrees for two sets with a probability equal to their Jaccard similarity, however small
+the sets are, and the registers of small sets still come from different shingles.
 
 51 bands of five registers make bucket keys: a pair at similarity 0.75 shares no bucket with a
 probability of about 1e-6. In a bucket every member is first held against the smallest one only;
@@ -36,7 +37,7 @@ BANDS = REGISTERS // BAND_ROWS
 #: Six standard deviations of a 256-register estimate below the threshold of 0.75.
 ESTIMATE_SLACK = 0.165
 _EMPTY = np.uint16(0xFFFF)
-_DRAWS = 4096
+_FLIP, _SPREAD = codes(REGISTERS, 41), codes(REGISTERS, 43)
 _NO_ID = 1 << 62
 
 
@@ -49,37 +50,27 @@ def shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(found if size == SHINGLE else mix(found + np.uint64(size)))
 
 
+def _compress(rest: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa of 53-bit hashes, in 16 bits."""
+    rest = rest.astype(np.float64)
+    fraction, exponent = np.frexp(rest)
+    zeros = np.where(rest > 0, 53 - exponent, 53)
+    mantissa = np.where(rest > 0, (fraction * 2 - 1) * (1 << MANTISSA_BITS), 0)
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA_BITS)) | mantissa.astype(np.uint16)
+
+
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The 256 registers of one sorted shingle set; 0xFFFF marks an empty register."""
+    """The 256 registers of one sorted shingle set; 0xFFFF throughout where it is empty."""
     out = np.full(REGISTERS, _EMPTY, np.uint16)
     if len(shingles):
         index = (shingles >> np.uint64(56)).astype(np.int64)
         first = np.flatnonzero(np.diff(index, prepend=-1))
-        rest = ((shingles[first] << np.uint64(8)) >> np.uint64(11)).astype(np.float64)
-        fraction, exponent = np.frexp(rest)
-        zeros = np.where(rest > 0, 53 - exponent, 53)
-        mantissa = np.where(rest > 0, (fraction * 2 - 1) * (1 << MANTISSA_BITS), 0)
-        out[index[first]] = (zeros.astype(np.uint16) << np.uint16(MANTISSA_BITS)) | mantissa.astype(np.uint16)
-    return out
-
-
-def _draw_table() -> np.ndarray:
-    return (codes(_DRAWS * REGISTERS, 23) >> np.uint64(40)).astype(np.uint8).reshape(_DRAWS, REGISTERS)
-
-
-def densify(matrix: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Fill empty registers of each row that has any filled one."""
-    out = matrix.copy()
-    row, column = np.nonzero((matrix == _EMPTY) & (matrix != _EMPTY).any(axis=1)[:, None])
-    for draw in draws:
-        if not len(row):
-            break
-        value = matrix[row, draw[column]]
-        out[row, column] = value
-        left = value == _EMPTY
-        row, column = row[left], column[left]
-    for r in np.unique(row):
-        out[r][out[r] == _EMPTY] = matrix[r][matrix[r] != _EMPTY][0]
+        out[index[first]] = _compress((shingles[first] << np.uint64(8)) >> np.uint64(11))
+        holes = np.flatnonzero(out == _EMPTY)
+        if len(holes):
+            # The more shingles, the fewer holes: at most about 24,000 products for any set.
+            least = ((shingles[:, None] ^ _FLIP[holes]) * _SPREAD[holes]).min(axis=0)
+            out[holes] = _compress(least >> np.uint64(11))
     return out
 
 
@@ -94,7 +85,6 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    draws = _draw_table()
     for whole in batches:
         for batch in row_slices(whole, "text"):
             data, at = text_buffer(batch.column("text"))
@@ -108,9 +98,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(found):
                     matrix[i] = registers(found)
                     digest[i] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-            sketch = densify(matrix, draws)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "id", "t")] + [pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                [batch.column(c) for c in ("doc_id", "id", "t")] + [pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([x.tobytes() for x in matrix], pa.binary())],
                 ["doc_id", "id", "t", "n_shingles", "s1", "s2", "sketch"],
             )
 
@@ -130,27 +119,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(node), pa.array(size)], ["key", "node", "n_shingles"])
 
 
-def _verifier(percent: int):
+def _plausible(percent: int):
+    """Pairs whose estimate is not clearly below the threshold."""
     low = percent / 100 - ESTIMATE_SLACK
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)
+            keep = [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) >= low for x, y in rows]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 keep = []
-                sets = []
-                for side in "ab":
-                    data, at = text_buffer(batch.column(f"text_{side}"))
-                    sets.append((*hash_words(data, at, lower=True), batch.column(f"sketch_{side}").to_pylist()))
-                (ha, fa, ra), (hb, fb, rb) = sets
+                (ha, fa), (hb, fb) = (hash_words(*text_buffer(batch.column(f"text_{side}")), lower=True) for side in "ab")
                 for i in range(batch.num_rows):
-                    if estimate(np.frombuffer(ra[i], np.uint16), np.frombuffer(rb[i], np.uint16)) < low:
-                        keep.append(False)
-                        continue
                     x, y = shingle_set(ha[fa[i] : fa[i + 1]]), shingle_set(hb[fb[i] : fb[i + 1]])
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return verify
 
@@ -181,18 +174,18 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     members = cut(bands.join(shared.select("key", "leader"), "key"))
 
     # A class's text is that of its row with the smallest id; several such rows hold the same text.
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "t", "sketch")
-    with_text = through_table(
-        docs.select("id", "t", "text").join(wanted, ["id", "t"])
-        .groupBy(F.col("id").alias("node")).agg(F.first("sketch").alias("sketch"), F.first("text").alias("text")),
-        "texts",
-    )
-    verify = _verifier(percent)
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "t")
+    with_text = docs.select("id", "t", "text").join(wanted, ["id", "t"]).groupBy(F.col("id").alias("node")).agg(F.first("text").alias("text"))
+    with_text = through_table(with_text, "texts")
+    plausible, verify = _plausible(percent), _verifier(percent)
 
     def links(pairs: DataFrame) -> DataFrame:
-        left = with_text.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("text").alias("text_a"))
-        right = with_text.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
+        """Pairs by their sketches alone first; only those that may pass carry their texts."""
+        for of, column, judge in ((classes, "sketch", plausible), (with_text, "text", verify)):
+            left = of.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a"))
+            right = of.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
+            pairs = pairs.join(left, "a").join(right, "b").mapInArrow(judge, "a long, b long")
+        return pairs
 
     def sizes_fit(x: str, y: str):
         return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
