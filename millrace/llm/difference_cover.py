@@ -68,8 +68,7 @@ def _anchors(length: int):
                 anchor = window_hashes(hashes, position + first[row], width)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), batch.column("k1").take(take), batch.column("k2").take(take), pa.array(position.astype(np.int32))],
-                    ["h", "k1", "k2", "position"],
+                    [pa.array(anchor.view(np.int64)), batch.column("k1").take(take), pa.array(position.astype(np.int32))], ["h", "k1", "position"]
                 )
 
     return run
@@ -84,10 +83,11 @@ def _windows(length: int):
                 at = [candidate_windows(int(first[i + 1] - first[i]), np.asarray(anchors[i], np.int64), length) for i in range(batch.num_rows)]
                 row = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
                 position = np.concatenate(at)
-                sums = [window_hashes(hashes, position + first[row], length, seed) for seed in (13, 17)]
+                sums = [window_hashes(hashes, position + first[row], length, seed).view(np.int64) for seed in (13, 17)]
+                sums[1] = sums[1].astype(np.int32)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in sums] + [batch.column("k1").take(take), batch.column("k2").take(take), pa.array(position.astype(np.int32))],
+                    [pa.array(x) for x in sums] + [batch.column("k1").take(take), batch.column("k2").take(take), pa.array(position.astype(np.int32))],
                     ["h1", "h2", "k1", "k2", "position"],
                 )
 
@@ -126,24 +126,28 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
 
 
 def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, n_removed, kept_text) for each distinct text that loses words; see `without_repeats`."""
+    """(k1, k2, n_removed, kept_text) for each distinct text that loses words; see `without_repeats`.
+
+    Texts and windows are known by 96 bits each. Anchors go by the first 64 of their text: two texts that
+    share those merely have each other's anchors tried as well.
+    """
     if length <= PERIOD:
         raise ValueError(f"windows must be longer than {PERIOD} words")
     docs = _keyed(documents).where("text is not null").select("k1", "k2", "text")
-    anchors = docs.mapInArrow(_anchors(length), "h long, k1 long, k2 long, position int")
+    anchors = docs.mapInArrow(_anchors(length), "h long, k1 long, position int")
     often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = anchors.join(often, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("position").alias("anchors"))
-    hit = through_table(docs.join(found, ["k1", "k2"]), "anchored")
+    found = anchors.join(often, "h", "left_semi").groupBy("k1").agg(F.collect_set("position").alias("anchors"))
+    hit = through_table(docs.join(found, "k1"), "anchored")
 
-    windows = through_table(hit.mapInArrow(_windows(length), "h1 long, h2 long, k1 long, k2 long, position int"), "windows")
+    windows = through_table(hit.mapInArrow(_windows(length), "h1 long, h2 int, k1 long, k2 int, position int"), "windows")
     often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     starts = windows.join(often, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("position").alias("starts"))
     texts = hit.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    return texts.join(starts, ["k1", "k2"]).mapInArrow(_cut(length), "k1 long, k2 long, n_removed long, kept_text string")
+    return texts.join(starts, ["k1", "k2"]).mapInArrow(_cut(length), "k1 long, k2 int, n_removed long, kept_text string")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -157,7 +161,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     ignored.
     """
     lost = repeated_passages(documents, length).select("k1", "k2", "n_removed", F.sha2("kept_text", 256).alias("kept"))
-    whole = _keyed(documents).select("doc_id", "k1", "k2", "text").mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, whole_sha256 string")
+    whole = _keyed(documents).select("doc_id", "k1", "k2", "text").mapInArrow(_whole, "doc_id long, k1 long, k2 int, n_words long, whole_sha256 string")
     return whole.join(lost, ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "whole_sha256").alias("kept_sha256")
     )
