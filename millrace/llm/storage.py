@@ -34,5 +34,5 @@ def cut(df: DataFrame) -> DataFrame:
 def through_table(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
