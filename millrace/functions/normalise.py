@@ -82,3 +82,60 @@ def html_rows(value: Column) -> Column:
     rows = F.regexp_extract_all(value, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
     cell = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
     return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1)), cell))
+
+
+def label_key(value: Column) -> Column:
+    """A label without white space, colons, brackets, dots, bars and hyphens."""
+    return F.regexp_replace(value, r"[\s:：()\[\]._|\-]+", "")
+
+
+def text(value: Column) -> Column:
+    """White space collapsed; null without a letter or digit."""
+    squeezed = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return F.when(squeezed.rlike(r"[0-9A-Za-z가-힣]"), squeezed)
+
+
+def money(value: Column) -> Column:
+    """Whole units of an amount, cut towards zero."""
+    return amount(value).try_cast("double").cast("long")
+
+
+def tick(value: Column) -> Column:
+    """Y for a ticked box, N for an empty one, else null."""
+    return F.when(value.rlike(r"^\s*[☑☒■✓✔Vv○●YyOo]"), "Y").when(value.rlike(r"^\s*[☐□NnXx]"), "N")
+
+
+def page_numbers(value: Column, total: Column) -> Column:
+    """Pages of a range like 1-3,5 in order, without those beyond `total`; null where the range is not well formed."""
+    parts = F.transform(F.split(value, ","), lambda p: F.split(F.trim(p), "-"))
+    each = F.transform(parts, lambda p: F.struct(p[0].try_cast("int").alias("a"), F.coalesce(F.get(p, F.lit(1)), p[0]).try_cast("int").alias("b")))
+    pages = F.flatten(F.transform(each, lambda e: F.when(e["a"] <= e["b"], F.sequence(e["a"], F.least(e["b"], F.greatest(e["a"], total)))).otherwise(F.array().cast("array<int>"))))
+    return F.when(value.rlike(r"^\s*\d{1,6}(-\d{1,6})?(\s*,\s*\d{1,6}(-\d{1,6})?)*\s*$"), F.array_sort(F.array_distinct(F.filter(pages, lambda x: (x >= 1) & (x <= total)))))
+
+
+def is_total(name: Column) -> Column:
+    """Whether a row's name marks a sum."""
+    return F.coalesce(label_key(name).rlike("(?i)^(합계|총계|소계|계|total|subtotal|sum)$"), F.lit(False))
+
+
+def several_amounts(value: Column) -> Column:
+    """Whether a cell holds more than one amount."""
+    return F.coalesce(value.rlike(r"\d[\d,]*\s+\d"), F.lit(False))
+
+
+def same_text(a: Column, b: Column, least: int = 4) -> Column:
+    """Texts equal up to case and punctuation, or one within the other where the shorter has `least` characters."""
+    x, y = (F.lower(F.regexp_replace(F.coalesce(v, F.lit("")), r"[^\p{L}\p{N}]+", "")) for v in (a, b))
+    return (x == y) | ((F.least(F.length(x), F.length(y)) >= least) & (F.contains(x, y) | F.contains(y, x)))
+
+
+def misread_distance(a: Column, b: Column) -> Column:
+    """Places at which two texts of one length differ; null for other lengths."""
+    places = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
+    return F.when(F.length(a) == F.length(b), F.aggregate(places, F.lit(0), lambda s, x: s + x).cast("long"))
+
+
+def markdown_row(cells: Column) -> Column:
+    """A Markdown table row; bars are escaped, line ends become spaces."""
+    clean = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|")))
+    return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))

@@ -3,6 +3,8 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from millrace import catalog
 from millrace.functions import normalise as N
 
@@ -32,6 +34,9 @@ CASES = [
     (N.amount, "I2,3OO", "12300"), (N.amount, "B00", "800"), (N.amount, "954.5", "954.5"), (N.amount, "19160.0", "19160"), (N.amount, "1.234", "1234"),
     (N.amount, "△1,200", "-1200"), (N.amount, "-0", "0"), (N.amount, "-", None), (N.amount, None, None),
     (N.identity_number, "880101 - 1234567", "880101-1234567"), (N.identity_number, "abc", None), (N.disease_codes, "020.9", "D209"), (N.disease_codes, "163", "I63"),
+    (N.label_key, "성 명: [x]", "성명x"), (N.text, " a \n b ", "a b"), (N.text, "--", None), (N.money, "△1,234.5", -1234), (N.tick, "☑", "Y"), (N.tick, "□", "N"), (N.tick, None, None),
+    (N.is_total, "합 계:", True), (N.is_total, None, False), (N.several_amounts, "1,200 300", True), (N.several_amounts, "1,200", False),
+    (lambda v: N.page_numbers(v, F.lit(6)), "5,1-3, 9", [1, 2, 3, 5]), (lambda v: N.page_numbers(v, F.lit(6)), "1-", None), (lambda v: N.page_numbers(v, F.lit(6)), "3-2", []),
     (N.present, "n/a", None), (N.present, " x ", "x"), (N.dictionary_key, "kk-05.4", "KK054"),
 ]
 
