@@ -1,13 +1,16 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers become one placeholder, capitalised words inside sentences (names) another, units after a number
-a third; everything else is lower-cased and stripped of punctuation. Windows of ten canonical words of
-every document are hash-joined to the windows of the benchmark items, so that a question with other
-numbers or names still meets its original. A window must hold at least MIN_LITERAL ordinary words.
+Numbers become one placeholder, units after a number another; everything is lower-cased and stripped of
+punctuation. Names have a third placeholder, in three forms of every text: `named` takes capitalised words
+inside sentences for names, `capital` every capitalised word (a name at a sentence start as well), `folded`
+none (text in upper or title case). Windows of ten words of every document, in each form, are hash-joined to
+those of the benchmark items, so that a question with other numbers or names, or in another case, still
+meets its original. A window of an item must hold at least MIN_LITERAL ordinary words.
 
-A document-item pair is kept when enough of the item's windows were found. Pairs whose raw words agree
-too are verbatim. For the rest the slots are compared: lined up by offset, each value of the item must
-stand for one value in the document throughout; a pair that fails this on every offset is dropped.
+A document-item pair is kept when enough of the item's windows were found, of the named or of the folded
+ones, by any form. Pairs whose raw words agree too, case ignored, are verbatim. For the rest the slots are
+compared on every offset at which a window was found: each value of the item must stand for one value in
+the document throughout; a pair that fails this on every offset is dropped.
 
 The benchmark side is broadcast when its windows number at most BROADCAST_WINDOWS, otherwise the join is
 an ordinary shuffled one on the window hash.
@@ -15,7 +18,7 @@ an ordinary shuffled one on the window hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.storage import through_table
@@ -27,71 +30,96 @@ SHARE = 30
 BROADCAST_WINDOWS = 200_000
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hours", "days", "years", "dollars", "euros", "percent", "miles", "feet", "inches", "watts", "volts")
 _NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
+FORMS = ("named", "capital", "folded")
 
 
 def _words(rows: DataFrame, *keep: str) -> DataFrame:
-    """raw: words without punctuation, a mark before names; canonical: the same places with placeholders."""
+    """raw: lower-cased words without punctuation; named, capital, folded: the same places with placeholders."""
     marked = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{_NAME}{_NUMBER}{_UNIT}]", "")
     marked = F.regexp_replace(marked, r"(?<=[^.!?\s][ \t])(?=\p{Lu})", _NAME)
-    raw = F.regexp_replace(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{_NAME}]+", "")
-    plain = rows.select(*keep, F.trim(F.regexp_replace(raw, r"\s+", " ")).alias("raw"))
-    typed = F.regexp_replace("raw", rf"{_NAME}\S+", _NAME)
-    typed = F.regexp_replace(typed, r"\p{N}\S*", _NUMBER)
-    typed = F.regexp_replace(F.lower(typed), rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", _UNIT)
-    return plain.select(
-        *keep, F.filter(F.split("raw", " "), lambda x: x != "").alias("raw"), F.filter(F.split(typed, " "), lambda x: x != "").alias("canonical")
-    )
-
-
-def _windows(words: DataFrame, key: str) -> DataFrame:
-    """(key, place, h, r): a row for each window; h hashes the canonical words, r the raw ones."""
-    spans = words.where(f"size(canonical) >= {WINDOW} and size(raw) = size(canonical)").select(
-        key, F.expr(f"transform(sequence(0, size(canonical) - {WINDOW}), i -> xxhash64(slice(canonical, i + 1, {WINDOW})))").alias("h"),
-        F.expr(f"transform(sequence(0, size(raw) - {WINDOW}), i -> xxhash64(slice(raw, i + 1, {WINDOW})))").alias("r"),
-    )
-    return spans.select(key, F.posexplode(F.arrays_zip("h", "r")).alias("place", "w")).select(key, "place", "w.h", "w.r")
+    marked = F.regexp_replace(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{_NAME}]+", "")
+    spaced = rows.select(*keep, F.trim(F.regexp_replace(marked, r"\s+", " ")).alias("marked")).withColumn("plain", F.translate("marked", _NAME, ""))
+
+    def typed(text: Column) -> Column:
+        return F.regexp_replace(F.lower(F.regexp_replace(text, r"\p{N}\S*", _NUMBER)), rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", _UNIT)
+
+    texts = {
+        "raw": F.lower("plain"), "named": typed(F.regexp_replace("marked", rf"{_NAME}\S+", _NAME)),
+        "capital": typed(F.regexp_replace("plain", r"(?<!\S)\p{Lu}\S*", _NAME)), "folded": typed(F.col("plain")),
+    }
+    return spaced.select(*keep, *[F.split(F.nullif(x, F.lit("")), " ").alias(name) for name, x in texts.items()])
+
+
+def _hashes(words: DataFrame, *keep: str) -> DataFrame:
+    """Each form's words as hashes; none without words."""
+    return words.select(*keep, *[F.expr(f"transform(coalesce({x}, array()), x -> xxhash64(x))").alias(x) for x in FORMS])
+
+
+def _each_window(fields: str) -> Column:
+    """A row for each window, from its place i; no filter, as one would be pushed below and repeat the patterns."""
+    return F.explode(F.expr(f"transform(if(size(named) >= {WINDOW}, sequence(0, size(named) - {WINDOW}), cast(array() as array<int>)), i -> struct(i as place, {fields}))"))
+
+
+def _window(form: str) -> str:
+    return f"xxhash64(slice({form}, i + 1, {WINDOW}))"
+
+
+def _literal(form: str) -> str:
+    return f"size(filter(slice({form}, place + 1, {WINDOW}), x -> x not in ('{_NAME}', '{_NUMBER}', '{_UNIT}'))) >= {MIN_LITERAL}"
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_found, n_windows, verbatim for each document that holds a benchmark item or its template.
 
-    n_windows counts the item's distinct template windows, n_found those met in the document. Items or
-    documents of fewer than ten words have no windows and never match; null or empty texts likewise, and
-    rows with a null key are left out. Repeated rows give one result; other columns are ignored; an empty
-    table on either side gives an empty result.
+    n_windows counts the item's distinct named windows, n_found those met in the document by any form; where
+    too few of these were met they count the folded windows. Items or documents of fewer than ten words have
+    no windows and never match; null or empty texts likewise, and rows with a null key are left out. Repeated
+    rows give one result; other columns are ignored; an empty table on either side gives an empty result.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
     item_words = through_table(_words(items, "item_id"), "items")
-    places = _windows(item_words, "item_id").join(item_words, "item_id").select(
-        "item_id", F.col("place").alias("item_place"), "h", F.col("r").alias("item_r"),
-        F.expr(f"size(filter(slice(canonical, place + 1, {WINDOW}), x -> x not in ('{_NAME}', '{_NUMBER}', '{_UNIT}')))").alias("literal"),
-    ).where(F.col("literal") >= MIN_LITERAL).drop("literal")
-    places = through_table(places, "item-windows")
-    totals = places.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    windows = _hashes(item_words, "item_id").select("item_id", _each_window(", ".join(f"{_window(x)} as {x}_h" for x in FORMS)).alias("w")).select("item_id", "w.*")
+    # Null where a window holds too few ordinary words.
+    places = windows.join(item_words, "item_id").select("item_id", F.col("place").alias("item_place"), *[F.expr(f"if({_literal(x)}, {x}_h, null)").alias(x) for x in FORMS])
+    places = through_table(places.where(F.coalesce(*FORMS).isNotNull()), "item-windows")
+    totals = places.groupBy("item_id").agg(F.countDistinct("named").alias("n_named"), F.countDistinct("folded").alias("n_folded"))
     few = places.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    side = F.broadcast(places) if few else places
-    met = _windows(_words(docs, "doc_id"), "doc_id").join(side, "h").select(
-        "doc_id", "item_id", "h", (F.col("place") - F.col("item_place")).alias("shift"), "place", (F.col("r") == F.col("item_r")).alias("same")
+    side = places.distinct().withColumn("key", F.explode(F.expr(f"array_distinct(array_compact(array({', '.join(FORMS)})))"))).drop("capital")
+    keys = _hashes(_words(docs, "doc_id"), "doc_id").select("doc_id", _each_window(f"array_distinct(array({', '.join(map(_window, FORMS))})) as keys").alias("w"))
+    keys = keys.select("doc_id", F.col("w.place").alias("place"), F.explode("w.keys").alias("key"))
+    met = keys.join(F.broadcast(side) if few else side, "key").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "named", "folded")
+    met = met.groupBy("doc_id", "item_id", "item_place", "named", "folded").agg(F.min("shift").alias("shift"))
+    met = through_table(met, "met")
+    found = met.groupBy("doc_id", "item_id").agg(F.countDistinct("named").alias("named"), F.countDistinct("folded").alias("folded"))
+    found = found.join(F.broadcast(totals) if few else totals, "item_id").withColumn("by_name", F.expr(f"n_named > 0 and 100 * named >= {SHARE} * n_named"))
+    pairs = found.where(f"by_name or (n_folded > 0 and 100 * folded >= {SHARE} * n_folded)").select(
+        "doc_id", "item_id", F.expr("if(by_name, named, folded)").alias("n_found"), F.expr("if(by_name, n_named, n_folded)").alias("n_windows")
+    )
+    pairs = through_table(pairs, "pairs")
+
+    texts = _words(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
+    texts = through_table(texts.select("doc_id", F.col("raw").alias("doc_raw"), F.col("capital").alias("doc_capital"), F.col("folded").alias("doc_folded")), "texts")
+    # A capitalised word at a sentence start is a slot where the item has it as a name elsewhere.
+    kinds = item_words.withColumn("names", F.expr(f"filter(raw, (x, i) -> named[i] = '{_NAME}')")).select(
+        "item_id", F.col("raw").alias("item_raw"),
+        F.expr(f"transform(named, (x, i) -> if(x in ('{_NAME}', '{_NUMBER}', '{_UNIT}'), x, if(capital[i] = '{_NAME}' and array_contains(names, raw[i]), '{_NAME}', null)))").alias("kinds"),
+    )
+    kept = met.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set(F.struct("item_place", F.coalesce("named", "folded").alias("h"))).alias("at")
     )
-    # Distinct windows of a pair, then the pair; a window found raw anywhere is verbatim.
-    each = met.groupBy("doc_id", "item_id", "h").agg(F.max("same").alias("same"), F.min_by(F.struct("shift", "place"), F.struct("shift", "place")).alias("at"))
-    each = each.join(F.broadcast(totals) if few else totals, "item_id")
-    pairs = each.groupBy("doc_id", "item_id", "n_windows").agg(F.count(F.lit(1)).alias("n_found"), F.min("same").alias("verbatim"), F.collect_set("at.shift").alias("shifts"))
-    pairs = through_table(pairs.where(100 * F.col("n_found") >= SHARE * F.col("n_windows")), "pairs")
-
-    doubtful = pairs.where("not verbatim").select("doc_id", "item_id", F.explode("shifts").alias("shift"))
-    texts = _words(docs.join(doubtful.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
-    lined = doubtful.join(item_words.select("item_id", F.col("raw").alias("item_raw"), "canonical"), "item_id").join(texts.select("doc_id", "raw", F.col("canonical").alias("doc_canonical")), "doc_id")
-    slots = lined.select(
-        "doc_id", "item_id", "shift",
+    lined = kept.join(kinds, "item_id").join(texts, "doc_id").select(
+        "doc_id", "item_id",
+        F.expr(f"transform(at, x -> struct(x.h as h, slice(doc_raw, x.item_place + shift + 1, {WINDOW}) = slice(item_raw, x.item_place + 1, {WINDOW}) as same))").alias("at"),
         F.expr(
-            f"array_distinct(filter(transform(sequence(0, size(item_raw) - 1), i -> if(canonical[i] in ('{_NAME}', '{_NUMBER}', '{_UNIT}')"
-            " and i + shift >= 0 and i + shift < size(raw) and canonical[i] = get(doc_canonical, i + shift),"
-            " struct(canonical[i] as kind, item_raw[i] as v, get(raw, i + shift) as d), null)), x -> x is not null))"
+            "array_distinct(filter(transform(sequence(0, size(item_raw) - 1), i -> if(kinds[i] is not null and i + shift >= 0 and i + shift < size(doc_raw)"
+            f" and kinds[i] = if(kinds[i] = '{_NAME}', get(doc_capital, i + shift), get(doc_folded, i + shift)),"
+            " struct(kinds[i] as kind, item_raw[i] as v, get(doc_raw, i + shift) as d), null)), x -> x is not null))"
         ).alias("slots"),
     )
     # One value of the item, one value of the document: distinct (kind, v, d) must be as many as distinct (kind, v).
-    good = slots.where("size(slots) = size(array_distinct(transform(slots, x -> struct(x.kind, x.v))))").select("doc_id", "item_id").distinct()
-    columns = ["doc_id", "item_id", "n_found", "n_windows", "verbatim"]
-    return pairs.where("verbatim").select(columns).unionByName(pairs.where("not verbatim").join(good, ["doc_id", "item_id"], "left_semi").select(columns))
+    lined = through_table(lined.select("doc_id", "item_id", "at", F.expr("size(slots) = size(array_distinct(transform(slots, x -> struct(x.kind, x.v))))").alias("good")), "lined")
+    # A window found raw anywhere is verbatim, a pair if all its windows are.
+    each = lined.select("doc_id", "item_id", "good", F.explode("at").alias("x")).groupBy("doc_id", "item_id", "x.h").agg(F.max("x.same").alias("same"), F.max("good").alias("good"))
+    judged = each.groupBy("doc_id", "item_id").agg(F.min("same").alias("verbatim"), F.max("good").alias("good"))
+    return pairs.join(judged.where("verbatim or good"), ["doc_id", "item_id"]).select("doc_id", "item_id", "n_found", "n_windows", "verbatim")

@@ -147,6 +147,21 @@ def test_templates(spark, docs, empty):
     assert template_windows.contaminated(empty, benchmark).collect() == []
 
 
+def test_templates_of_another_case_and_names_at_sentence_starts(spark):
+    item = "The merchant Alice sells 12 crates of apples each day for 5 weeks. Alice then counts how many crates of apples were sold when the season ends"
+    start = "Alice sells 12 crates of apples each day. Then how many of them will Alice have sold when the season of apples ends"
+    benchmark = spark.createDataFrame([(1, item), (2, start)], "item_id long, text string")
+    other = start.replace("Alice", "Roberta")
+    rows = [
+        (1, prose(1, 30) + ". " + item.upper()), (2, item.title()), (3, item.upper().replace("12", "70").replace("5", "41")), (4, prose(2, 40)),
+        (5, other.split(". ")[0] + ". Then Roberta goes"), (6, other), (7, other.replace("Roberta", "Carol", 1)),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r for r in template_windows.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (6, 2)}
+    assert got[1, 1]["verbatim"] and got[2, 1]["verbatim"] and not got[3, 1]["verbatim"] and not got[6, 2]["verbatim"]
+    assert got[6, 2]["n_found"] == got[6, 2]["n_windows"]
+
+
 def test_secrets(docs, empty):
     forest = secret_forest.Forest(secret_forest.rule_findings())
     held = secret_forest.rule_findings(1500, 77)
