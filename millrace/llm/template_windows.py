@@ -89,8 +89,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = _hashes(_words(docs, "doc_id"), "doc_id").select("doc_id", _each_window(f"array_distinct(array({', '.join(map(_window, FORMS))})) as keys").alias("w"))
     keys = keys.select("doc_id", F.col("w.place").alias("place"), F.explode("w.keys").alias("key"))
     met = keys.join(F.broadcast(side) if few else side, "key").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "named", "folded")
-    met = met.groupBy("doc_id", "item_id", "item_place", "named", "folded").agg(F.min("shift").alias("shift"))
-    met = through_table(met, "met")
+    met = through_table(met.distinct(), "met")
     found = met.groupBy("doc_id", "item_id").agg(F.countDistinct("named").alias("named"), F.countDistinct("folded").alias("folded"))
     found = found.join(F.broadcast(totals) if few else totals, "item_id").withColumn("by_name", F.expr(f"n_named > 0 and 100 * named >= {SHARE} * n_named"))
     pairs = found.where(f"by_name or (n_folded > 0 and 100 * folded >= {SHARE} * n_folded)").select(

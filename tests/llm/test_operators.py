@@ -162,6 +162,15 @@ def test_templates_of_another_case_and_names_at_sentence_starts(spark):
     assert got[6, 2]["n_found"] == got[6, 2]["n_windows"]
 
 
+def test_template_copy_after_an_inconsistent_one(spark):
+    item = "If the merchant Alice sells 12 crates of apples each day for 5 weeks then how many crates of apples will Alice have sold when the season ends"
+    mixed, other = item.replace("Alice", "Roberta", 1), item.replace("Alice", "Roberta").replace("12", "31")
+    rows = [(1, mixed + ". " + prose(1, 40) + ". " + other), (2, mixed + ". " + prose(2, 40) + ". " + mixed)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = by_id(template_windows.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark))
+    assert set(got) == {1} and got[1]["n_found"] == got[1]["n_windows"]
+
+
 def test_secrets(docs, empty):
     forest = secret_forest.Forest(secret_forest.rule_findings())
     held = secret_forest.rule_findings(1500, 77)
