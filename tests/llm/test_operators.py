@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -200,6 +201,29 @@ def test_licences(spark, empty):
     assert licence_sentences.licences(empty).collect() == []
 
 
+def test_licence_texts_as_wrapped(spark):
+    sentence = licence_sentences.SENTENCES
+    full = 'the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies'
+    assert full in sentence["mit-grant"] and all(any(t in s.lower() for t in licence_sentences._TRIGGERS) for s in sentence.values())
+
+    def wrap(text, mark=""):
+        return "\n".join(textwrap.wrap(text, 60, initial_indent=mark, subsequent_indent=mark))
+
+    mit = ["MIT License", "Copyright (c) 2020 A. Holder", sentence["mit-grant"], sentence["mit-condition"], sentence["warranty"]]
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    endorse = "3. Neither the name of Example Corp. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd = [sentence["bsd-grant"], "1. " + sentence["bsd-source"]]
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows = [
+        (1, "\n\n".join(map(wrap, mit))), (2, "\n".join(mit)), (3, wrap(apache, " * ") + "\n\n    http://www.apache.org/licenses/LICENSE-2.0"),
+        (4, "\n\n".join(map(wrap, bsd))), (5, "\n".join(map(wrap, [*bsd, endorse]))), (6, wrap(sentence["gpl-free"], "# ")), (7, "A tool.\n" + wrap(gpl)),
+        (8, "prose\nReleased under the MIT License.\nmore"), (9, "// SPDX-License-Identifier: MPL-2.0\nint x;"), (10, "this software is under no such version of a permission"),
+    ]
+    got = by_id(licence_sentences.licences(spark.createDataFrame(rows, "doc_id long, text string")))
+    wanted = ["MIT", "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-2.0-or-later", "MIT", "MPL-2.0"]
+    assert [got[i]["licences"] for i in range(1, 11)] == [*([x] for x in wanted), []]
+
+
 def test_pseudo_likelihood(spark, empty):
     rows = [(i, " ".join(["one two three four five six"] * 40)) for i in range(200)]
     train = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
