@@ -5,6 +5,11 @@ vector of its place, are summed through tanh to a hidden vector; the word's code
 digit (the second given the first), which keeps the probabilities proper at little cost. Every partition
 trains on all its texts by minibatch steps from one common start; the results are averaged by number of
 words, streamed through FAN_IN tasks, so the driver sees FAN_IN parameter vectors however large the corpus.
+
+A word's probability is its code's, from the network, times its own within the code, from the counts of
+all distinct words of the corpus. The counts are a table that grows with the corpus and are joined to the
+words of each text; only words that make up 1 / FREQUENT of the corpus or more (so FREQUENT at most) are
+broadcast, which keeps them out of the join. In each code one more count stands for words never seen.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.storage import through_table
 from millrace.llm.words import hash_words, row_slices, text_buffer
 
 SIDE = 64
@@ -25,6 +31,7 @@ BATCH = 1024
 RATE = 0.5
 EPOCHS = 2
 FAN_IN = 8
+FREQUENT = 1 << 16
 _CODES = SIDE * SIDE
 #: Embedding row of places outside the text.
 _EDGE = _CODES
@@ -99,9 +106,23 @@ def log_probability(p: list[np.ndarray], context: np.ndarray, target: np.ndarray
     return np.log(p1[at, d1] + 1e-12) + np.log(p2[at, d2] + 1e-12)
 
 
-def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and code of each word, and the index of each row's first word."""
     hashes, first = hash_words(*text_buffer(batch.column("text")), lower=True)
-    return (hashes % np.uint64(_CODES)).astype(np.int64), first
+    return hashes.view(np.int64), (hashes % np.uint64(_CODES)).astype(np.int64), first
+
+
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(h, n): the hash of every distinct word of all texts, and how often it occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, "text"):
+                kinds, counts = np.unique(_coded(batch)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(counts, pa.int64())], ["h", "n"])
+
+    docs = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def train(documents: DataFrame) -> np.ndarray:
@@ -117,7 +138,7 @@ def train(documents: DataFrame) -> np.ndarray:
             p, words = _views(mine), 0
             for whole in batches:
                 for batch in row_slices(whole, "text", 1 << 20):
-                    codes, first = _coded(batch)
+                    _, codes, first = _coded(batch)
                     context = _context(codes, first)
                     for a in range(0, len(codes), BATCH):
                         step(p, context[a : a + BATCH], codes[a : a + BATCH])
@@ -141,24 +162,52 @@ def train(documents: DataFrame) -> np.ndarray:
     return flat
 
 
-def score(documents: DataFrame, flat: np.ndarray | None = None) -> DataFrame:
+def score(documents: DataFrame, flat: np.ndarray | None = None, words: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, pseudo_log_likelihood (sum over words) and its mean per word (null without words).
 
+    `flat` and `words` are the results of train and vocabulary, each made from `documents` where not given.
     A null or empty text scores 0 over no words. Repeated rows are trained on and scored alike; null ids
     pass through; other columns are ignored; an empty table gives an empty result.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents) if flat is None else flat)
+    spark = documents.sparkSession
+    counted = through_table(vocabulary(documents) if words is None else words.select("h", "n"), "vocabulary")
+    code = F.col("h").bitwiseAND(_CODES - 1)
+    totals = np.zeros(_CODES, np.int64)
+    for r in counted.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).collect():
+        totals[r["code"]] = r["n"]
+    often = sorted((r["h"], r["n"]) for r in counted.where(F.col("n") >= max(1.0, float(totals.sum()) / FREQUENT)).collect())
+    known, n = np.array([x[0] for x in often], np.int64), np.array([x[1] for x in often], np.int64)
+    own = np.log(n / (totals[known & (_CODES - 1)] + 1))
+    shared = spark.sparkContext.broadcast((train(documents) if flat is None else flat, known, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = _views(shared.value.copy())
+        flat, known, own = shared.value
+        p = _views(flat.copy())
         for whole in batches:
             for batch in row_slices(whole, "text", 1 << 20):
-                codes, first = _coded(batch)
+                hashes, codes, first = _coded(batch)
                 context = _context(codes, first)
                 each = np.concatenate([np.zeros(0)] + [log_probability(p, context[a : a + 8192], codes[a : a + 8192]) for a in range(0, len(codes), 8192)])
+                rare = np.ones(len(hashes), bool)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                    rare = known[at] != hashes
+                    each = each + np.where(rare, 0.0, own[at])
                 total = np.diff(np.concatenate(([0.0], np.cumsum(each)))[first])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(total)], ["doc_id", "n_words", "pseudo_log_likelihood"])
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.mapInArrow(run, "doc_id long, n_words long, pseudo_log_likelihood double")
+                # The rest of each row's distinct words, with their counts, for the join.
+                row, h = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare], hashes[rare]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                start = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+                ends = pa.array(np.searchsorted(row[start], np.arange(len(first))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (h[start], np.diff(np.append(start, len(h))))]
+                columns = [batch.column("r"), batch.column("doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.array(total), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["r", "doc_id", "n_words", "ll", "h", "k"])
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("r"))
+    out = through_table(docs.mapInArrow(run, "r long, doc_id long, n_words long, ll double, h array<long>, k array<long>"), "scored")
+    sums = spark.createDataFrame([(i, int(t)) for i, t in enumerate(totals)], "code long, total long")
+    rare = out.select("r", F.inline(F.arrays_zip("h", "k"))).join(counted, "h", "left").join(F.broadcast(sums), code == F.col("code"))
+    rare = rare.groupBy("r").agg(F.sum(F.col("k") * F.log(F.coalesce("n", F.lit(1)) / (F.col("total") + 1))).alias("more"))
+    out = out.drop("h", "k").join(rare, "r", "left").select("doc_id", "n_words", (F.col("ll") + F.coalesce("more", F.lit(0.0))).alias("pseudo_log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("pseudo_log_likelihood") / F.col("n_words")))

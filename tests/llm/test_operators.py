@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -231,3 +232,24 @@ def test_pseudo_likelihood(spark, empty):
     got = by_id(pseudo_likelihood.score(spark.createDataFrame([(1, "one two three four five six"), (2, "six one five three two four"), (3, None)], "doc_id long, text string"), flat))
     assert got[1]["mean_log_likelihood"] > got[2]["mean_log_likelihood"] and got[3]["n_words"] == 0 and got[3]["mean_log_likelihood"] is None
     assert pseudo_likelihood.score(empty).collect() == []
+
+
+def test_pseudo_likelihood_of_words_with_one_code(spark, monkeypatch):
+    names = [f"q{i}" for i in range(20000)]
+    column = pa.RecordBatch.from_arrays([pa.array(names)], ["text"])
+    _, codes, _ = pseudo_likelihood._coded(column)
+    often, rare, unseen = (names[i] for i in np.flatnonzero(codes == codes[0])[:3])
+    filler = [w for w, c in zip(names, codes, strict=True) if c != codes[0]][:50]
+    train = spark.createDataFrame([(i, f"{often} {often} {often} {rare if i == 0 else often} " + " ".join(filler)) for i in range(40)], "doc_id long, text string")
+    flat, words = pseudo_likelihood.train(train), pseudo_likelihood.vocabulary(train)
+    assert {r["n"] for r in words.collect()} == {159, 1, 40} and words.count() == 52
+    tested = spark.createDataFrame([(1, often), (2, rare), (3, unseen), (4, f"{rare} {often} {rare}"), (None, rare), (2, rare)], "doc_id long, text string")
+    results = []
+    for frequent in (1 << 16, 4):
+        monkeypatch.setattr(pseudo_likelihood, "FREQUENT", frequent)
+        rows = pseudo_likelihood.score(tested, flat, words).collect()
+        assert len(rows) == 6
+        got = {r["doc_id"]: r["pseudo_log_likelihood"] for r in rows}
+        assert got[1] - got[2] == pytest.approx(np.log(159)) and got[2] == got[None] and got[2] - got[3] == pytest.approx(0)
+        results.append([got[i] for i in range(1, 5)])
+    assert results[0] == pytest.approx(results[1])
