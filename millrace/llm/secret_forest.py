@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long tokens of letters, digits and a few marks. Each has a vector of length, character
+Candidates are runs of 16 or more letters, digits and a few marks, of any length, and runs of SHORT or more
+that an assignment with a hint word precedes. Each has a vector of length, character
 classes, likelihood under letter transitions, dictionary coverage, path-like shape and the words around
 it. The forest is trained here on labelled findings. With no labelled table at hand the findings are
 written by rule: keys, tokens and passwords in assignments on one side; checksums, identifiers, paths,
@@ -26,11 +27,16 @@ from millrace.llm.words import row_slices
 TREES = 40
 DEPTH = 8
 MAX_FINDINGS = 20_000
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.\-])[A-Za-z0-9_+/=.\-]{16,256}(?![A-Za-z0-9_+/=.\-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/=.\-])[A-Za-z0-9_+/=.\-]{16,}")
+SHORT = 6
 AROUND = 48
 HINTS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "private", "access")
 HARMLESS = ("checksum", "sha", "sha1", "sha256", "md5", "hash", "commit", "digest", "revision", "uuid", "id", "etag", "url", "path", "file", "example", "version")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_")
+#: A shorter value after an assignment, and the name before it, which must hold a hint word.
+_VALUE = re.compile(rf"[:=][ \t]*[\"']?(?P<value>[A-Za-z0-9_+/.\-][A-Za-z0-9_+/=.\-]{{{SHORT - 1},14}})(?![A-Za-z0-9_+/=.\-])")
+_HINTED = re.compile(rf"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(HINTS)})(?:s|\d+|[_\-][A-Za-z0-9_\-]{{0,24}}|[A-Z][A-Za-z0-9]{{0,24}})?[\"']?[ \t]*$")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 DICTIONARY = (
     "the and for with that this from have not are was were will would can could should about which their there one two time people year work "
     "data file path user name test example config service server client request response value default home local share build source main "
@@ -60,7 +66,7 @@ def features(token: str, before: str, after: str) -> list[float]:
     parts = [p for p in re.split(r"[^a-z]+", low) if p]
     covered = sum(len(p) for p in parts if p in _WORDS)
     vowels = sum(c in "aeiou" for c in low)
-    near = re.findall(r"[a-z0-9]+", before.lower())[-4:]
+    near = re.findall(r"[a-z0-9]+", _CAMEL.sub(" ", before).lower())[-4:]
     behind = re.findall(r"[a-z0-9]+", after.lower())[:2]
     digits = sum(c.isdigit() for c in token)
     return [
@@ -90,7 +96,7 @@ def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int
     out = []
     for i in range(n):
         hexed = hashlib.sha512(f"{seed}/{i}".encode()).hexdigest()
-        kind = int(rng.integers(12))
+        kind = int(rng.integers(19))
         assign = [" = ", "=", ": ", ' = "', '="', ': "'][rng.integers(6)]
         hint = HINTS[rng.integers(len(HINTS))]
         hint = [hint, f"{word()}_{hint}", hint.upper()][rng.integers(3)]
@@ -114,9 +120,29 @@ def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int
             made = (pick("0123456789", int(rng.integers(16, 24))), prose(3) + " ", prose(1), 0)
         elif kind == 10:
             made = (["", "-", "_"][rng.integers(3)].join(prose(5).split()), prose(3) + [" ", f" {hint} "][rng.integers(2)], " " + prose(2), 0)
-        else:
+        elif kind == 11:
             made = (hexed[: int(rng.integers(16, 64))], prose(4) + " ", " " + prose(2), 0)
-        if len(made[0]) >= 16:
+        elif kind == 12:
+            signed = ".".join(["ey" + pick(alnum, int(rng.integers(16, 50))), "ey" + pick(alnum + "-_", int(rng.integers(40, 900))), pick(alnum + "-_", int(rng.integers(40, 350)))])
+            made = (signed, prose(2) + [f" {hint}{assign}", " Authorization: Bearer ", " "][rng.integers(3)], close, 1)
+        elif kind == 13:
+            made = (pick(alnum + "+/", int(rng.integers(60, 2400))) + "=" * int(rng.integers(3)), f"{prose(2)} {hint}{assign}", close, 1)
+        elif kind == 14:
+            made = (pick(alnum[: [26, 52][rng.integers(2)]], int(rng.integers(16, 48))), f"{prose(2)} {hint}{assign}", close, 1)
+        elif kind == 15:
+            short = [pick(alnum, int(rng.integers(SHORT, 16))) + pick("0123456789", 1), word() + pick("0123456789", int(rng.integers(2, 5))), pick(alnum[:52], int(rng.integers(8, 16)))]
+            made = (short[rng.integers(3)][:15], f"{prose(2)} {hint}{assign}", close, 1)
+        elif kind == 16:
+            plain = [word(), f"{word()}{['-', '_', '.', ''][rng.integers(4)]}{word()}", pick("0123456789", int(rng.integers(SHORT, 12)))]
+            made = (plain[rng.integers(3)][:15], f"{prose(2)} {hint}{assign}", close, 0)
+        elif kind == 17:
+            joined = "".join("bcdfghklmnprstvw"[a] + "aeiou"[b] + "nrstl "[c] for a, b, c in zip(rng.integers(0, 16, 12), rng.integers(0, 5, 12), rng.integers(0, 6, 12), strict=True)).replace(" ", "")
+            joined = [joined, joined.upper(), joined.title()][rng.integers(3)] + ["", "."][rng.integers(2)]
+            names = "".join(word().title() for _ in range(5))
+            made = ([pick("-=_./+"[rng.integers(6)], 1) * int(rng.integers(16, 400)), joined, names, names[0].lower() + names[1:]][rng.integers(4)], prose(2) + [" ", f" {hint} ", f" {word()}{assign}"][rng.integers(3)], " " + prose(1), 0)
+        else:
+            made = (pick(alnum + "+/", int(rng.integers(60, 2400))) + "=" * int(rng.integers(3)), prose(2) + f" data:{['image/png', 'font/woff2', 'image/gif'][rng.integers(3)]};base64,", close, 0)
+        if len(made[0]) >= 16 or kind in (15, 16) and len(made[0]) >= SHORT:
             out.append(made)
     return out
 
@@ -198,16 +224,26 @@ def find(texts: list[str], forest: Forest, threshold: float = 0.5) -> tuple[list
     """Number of candidates of each text, and the code point ranges judged to be secrets."""
     spans, rows, vectors = [], [], []
     for i, text in enumerate(texts):
+        runs = []
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
-            token = m[0]
             # An assignment without spaces is one run: its value is the candidate.
-            head = re.match(r"[A-Za-z_.\-]{2,40}=(?=[^=])", token)
-            if head and b - a - head.end() >= 16:
+            head = re.match(r"[A-Za-z_.\-]{2,40}=(?=[^=])", m[0])
+            if head and b - a - head.end() >= (SHORT if _HINTED.search(m[0][: head.end() - 1]) else 16):
                 a += head.end()
-                token = text[a:b]
-            if not any(c.isdigit() for c in token):
-                continue
+            runs.append((a, b))
+        taken = 0
+        long = list(runs)
+        for m in _VALUE.finditer(text):
+            a = m.start("value")
+            b = a + len(m["value"].rstrip("."))
+            while taken < len(long) and long[taken][1] <= a:
+                taken += 1
+            free = taken == len(long) or b <= long[taken][0]
+            if free and b - a >= SHORT and _HINTED.search(text[max(0, m.start() - AROUND) : m.start()]):
+                runs.append((a, b))
+        for a, b in sorted(runs):
+            token = text[a:b]
             spans.append((a, b))
             rows.append(i)
             vectors.append(features(token, text[max(0, a - AROUND) : a], text[b : b + AROUND]))

@@ -183,6 +183,29 @@ def test_secrets(docs, empty):
     assert secret_forest.scan(empty, forest).collect() == []
 
 
+def test_secrets_of_any_length():
+    forest, r = secret_forest.Forest(secret_forest.rule_findings()), random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def pick(of, k):
+        return "".join(r.choice(of) for _ in range(k))
+
+    base = letters + "0123456789"
+    signed = f"eyJhbGciOiJIUzI1NiJ9.ey{pick(base + '-_', 400)}.{pick(base + '-_', 86)}"
+    held = [
+        f'token = "{signed}"', f"Authorization: Bearer {signed}", f"private_key={pick(base + '+/', 1600)}==", f'secret: "{pick(letters, 32)}"',
+        'password = "hunter2257"', "db_password=xK9mQ2vL", 'dbPassword: "xK9mQ2vLr4"', "pwd=t7Gq2Lw9",
+    ]
+    clean = [
+        "-" * 300, "=" * 80, "Donaudampfschifffahrtsgesellschaft is a word", "the monkey: bananas and apples", "this key: value", "see getDefaultConfigValue for it",
+        "no password: please", "time: 10.30.00 and access: public", "internationalization of the user interface",
+    ]
+    counts, found = secret_forest.find([*held, *clean], forest)
+    assert [len(x) for x in found] == [1] * len(held) + [0] * len(clean)
+    values = [signed, signed, held[2].split("=", 1)[1], held[3].split('"')[1], "hunter2257", "xK9mQ2vL", "xK9mQ2vLr4", "t7Gq2Lw9"]
+    assert [t[x[0][0] : x[0][1]] for t, x in zip(held, found, strict=False)] == values
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "First line here.\nSecond, line!"), (1, 1, "assistant", "> second line\nA reply"), (1, 2, "user", "> > Second line\n> a reply\nmore"),
