@@ -1,11 +1,12 @@
 """Chat formatting: quoted passages linked to the messages they come from, in DataFrame functions only.
 
-A line's quote level is the number of `>` before its text. Every quoted line is normalised (lower case,
-letters and digits) and hashed, and joined to the unquoted lines of the same conversation, pre-aggregated
-to the earliest turn that holds them, so a line shared by a whole conversation is one row on that side.
-A message replies to the earlier turn that most of its outermost quoted lines come from (the later one
-on ties); roots follow by pointer doubling. Messages come back without quotes, with the keys that put a
-conversation in reply order: root_turn, depth, turn.
+A line's quote level is the number of `>` before its text; consecutive lines of one level are a passage.
+Passages are normalised (lower case, letters and digits) and hashed as a whole, by line, by sentence and by
+windows of WINDOW words, so that other line breaks and excerpts still meet. The hashes of quoted passages
+are joined to those of the unquoted passages of all earlier turns of the conversation, one row for each
+hash and turn. A message replies to the earlier turn that most hashes of its outermost quotes come from
+(the later one on ties); roots follow by pointer doubling. Messages come back without quotes, with the
+keys that put a conversation in reply order: root_turn, depth, turn.
 """
 
 from __future__ import annotations
@@ -16,12 +17,28 @@ from pyspark.sql import functions as F
 from millrace.llm.storage import cut, through_table
 
 
-def _lines(messages: DataFrame) -> DataFrame:
-    marked = F.expr(r"transform(split(coalesce(text, ''), '\n'), x -> struct(regexp_extract(x, '^((?:[ \\t]*>)*)[ \\t]?', 0) as mark, x as line))")
-    lines = messages.select("conv_id", "turn", F.explode(marked).alias("x"))
-    level = F.length(F.regexp_replace("x.mark", "[^>]", ""))
-    text = F.trim(F.regexp_replace(F.lower(F.expr("substring(x.line, length(x.mark) + 1)")), r"[^\p{L}\p{M}\p{N}]+", " "))
-    return lines.select("conv_id", "turn", level.alias("level"), text.alias("t")).where("t <> ''").select("conv_id", "turn", "level", F.xxhash64("t").alias("h"))
+WINDOW = 6
+_PASSAGE, _LEVEL = "\ue000", "\ue001"
+
+
+def _normal(text: str) -> str:
+    return rf"trim(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' '))"
+
+
+def _hashes(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, h, k): the hashes of each message's passages by level, and in how many passages each is."""
+    text = f"translate(coalesce(text, ''), '{_PASSAGE}{_LEVEL}', '')"
+    marked = rf"transform(split({text}, '\n'), x -> struct(regexp_extract(x, '^((?:[ \\t]*>)*)[ \\t]?', 0) as mark, x as line))"
+    levels = "transform(m, x -> struct(length(regexp_replace(x.mark, '[^>]', '')) as level, substring(x.line, length(x.mark) + 1) as body))"
+    joined = rf"array_join(transform(m, (x, i) -> concat(if(i = 0 or x.level <> get(m, i - 1).level, concat('{_PASSAGE}', x.level, '{_LEVEL}'), '\n'), x.body)), '')"
+    rows = messages.select("conv_id", "turn", F.expr(marked).alias("m")).withColumn("m", F.expr(levels)).withColumn("m", F.expr(joined))
+    rows = rows.select("conv_id", "turn", F.posexplode(F.split("m", _PASSAGE)).alias("at", "p")).where("p <> ''")
+    rows = rows.select("conv_id", "turn", "at", F.expr(f"cast(substring_index(p, '{_LEVEL}', 1) as int)").alias("level"), F.expr(f"substring_index(p, '{_LEVEL}', -1)").alias("p"))
+    whole = rows.withColumn("whole", F.expr(_normal("p"))).where("whole <> ''").withColumn("words", F.split("whole", " "))
+    parts = rf"concat(array(whole), transform(concat(split(p, '\n'), split(p, '(?<=[.!?])\\s+')), x -> {_normal('x')}))"
+    windows = f"transform(if(size(words) >= {WINDOW}, sequence(0, size(words) - {WINDOW}), cast(array() as array<int>)), i -> xxhash64(slice(words, i + 1, {WINDOW})))"
+    every = f"array_distinct(concat(transform(filter({parts}, x -> x <> ''), x -> xxhash64(x)), {windows}))"
+    return whole.select("conv_id", "turn", "level", F.explode(F.expr(every)).alias("h")).groupBy("conv_id", "turn", "level", "h").agg(F.count(F.lit(1)).alias("k"))
 
 
 def reply_order(conversations: DataFrame) -> DataFrame:
@@ -34,11 +51,14 @@ def reply_order(conversations: DataFrame) -> DataFrame:
     messages = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")
     )
-    lines = through_table(_lines(messages.where("conv_id is not null and turn is not null")), "lines")
-    origin = lines.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
-    quoted = lines.where("level > 0").groupBy("conv_id", "turn", "level", "h").agg(F.count(F.lit(1)).alias("k"))
-    hits = quoted.join(origin, ["conv_id", "h"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.sum("k").alias("k"))
-    # The outermost level comes first, then the most lines, then the later turn.
+    known = messages.where("conv_id is not null and turn is not null")
+    quoted = through_table(_hashes(known.where(r"text rlike '(^|\n)[ \\t]*>'")).where("level > 0"), "quotes")
+    # Only conversations with quotes, up to the last message that holds one.
+    last = quoted.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    earlier = known.join(last, "conv_id").where("turn < last").select("conv_id", "turn", "text")
+    holders = _hashes(earlier).where("level = 0").select("conv_id", "h", F.col("turn").alias("source"))
+    hits = quoted.join(holders, ["conv_id", "h"]).where("source < turn").groupBy("conv_id", "turn", "level", "source").agg(F.sum("k").alias("k"))
+    # The outermost level comes first, then the most hashes, then the later turn.
     parent = hits.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "k", "source")).getField("source").alias("parent_turn"))
     parent = through_table(parent, "parents")
     state = parent.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("steps"))

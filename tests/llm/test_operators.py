@@ -217,6 +217,21 @@ def test_quotes(spark):
     assert quote_links.reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_quotes_of_later_holders_and_other_line_breaks(spark):
+    long = "The first thing to try is a fresh copy of the table. After that the join should be looked at, and the plan of the second stage as well"
+    rows = [
+        (1, 0, "Thanks.\nHello there"), (1, 1, "An answer of its own"), (1, 2, "Thanks.\nI will look at it tomorrow"), (1, 3, "> Thanks.\nok"),
+        (1, 4, "> Thanks.\n> I will look at it tomorrow\nfine"), (1, 5, long), (1, 6, "Thanks."),
+        (1, 7, "> The first thing to try is a fresh\n> copy of the table. After that the join\n> should be looked at\nyes"),
+        (1, 8, "> After that the join should be looked at, and the plan of the second stage as well\nno"), (1, 9, "> Something that nobody wrote here at all\nno"),
+        (2, 0, "one two three four five"), (2, 1, "> one two three\n> four five\nx"), (2, 2, "a first line\na second one"), (2, 3, "> a second one\ny"),
+    ]
+    rows = [(c, t, "user", x) for c, t, x in rows]
+    got = {(r["conv_id"], r["turn"]): r for r in quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    linked = {k: r["parent_turn"] for k, r in got.items() if r["parent_turn"] is not None}
+    assert linked == {(1, 3): 2, (1, 4): 2, (1, 7): 5, (1, 8): 5, (2, 1): 0, (2, 3): 2}
+
+
 def test_licences(spark, empty):
     mit = f"MIT License\n\n{licence_sentences.SENTENCES['mit-grant']}\nsomething\n{licence_sentences.SENTENCES['mit-condition']}"
     rows = [(1, mit), (2, "Some prose. Licensed under CC BY-NC 4.0. More"), (3, None), (4, "no licence here"), (5, licence_sentences.SENTENCES["mit-condition"])]
