@@ -3,7 +3,7 @@
 Documents are dealt into ranges of doc_id, encoded, and cut at document ends into shards of about
 SHARD_IDS ids. In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, round
 after round: a round counts all pairs, takes the most frequent, lets the more frequent win where two
-overlap, and keeps those that still occur MIN_COUNT times. A shard's record holds the rules, the
+overlap, and keeps those that still occur MIN_COUNT times, until there are none. A shard's record holds the rules, the
 expansion lengths and the remaining sequence, so a document is decoded from the symbols that cover it
 alone. Records are Parquet rows, so any store that Spark reads will do and a lost task is just run again.
 """
@@ -23,7 +23,6 @@ from millrace.llm.storage import through_table
 from millrace.llm.words import row_slices
 
 SHARD_IDS = 1 << 20
-ROUNDS = 4
 PAIRS_PER_ROUND = 4096
 MIN_COUNT = 8
 END = 2
@@ -35,9 +34,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     sequence = ids.astype(np.uint32)
     base = symbols = int(sequence.max()) + 1 if len(sequence) else 1
     rules = [np.zeros((0, 2), np.uint32)]
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
+    # Every round but the last shortens the sequence.
+    while len(sequence) >= 2:
         pair = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
         kinds, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
         top = np.argsort(-counts, kind="stable")[:PAIRS_PER_ROUND]

@@ -125,6 +125,12 @@ def test_repair_round_trip():
     assert len(repair_grammar.pack(np.tile(np.arange(50), 200))) < 4 * 10000
 
 
+def test_repair_of_many_copies():
+    ids = np.tile(np.random.default_rng(3).permutation(40000)[:500], 1000).astype(np.uint32)
+    sequence, rules, _ = repair_grammar.compress(ids)
+    assert len(sequence) < 1000 and (repair_grammar.Shard(repair_grammar.pack(ids)).ids(0, len(ids)) == ids).all()
+
+
 def test_repair_files_as_tokenizers(docs, texts, empty):
     from tokenizers import Tokenizer
 
