@@ -140,10 +140,42 @@ def run_rules(found: list[DataFrame], disable: tuple[str, ...] = ()) -> DataFram
     return reduce(DataFrame.unionByName, found).where(~F.col("rule").isin(*disable)) if disable else reduce(DataFrame.unionByName, found)
 
 
-def row_arithmetic(rows: DataFrame, key: str, factors: list[str], total: str, tolerance: float = 100) -> DataFrame:
-    """DETAIL.ROW_ARITH: rows whose printed total is not the product of their factors."""
+def row_arithmetic(
+    rows: DataFrame, key: str, factors: list[str], total: str, tolerance: float = 100, doc: str | None = None, dose: str | None = None, shares: list[str] | None = None, least: int = 3
+) -> DataFrame:
+    """DETAIL.ROW_ARITH: rows whose printed total is not the product of their factors, or not the sum of their shares.
+
+    A `dose` may also be a factor or not (absent or 0 it is 1). With `doc`, rows that are off by one ratio (of two places) that
+    at least `least` rows of the document have are right, as surcharges are. Shares count where all are read and any is not 0.
+    """
     product = reduce(lambda a, b: a * b, [F.col(c) for c in factors])
-    return flags("DETAIL.ROW_ARITH", rows, key, F.abs(product - F.col(total)) >= tolerance)
+    doses = [product] if dose is None else [product, product * F.when(F.col(dose) != 0, F.col(dose)).otherwise(1)]
+    off = reduce(lambda a, b: a & b, [F.abs(p - F.col(total)) >= tolerance for p in doses])
+    wrong = flags("DETAIL.ROW_ARITH", rows, key, off)
+    if doc is not None:
+        ratios = F.array_distinct(F.array_compact(F.array(*[F.when(p != 0, F.round(F.col(total) / p, 2)) for p in doses])))
+        ratio = rows.where(off).select(doc, key, F.explode(ratios).alias("ratio"))
+        common = ratio.groupBy(doc, "ratio").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        right = ratio.join(common, [doc, "ratio"], "left_semi").select(F.col(key).cast("long").alias("key"))
+        wrong = wrong.join(right, "key", "left_anti").select("rule", "key")
+    if shares:
+        some = reduce(lambda a, b: a | b, [F.col(c) != 0 for c in shares])
+        wrong = wrong.unionByName(flags("DETAIL.ROW_ARITH", rows, key, some & (F.abs(reduce(lambda a, b: a + b, [F.col(c) for c in shares]) - F.col(total)) >= tolerance))).distinct()
+    return wrong
+
+
+def date_checks(rows: DataFrame, key: str, dates: list[str], pairs: list[tuple[str, str]], issued: str | None = None, later: tuple[str, ...] = ()) -> DataFrame:
+    """DATE.ORDER: rows with a pair out of order, a date before 1900, or one after the issue date (unless its column is in `later`)."""
+    tests = [F.col(a) > F.col(b) for a, b in pairs] + [F.col(c) < F.lit("1900-01-01").cast("date") for c in dates if c != issued]
+    tests += [F.col(c) > F.col(issued) for c in dates if issued and c != issued and c not in later]
+    return flags("DATE.ORDER", rows, key, reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests]))
+
+
+def sum_table(rows: DataFrame, doc: str, columns: list[str], total: Column, tolerance: float = 100) -> DataFrame:
+    """SUM.TABLE: (rule, key, column) where a document's total row differs by `tolerance` or more from the sum of its item rows."""
+    per = rows.groupBy(doc).agg(*[F.abs(F.sum(F.when(total, F.col(c))) - F.coalesce(F.sum(F.when(~total, F.col(c))), F.lit(0))).cast("double").alias(c) for c in columns])
+    long = per.unpivot(doc, columns, "column", "off").where(F.col("off") >= tolerance)
+    return long.select(F.lit("SUM.TABLE").alias("rule"), F.col(doc).cast("long").alias("key"), "column")
 
 
 def row_copy(rows: DataFrame, doc: str, amount: str, total: Column) -> DataFrame:
@@ -153,10 +185,11 @@ def row_copy(rows: DataFrame, doc: str, amount: str, total: Column) -> DataFrame
     return flags("RECEIPT.ROW_COPY", both.select(doc).distinct(), doc, F.lit(True))
 
 
-def low_quality(rows: DataFrame, doc: str, bad: Column, least: int = 5) -> DataFrame:
-    """DETAIL.LOW_QUALITY: documents of at least `least` rows, more than half of them bad."""
-    per = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("b"))
-    return flags("DETAIL.LOW_QUALITY", per, doc, (F.col("n") >= least) & (2 * F.col("b") > F.col("n")))
+def low_quality(rows: DataFrame, doc: str, bad: Column, least: int = 5, code: Column | None = None, unknown: Column | None = None) -> DataFrame:
+    """DETAIL.LOW_QUALITY: documents of at least `least` rows, a quarter of them bad, and more than half of them bad or of their codes unknown."""
+    codes = [F.count_if(F.lit(False) if x is None else x).alias(n) for n, x in (("c", code.isNotNull() if code is not None else None), ("u", unknown))]
+    per = rows.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("b"), *codes)
+    return flags("DETAIL.LOW_QUALITY", per, doc, (F.col("n") >= least) & (4 * F.col("b") >= F.col("n")) & ((2 * F.col("b") > F.col("n")) | (2 * F.col("u") > F.col("c"))))
 
 
 def empty_columns(rows: DataFrame, doc: str, columns: list[str]) -> DataFrame:
