@@ -6,9 +6,10 @@ positions some shift below 21 brings both to a position whose residue lies in D.
 a cover position in both places. Only anchors are hashed and counted over the corpus, five in 21
 positions; where an anchor occurs more than once, the full windows around it are hashed and counted.
 
-Counting is a grouped count with partial sums and the way back is a left-semi join, so a passage that a
-third of all documents share meets in no single task. Documents are addressed by the digest of their
-text: copies add to the counts yet are cut only once.
+Every distinct text stands once, with the number of its rows as weight, so copies cost nothing. What is
+sent back to the texts is not the repeated hashes but the places of the others: a hash of weight one has
+a single place, which the grouped sum carries along, so there is no join on hashes, partial sums come
+before every shuffle, and a passage that a third of all documents share meets in no single task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import through_table
+from millrace.llm.storage import discard, release, through_table
 from millrace.llm.words import hash_words, row_slices, text_buffer, window_hashes
 
 PERIOD = 21
@@ -68,27 +69,49 @@ def _anchors(length: int):
                 anchor = window_hashes(hashes, position + first[row], width)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), batch.column("k1").take(take), pa.array(position.astype(np.int32))], ["h", "k1", "position"]
+                    [pa.array(anchor.view(np.int64)), batch.column("r").take(take), batch.column("n").take(take), pa.array(position.astype(np.int32))], ["h", "r", "n", "position"]
                 )
 
     return run
 
 
+def _hits(length: int):
+    """Texts with a repeated anchor; `alone` becomes the positions of the repeated ones."""
+    width = length - PERIOD + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in row_slices(whole, "text", 2 << 20):
+                _, first = hash_words(*text_buffer(batch.column("text")))
+                found = [np.setdiff1d(anchor_positions(int(n), width), _ints(alone)) for n, alone in zip(np.diff(first), batch.column("alone"), strict=True)]
+                out = pa.RecordBatch.from_arrays([batch.column("r"), batch.column("n"), batch.column("text"), _lists(found)], ["r", "n", "text", "anchors"])
+                yield out.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+
+    return run
+
+
+def _ints(value: pa.Scalar) -> np.ndarray:
+    return value.values.to_numpy(zero_copy_only=False).astype(np.int64) if value.is_valid else np.zeros(0, np.int64)
+
+
+def _lists(of: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) for x in of)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *of]).astype(np.int32)))
+
+
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in row_slices(whole, "text", 2 << 20):
                 hashes, first = hash_words(*text_buffer(batch.column("text")))
-                anchors = batch.column("anchors").to_pylist()
-                at = [candidate_windows(int(first[i + 1] - first[i]), np.asarray(anchors[i], np.int64), length) for i in range(batch.num_rows)]
+                at = [candidate_windows(int(first[i + 1] - first[i]), _ints(batch.column("anchors")[i]), length) for i in range(batch.num_rows)]
                 row = np.repeat(np.arange(batch.num_rows), [len(x) for x in at])
-                position = np.concatenate(at)
+                position = np.concatenate(at) if at else np.zeros(0, np.int64)
                 sums = [window_hashes(hashes, position + first[row], length, seed).view(np.int64) for seed in (13, 17)]
                 sums[1] = sums[1].astype(np.int32)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in sums] + [batch.column("k1").take(take), batch.column("k2").take(take), pa.array(position.astype(np.int32))],
-                    ["h1", "h2", "k1", "k2", "position"],
+                    [pa.array(x) for x in sums] + [batch.column("r").take(take), batch.column("n").take(take), pa.array(position.astype(np.int32))], ["h1", "h2", "r", "n", "position"]
                 )
 
     return run
@@ -99,14 +122,13 @@ def _cut(length: int):
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 removed, texts = [], []
-                for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+                for text, anchors, alone in zip(batch.column("text").to_pylist(), batch.column("anchors"), batch.column("alone"), strict=True):
                     words = text.encode().split()
-                    gone = covered(len(words), np.asarray(starts, np.int64), length)
+                    starts = np.setdiff1d(candidate_windows(len(words), _ints(anchors), length), _ints(alone), assume_unique=True)
+                    gone = covered(len(words), starts, length)
                     removed.append(int(gone.sum()))
                     texts.append(b" ".join(w for w, x in zip(words, gone.tolist(), strict=True) if not x).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["k1", "k2", "n_removed", "kept_text"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("r"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["r", "n_removed", "kept_text"])
 
     return run
 
@@ -129,25 +151,35 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
 
 
+def _alone(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(r, alone): the positions of each text whose hash occurs nowhere else."""
+    single = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("r").alias("r"), F.min("position").alias("position")).where("n = 1")
+    return single.select("r", "position").repartition("r").groupBy("r").agg(F.collect_list("position").alias("alone"))
+
+
 def repeated_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, n_removed, kept_text) for each distinct text that loses words; see `without_repeats`.
 
-    Texts and windows are known by 96 bits each. Anchors go by the first 64 of their text: two texts that
-    share those merely have each other's anchors tried as well.
+    Texts and windows are known by 96 bits each, anchors by 64: an anchor that another one happens to
+    share a hash with merely has its windows tried as well.
     """
     if length <= PERIOD:
         raise ValueError(f"windows must be longer than {PERIOD} words")
-    docs = _keyed(documents).where("text is not null").select("k1", "k2", "text")
-    anchors = docs.mapInArrow(_anchors(length), "h long, k1 long, position int")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    found = anchors.join(often, "h", "left_semi").groupBy("k1").agg(F.collect_set("position").alias("anchors"))
-    hit = through_table(docs.join(found, "k1"), "anchored")
-
-    windows = through_table(hit.mapInArrow(_windows(length), "h1 long, h2 int, k1 long, k2 int, position int"), "windows")
-    often = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    starts = windows.join(often, ["h1", "h2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("position").alias("starts"))
-    texts = hit.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    return texts.join(starts, ["k1", "k2"]).mapInArrow(_cut(length), "k1 long, k2 int, n_removed long, kept_text string")
+    texts = _keyed(documents).where("text is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    texts = through_table(texts.withColumn("r", F.monotonically_increasing_id()), "texts")
+    release(documents.sparkSession)
+    anchors = texts.select("r", "n", "text").mapInArrow(_anchors(length), "h long, r long, n long, position int")
+    alone = through_table(_alone(anchors, ["h"]), "anchors")
+    release(documents.sparkSession)
+    hit = texts.select("r", "n", "text").join(alone, "r", "left").mapInArrow(_hits(length), "r long, n long, text string, anchors array<int>")
+    hit = through_table(hit, "hit")
+    discard(alone)
+
+    windows = hit.mapInArrow(_windows(length), "h1 long, h2 int, r long, n long, position int")
+    alone = through_table(_alone(windows, ["h1", "h2"]), "windows")
+    release(documents.sparkSession)
+    lost = hit.select("r", "text", "anchors").join(alone, "r", "left").mapInArrow(_cut(length), "r long, n_removed long, kept_text string").where("n_removed > 0")
+    return lost.join(texts.select("r", "k1", "k2"), "r").select("k1", "k2", "n_removed", "kept_text")
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +33,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write as Parquet in the shared folder and read back. The folder goes when the application ends."""
+    spark = df.sparkSession
+    home = f"{scratch_dir(spark)}/millrace-{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by `through_table` that nothing reads any more, and let go of finished shuffles."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Have the context cleaner remove the files of shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

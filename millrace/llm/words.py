@@ -1,10 +1,11 @@
 """Word hashing straight from Arrow buffers.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, which is `[^\\x20\\x09-\\x0D]+` on the
-text since every other character's UTF-8 bytes lie outside that range. A word's hash is a polynomial
-over random byte codes modulo 2**64, taken as a difference of prefix sums, then mixed; no Python
-object is made per word. Texts are hashed in pieces cut at word ends, so scratch memory does not grow
-with a text's length.
+text since every other character's UTF-8 bytes lie outside that range. A word's hash is a multilinear sum
+of byte codes and place codes modulo 2**64, taken as a difference of prefix sums, then mixed; the place
+codes are unrelated to one another, so no pattern of letters cancels as it does with powers of one base.
+No Python object is made per word. Texts are hashed in pieces cut at word ends, so scratch memory does
+not grow with a text's length.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C55)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -40,19 +40,15 @@ def codes(n: int, seed: int) -> np.ndarray:
 _BYTE = codes(256, 7)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_places = np.zeros(0, np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i below n."""
-    if len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + 4096)
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        for k, step in enumerate((_BASE, inverse)):
-            row = np.full(size, step, np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _place_codes(n: int) -> np.ndarray:
+    """Codes of the places 0..n-1 within a word."""
+    global _places
+    if len(_places) < n:
+        _places = codes(max(n, 4096), 29)
+    return _places
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +95,6 @@ def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
     with np.errstate(over="ignore"):
         for a, b in _pieces(data, at):
             piece = data[a:b]
-            power, inverse = _power_tables(len(piece))
             inside = ~_IS_SPACE[piece]
             edge = np.ones(len(piece) + 1, bool)
             edge[1:-1] = ~inside[:-1]
@@ -110,9 +105,13 @@ def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
             following[:-1] = ~inside[1:]
             following[rows[rows > 0] - 1] = True
             last = np.flatnonzero(inside & following)
-            value = table[piece] * power[: len(piece)]
+            begun = np.zeros(len(piece), np.int32)
+            begun[first] = first
+            place = np.arange(len(piece), dtype=np.int32) - np.maximum.accumulate(begun)
+            place[~inside] = 0
+            value = table[piece] * _place_codes(int(place.max()) + 1)[place]
             total = np.cumsum(value, dtype=np.uint64)
-            hashes.append(mix((total[last] - total[first] + value[first]) * inverse[first]))
+            hashes.append(mix(total[last] - total[first] + value[first]))
             starts.append(first + a)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
