@@ -60,7 +60,7 @@ def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir))
+    return near_duplicates(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,10 +9,15 @@ the sets are, and the registers of small sets still come from different shingles
 51 bands of five registers make bucket keys: a pair at similarity 0.75 shares no bucket with a
 probability of about 1e-6. In a bucket every member is first held against the smallest one only;
 components of the links so found settle whole groups of copies without pairing them up. What then
-still lies in another component than its bucket's smallest member is held against every member of
-that bucket outside its own component, so no pair that shares a bucket goes untested unless the two
-are already connected. A pair is verified on the full shingle sets once its estimate, corrected for
-registers that agree by chance, is not clearly below the threshold.
+still shares a bucket with members of another component is held against all of those, so no pair that
+shares a bucket goes untested unless the two are already connected.
+
+Members are compared in cells. In the first pass a cell is a leader with some of its members, in the
+second two blocks of members that meet in a bucket; both are salted to about CELL shingles, so a bucket
+of any size is dealt over many tasks, and a member's sketch is sent once for each cell, not once for each
+pair. A task compares a cell's sketches by numpy and emits only the pairs whose estimate, corrected for
+registers that agree by chance, is not clearly below the threshold, as lists of partners; only their
+texts are then brought to the cell and verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.graph import components
-from millrace.llm.storage import cut, through_table
+from millrace.llm.storage import cut, discard, release, through_table
 from millrace.llm.words import codes, hash_words, mix, row_slices, text_buffer, window_hashes
 
 SHINGLE = 5
@@ -36,9 +41,10 @@ BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
 #: Six standard deviations of a 256-register estimate below the threshold of 0.75.
 ESTIMATE_SLACK = 0.165
+#: Shingles, and members, of a block on the average.
+CELL, CELL_MEMBERS = 1 << 19, 2048
 _EMPTY = np.uint16(0xFFFF)
 _FLIP, _SPREAD = codes(REGISTERS, 41), codes(REGISTERS, 43)
-_NO_ID = 1 << 62
 
 
 def shingle_set(hashes: np.ndarray) -> np.ndarray:
@@ -99,18 +105,22 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     matrix[i] = registers(found)
                     digest[i] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "id", "t")] + [pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([x.tobytes() for x in matrix], pa.binary())],
-                ["doc_id", "id", "t", "n_shingles", "s1", "s2", "sketch"],
+                [batch.column(c) for c in ("doc_id", "t")] + [pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([x.tobytes() for x in matrix], pa.binary())],
+                ["doc_id", "t", "n_shingles", "s1", "s2", "sketch"],
             )
 
 
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = codes(BAND_ROWS, 31)
     salt = codes(BANDS, 37)
     for whole in batches:
         for start in range(0, whole.num_rows, 2048):
             batch = whole.slice(start, 2048)
-            rows = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            rows = _sketches(batch.column("sketch"))
             groups = rows[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64) + np.uint64(1)
             with np.errstate(over="ignore"):
                 key = mix((groups * weight).sum(axis=2, dtype=np.uint64) + salt)
@@ -119,105 +129,220 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(node), pa.array(size)], ["key", "node", "n_shingles"])
 
 
-def _plausible(percent: int):
-    """Pairs whose estimate is not clearly below the threshold."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole cells of batches sorted by (c1, c2), and where each cell starts and the last one ends."""
+    rest: pa.Table | None = None
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        c1, c2 = (table.column(c).to_numpy() for c in ("c1", "c2"))
+        new = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        return np.concatenate(([0], np.flatnonzero(new) + 1, [len(c1)]))
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if rest is not None:
+            table = pa.concat_tables([rest, table])
+        if not table.num_rows:
+            continue
+        at = bounds(table)
+        if len(at) > 2:
+            yield table.slice(0, int(at[-2])), at[:-1]
+        rest = table.slice(int(at[-2]))
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
+
+
+_PARTNERS = "c1 long, c2 long, node long, partners array<long>"
+
+
+def _partner_rows(table: pa.Table, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """A row for each member in a pair (row numbers left, right), with the partners that it stands left of."""
+    node = table.column("node").to_numpy()
+    used = np.unique(np.concatenate((left, right)))
+    order = np.argsort(left, kind="stable")
+    ends = np.searchsorted(left[order], used, "left"), np.searchsorted(left[order], used, "right")
+    offsets = np.concatenate((ends[0], [len(left)])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[right[order]]))
+    c1, c2 = (pa.array(table.column(c).to_numpy()[used]) for c in ("c1", "c2"))
+    return pa.RecordBatch.from_arrays([c1, c2, pa.array(node[used]), lists], ["c1", "c2", "node", "partners"])
+
+
+def _fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _stars(percent: int):
+    """Pairs of a cell's hub and its other members that the estimate does not rule out."""
+    low = percent / 100 - ESTIMATE_SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in _cells(batches):
+            rows, sizes, hub = _sketches(table.column("sketch")), table.column("n_shingles").to_numpy(), table.column("hub").to_numpy()
+            cell = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            hub_of = np.full(len(at) - 1, -1)
+            hub_of[cell[hub]] = np.flatnonzero(hub)
+            other = np.flatnonzero(~hub)
+            centre = hub_of[cell[other]]
+            other, centre = other[centre >= 0], centre[centre >= 0]
+            fits = _fit(sizes[other], sizes[centre], percent)
+            other, centre = other[fits], centre[fits]
+            keep = np.concatenate([np.zeros(0, bool), *((rows[other[k : k + 4096]] == rows[centre[k : k + 4096]]).mean(axis=1) >= low for k in range(0, len(other), 4096))])
+            if keep.any():
+                yield _partner_rows(table, centre[keep], other[keep])
+
+    return run
+
+
+def _blocks(percent: int):
+    """Pairs of two blocks (or within one) of different components that the estimate does not rule out."""
     low = percent / 100 - ESTIMATE_SLACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)
-            keep = [estimate(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) >= low for x, y in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for table, at in _cells(batches):
+            rows = _sketches(table.column("sketch"))
+            sizes, component, part = (table.column(c).to_numpy() for c in ("n_shingles", "component", "part"))
+            lefts, rights = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                first = a + np.flatnonzero(part[a:b] == 0)
+                second = a + np.flatnonzero(part[a:b] == 1)
+                for k, i in enumerate(first.tolist()):
+                    to = second if len(second) else first[k + 1 :]
+                    to = to[(component[to] != component[i]) & _fit(sizes[to], sizes[i], percent)]
+                    if len(to):
+                        to = to[(rows[to] == rows[i]).mean(axis=1) >= low]
+                        lefts.append(np.full(len(to), i))
+                        rights.append(to)
+            left = np.concatenate([np.zeros(0, np.int64), *lefts])
+            if len(left):
+                yield _partner_rows(table, left, np.concatenate(rights))
 
     return run
 
 
 def _verifier(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                keep = []
-                (ha, fa), (hb, fb) = (hash_words(*text_buffer(batch.column(f"text_{side}")), lower=True) for side in "ab")
-                for i in range(batch.num_rows):
-                    x, y = shingle_set(ha[fa[i] : fa[i + 1]]), shingle_set(hb[fb[i] : fb[i + 1]])
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """(a, b): pairs of partners whose full shingle sets are similar enough, leaving out those that links of the cell connect already."""
 
-    return verify
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in _cells(batches):
+            sets: list[np.ndarray] = []
+            for whole in table.select(["text"]).combine_chunks().to_batches():
+                for batch in row_slices(whole, "text", 2 << 20):
+                    hashes, first = hash_words(*text_buffer(batch.column("text")), lower=True)
+                    sets += [shingle_set(hashes[first[i] : first[i + 1]]) for i in range(batch.num_rows)]
+            node, partners = table.column("node").to_numpy(), table.column("partners").combine_chunks()
+            starts, members = partners.offsets.to_numpy(), partners.values.to_numpy()
+            links: list[tuple[int, int]] = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                row_of = dict(zip(node[a:b].tolist(), range(a, b), strict=True))
+                root = {i: i for i in range(a, b)}
+
+                def find(i: int, root: dict[int, int] = root) -> int:
+                    while root[i] != i:
+                        root[i] = i = root[root[i]]
+                    return i
+
+                for i in range(a, b):
+                    mine = sets[i]
+                    others = [row_of[x] for x in members[starts[i] : starts[i + 1]].tolist()]
+                    for k in range(0, len(others), 64):
+                        tested = [j for j in others[k : k + 64] if find(j) != find(i)]
+                        if not tested:
+                            continue
+                        lengths = np.array([len(sets[j]) for j in tested])
+                        each = np.concatenate([sets[j] for j in tested])
+                        place = np.minimum(np.searchsorted(mine, each), len(mine) - 1)
+                        both = np.add.reduceat((mine[place] == each).astype(np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])))
+                        for j, similar in zip(tested, (100 * both >= percent * (len(mine) + lengths - both)).tolist(), strict=True):
+                            if similar:
+                                links.append((int(node[i]), int(node[j])))
+                                root[find(j)] = find(i)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("c1", "c2").sortWithinPartitions("c1", "c2")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links.
+    """One row per document: doc_id, text_hash, n_shingles, component_id, kept.
 
     Linked are documents with 100 * intersection >= percent * union of their shingle sets (words lower-cased
     in A-Z). component_id is the smallest doc_id reachable, kept says whether that is the document itself.
-    n_links counts verified links of the document's class of equal sets to classes with other sets, as far
-    as the search needed them to connect the component.
+    text_hash is xxhash64 of the text, which tells rows of one doc_id apart.
 
     Null or empty texts and texts without words have no shingles, are linked with nothing and kept. A null
     doc_id takes part; its component_id is the smallest doc_id reached, or null, and it is kept only where
-    that is null. Repeated rows are copies of one another: all rows of the smallest doc_id are kept. Other
-    columns are ignored. An empty table gives an empty result.
+    that is null. Repeated rows are copies of one another: all rows of the smallest doc_id are kept. Any
+    64-bit doc_id will do. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("t", F.xxhash64("text")).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID) + F.expr(f"t & {_NO_ID // 2 - 1}")))
-    sketched = through_table(docs.mapInArrow(_sketch, "doc_id long, id long, t long, n_shingles long, s1 long, s2 long, sketch binary"), "sketch")
-    classes = cut(
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    sketched = through_table(docs.mapInArrow(_sketch, "doc_id long, t long, n_shingles long, s1 long, s2 long, sketch binary"), "sketch")
+    # `name` finds the text of a class again, also where it has no doc_id; `node` numbers the classes.
+    classes = (
         sketched.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles")
-        .agg(F.min(F.struct("id", "t")).alias("least"), F.first("sketch").alias("sketch"))
-        .select("s1", "s2", "n_shingles", "sketch", F.col("least.id").alias("node"), "least.t")
+        .agg(F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", "t").alias("name"), "t")).alias("of"), F.first("sketch").alias("sketch"))
+        .select("s1", "s2", "n_shingles", "least", "of.name", "of.t", "sketch", F.monotonically_increasing_id().alias("node"))
     )
-    bands = classes.mapInArrow(_bands, "key long, node long, n_shingles long")
+    classes = through_table(classes, "classes")
+    release(documents.sparkSession)
+    bands = classes.select("node", "n_shingles", "sketch").mapInArrow(_bands, "key long, node long, n_shingles long")
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where("members > 1")
-    members = cut(bands.join(shared.select("key", "leader"), "key"))
-
-    # A class's text is that of its row with the smallest id; several such rows hold the same text.
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), "t")
-    with_text = docs.select("id", "t", "text").join(wanted, ["id", "t"]).groupBy(F.col("id").alias("node")).agg(F.first("text").alias("text"))
-    with_text = through_table(with_text, "texts")
-    plausible, verify = _plausible(percent), _verifier(percent)
-
-    def links(pairs: DataFrame) -> DataFrame:
-        """Pairs by their sketches alone first; only those that may pass carry their texts."""
-        for of, column, judge in ((classes, "sketch", plausible), (with_text, "text", verify)):
-            left = of.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a"))
-            right = of.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b"))
-            pairs = pairs.join(left, "a").join(right, "b").mapInArrow(judge, "a long, b long")
-        return pairs
-
-    def sizes_fit(x: str, y: str):
-        return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-    sizes = classes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("leader_size"))
-    first = members.where("node <> leader").groupBy("leader", "node").agg(F.first("n_shingles").alias("n_shingles"))
-    first = first.join(sizes, "leader").where(sizes_fit("n_shingles", "leader_size")).select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    found = cut(links(first))
+    members = through_table(bands.join(shared.select("key", "leader"), "key"), "members")
+    release(documents.sparkSession)
+    sketches = classes.select("node", "n_shingles", "sketch")
+
+    def links(cells: DataFrame, compare) -> DataFrame:
+        """Verified pairs of the cells (c1, c2, node and what `compare` reads): sketches first, then texts of those that may pass."""
+        found = through_table(_dealt(cells.join(sketches, "node")).mapInArrow(compare(percent), _PARTNERS), "plausible")
+        wanted = found.select("node").distinct().join(classes.select("node", "name", "t"), "node")
+        named = docs.select(F.coalesce("doc_id", "t").alias("name"), "t", "text")
+        texts = named.join(wanted, ["name", "t"]).groupBy("name", "t").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
+        out = through_table(_dealt(found.join(texts, "node")).mapInArrow(_verifier(percent), "a long, b long"), "links")
+        discard(found)
+        return out
+
+    def parts(total: str, count: str):
+        return F.ceil(F.greatest(F.col(total) / CELL, F.col(count) / CELL_MEMBERS, F.lit(1.0))).cast("long")
+
+    # First pass: every leader with its members, in as many cells as they need.
+    star = members.where("node <> leader").groupBy("leader", "node").agg(F.first("n_shingles").alias("n"))
+    salts = star.groupBy("leader").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select("leader", parts("total", "k").alias("salts"))
+    hubs = salts.select(F.col("leader").alias("c1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("c2"), F.col("leader").alias("node"), F.lit(True).alias("hub"))
+    rays = star.join(salts, "leader").select(F.col("leader").alias("c1"), F.expr("pmod(xxhash64(node), salts)").alias("c2"), "node", F.lit(False).alias("hub"))
+    found = links(hubs.unionByName(rays), _stars)
     linked = cut(components(found))
+    release(documents.sparkSession)
 
+    # Second pass: members of buckets that still hold several components. A block has one home, the smallest
+    # leader its members share a bucket with; those of the home's own component keep to blocks of their own.
     placed = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = linked.select(F.col("node").alias("leader"), F.col("component").alias("main"))
-    placed = placed.join(heads, "leader", "left").withColumn("main", F.coalesce("main", "leader"))
-    strays = placed.where("component <> main").select("key", "leader", F.col("node").alias("s"), F.col("component").alias("sc"), F.col("n_shingles").alias("sn"))
-    rest = (
-        strays.join(placed.select("key", "node", "component", "n_shingles", F.col("leader").alias("l")), "key")
-        .where("component <> sc and node <> l").where(sizes_fit("sn", "n_shingles"))
-        .select(F.least("s", "node").alias("a"), F.greatest("s", "node").alias("b")).distinct()
-    )
-    more = cut(links(rest))
-    everything, final = found, linked
-    if not more.isEmpty():
-        everything = found.unionByName(more)
-        final = cut(components(everything))
-
-    degree = everything.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = classes.select("s1", "s2", "n_shingles", "node").join(final, "node", "left").join(degree, "node", "left")
-    placed = placed.select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("c"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(placed, ["s1", "s2", "n_shingles"], "left")
-    component = F.when(F.col("c").isNull(), F.col("doc_id")).when(F.col("c") < _NO_ID, F.col("c"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-    )
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    placed = through_table(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
+    if placed.isEmpty():
+        final = linked
+    else:
+        homes = placed.groupBy("node").agg(F.min("leader").alias("home"), F.first("component").alias("component"), F.first("n_shingles").alias("n"))
+        of_home = linked.select(F.col("node").alias("home"), F.col("component").alias("main"))
+        homes = homes.join(of_home, "home", "left").withColumn("own", F.col("component") == F.coalesce("main", "home")).drop("main")
+        sizes = homes.groupBy("home", "own").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select("home", "own", parts("total", "k").alias("salts"))
+        homes = homes.join(sizes, ["home", "own"]).select("node", "component", F.expr("xxhash64(home, own, pmod(xxhash64(node), salts))").alias("block"))
+        homes = through_table(homes, "blocks")
+        inside = placed.select("key", "node").join(homes, "node").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        inside = through_table(inside, "inside")
+        other = inside.select("key", F.col("block").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        meet = inside.withColumnRenamed("block", "c1").join(other, "key").where("c1 <= c2 and least(lo, lo2) <> greatest(hi, hi2)").select("c1", "c2").distinct()
+        sides = meet.select("c1", "c2", F.explode(F.expr("if(c1 = c2, array(struct(c1 as block, 0 as part)), array(struct(c1 as block, 0 as part), struct(c2 as block, 1 as part)))")).alias("x"))
+        more = links(sides.select("c1", "c2", "x.block", "x.part").join(homes, "block").drop("block"), _blocks)
+        final = linked if more.isEmpty() else cut(components(found.unionByName(more)))
+        discard(homes, inside)
+    discard(members, placed)
+
+    placed = classes.select("s1", "s2", "n_shingles", "least", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("c"))
+    placed = placed.join(least, "component").select("s1", "s2", "n_shingles", "c", F.lit(True).alias("known"))
+    out = sketched.select("doc_id", "t", "n_shingles", "s1", "s2").join(placed, ["s1", "s2", "n_shingles"], "left")
+    component = F.when(F.col("known"), F.col("c")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("t").alias("text_hash"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -114,6 +114,68 @@ def test_hyperminhash_against_brute_force(docs, texts, empty):
     assert hyperminhash.near_duplicates(empty).collect() == []
 
 
+def test_hyperminhash_of_large_ids_and_many_near_copies(spark):
+    """Copies of one text with many or few changes: links, chains and strays in one bucket, against brute force."""
+    r, base = random.Random(4), prose(50, 160, 5000).split()
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(r.randrange(0, 12)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = [((1 << 62) + 5 * i if i % 2 else -i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, "own words of a text with no id"), (7, texts[3])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        least[find(i)] = min((x for x in (least.get(find(i)), name) if x is not None), default=None)
+    wanted = sorted(((name, len(sets[i]), least[find(i)]) for i, (name, _) in enumerate(rows)), key=repr)
+    assert 1 < len(set(map(repr, least.values()))) < 100
+    for cell in (hyperminhash.CELL, 2000):
+        old, hyperminhash.CELL = hyperminhash.CELL, cell
+        got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        hyperminhash.CELL = old
+        assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=repr) == wanted
+
+
+def _thue_morse(a, b):
+    out = a
+    for _ in range(11):
+        out += out.translate(str.maketrans({a: b, b: a}))
+    return out
+
+
+def test_long_patterned_words_are_told_apart(spark):
+    """Words that every polynomial modulo a power of two confuses."""
+    x, y = _thue_morse("a", "b"), _thue_morse("b", "a")
+    rest = prose(1, 60).split()
+    rows = [(1, " ".join(w for z in rest for w in (z, x))), (2, " ".join(w for z in rest for w in (z, y)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in difference_cover.without_repeats(docs).collect()] == [0, 0]
+    assert {r["component_id"] for r in hyperminhash.near_duplicates(docs).collect()} == {1, 2}
+
+
+def test_very_long_texts(spark):
+    """Texts over one piece of the word hash, with one passage in common."""
+    shared = prose(5, 50, 10**6)
+    texts = [prose(6, 300000, 10**6) + " " + shared, shared + " " + prose(7, 200000, 10**6), " ".join(["z" * 1_500_000, shared, "z" * 1_500_000])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[1])], "doc_id long, text string")
+    got = {(r["doc_id"]): r for r in difference_cover.without_repeats(docs).collect()}
+    assert (got[0]["n_removed"], got[2]["n_removed"], got[1]["n_removed"], got[None]["n_words"]) == (50, 50, 200050, 200050)
+    near = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(docs).collect()}
+    assert near == {0: 0, 1: 1, 2: 2, None: 1}
+
+
 def test_repair_round_trip():
     r = np.random.default_rng(0)
     for ids in (np.zeros(0, np.uint32), np.array([2], np.uint32), np.full(5000, 7, np.uint32), r.integers(0, 30, 20000).astype(np.uint32), np.tile(r.integers(0, 49000, 50), 200).astype(np.uint32)):
