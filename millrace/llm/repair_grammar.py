@@ -1,16 +1,15 @@
 """Token ids in files, compressed by Re-Pair grammars with random access.
 
-Documents are dealt into ranges of doc_id, encoded, and cut at document ends into shards of about
-SHARD_IDS ids. In each shard frequent pairs of neighbouring symbols are replaced by nonterminals, round
-after round: a round counts all pairs, takes the most frequent, lets the more frequent win where two
-overlap, and keeps those that still occur MIN_COUNT times, until there are none. A shard's record holds the rules, the
+Documents are dealt into ranges of doc_id, encoded, and cut at document ends into shards of SHARD_IDS ids
+and the rest of the last document. In each shard frequent pairs of neighbouring symbols are replaced by
+nonterminals, round after round: a round counts the pairs that may have become frequent, lets the more
+frequent win where two overlap, and keeps those that still occur MIN_COUNT times, until there are none. A shard's record holds the rules, the
 expansion lengths and the remaining sequence, so a document is decoded from the symbols that cover it
 alone. Records are Parquet rows, so any store that Spark reads will do and a lost task is just run again.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,50 +19,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.storage import through_table
+from millrace.llm.word_bpe import Encoder
 from millrace.llm.words import row_slices
 
 SHARD_IDS = 1 << 20
-PAIRS_PER_ROUND = 4096
-MIN_COUNT = 8
+#: A rule takes three numbers and saves one with each use, so it pays from the fourth use on.
+MIN_COUNT = 4
 END = 2
+#: Pairs are first counted by a hash of so many bits, which only spares the sort of rare ones.
+BUCKET_BITS = 20
 RANGE_BYTES = 32 << 20
 
 
+#: A worker's encoders by file.
+_encoders: dict[str, Encoder] = {}
+
+
+def _bucket(pair: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((pair * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules of two symbols each, first nonterminal) of an id array."""
     sequence = ids.astype(np.uint32)
     base = symbols = int(sequence.max()) + 1 if len(sequence) else 1
     rules = [np.zeros((0, 2), np.uint32)]
-    # Every round but the last shortens the sequence.
-    while len(sequence) >= 2:
-        pair = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        kinds, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
-        top = np.argsort(-counts, kind="stable")[:PAIRS_PER_ROUND]
-        top = top[counts[top] >= MIN_COUNT]
-        if not len(top):
+    # Places whose pair may still be frequent: only a pair beside a replacement can become so later.
+    active = np.arange(max(0, len(sequence) - 1))
+    seed = 0
+    while len(active):
+        pair = (sequence[active].astype(np.uint64) << np.uint64(32)) | sequence[active + 1]
+        bucket = _bucket(pair, seed)
+        often = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= MIN_COUNT
+        active, pair = active[often], pair[often]
+        order = np.argsort(pair, kind="stable")
+        ordered = pair[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), ordered[1:] != ordered[:-1])))
+        counts = np.diff(np.append(first, len(pair)))
+        kind = np.empty(len(pair), np.int64)
+        kind[order] = np.repeat(np.arange(len(first)), counts)
+        often = counts[kind] >= MIN_COUNT
+        if not often.any():
             break
-        rank = np.full(len(kinds), len(kinds), np.int64)
-        rank[top] = np.arange(len(top))
-        at = rank[inverse]
-        # Better of both neighbours, then left to right within runs of one pair.
-        padded = np.concatenate(([len(kinds)], at, [len(kinds)]))
-        win = (at < len(kinds)) & (at <= padded[:-2]) & (at <= padded[2:])
-        place = np.flatnonzero(win)
-        run = np.concatenate(([0], np.cumsum(np.diff(place) > 1))) if len(place) else np.zeros(0, np.int64)
-        first = np.flatnonzero(np.diff(run, prepend=-1))
-        place = place[(np.arange(len(place)) - first[run]) % 2 == 0] if len(place) else place
-        used = np.bincount(at[place], minlength=len(top))
+        active, kind = active[often], kind[often]
+        # The more frequent of two neighbours wins, then left to right within runs of one pair.
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        at = rank[kind]
+        beside = active[1:] == active[:-1] + 1
+        win = np.ones(len(at), bool)
+        win[1:] &= ~beside | (at[1:] <= at[:-1])
+        win[:-1] &= ~beside | (at[:-1] <= at[1:])
+        place, kind = active[win], kind[win]
+        run = np.concatenate(([0], np.cumsum(np.diff(place) > 1)))
+        start = np.flatnonzero(np.diff(run, prepend=-1))
+        odd = (np.arange(len(place)) - start[run]) % 2 == 0
+        place, kind = place[odd], kind[odd]
+        used = np.bincount(kind, minlength=len(counts))
         good = used >= MIN_COUNT
+        seed += 1
         if not good.any():
             break
-        place = place[good[at[place]]]
+        kept = good[kind]
+        place, kind = place[kept], kind[kept]
         number = np.cumsum(good) - 1 + symbols
-        sequence = sequence.copy()
-        sequence[place] = number[at[place]]
-        keep = np.ones(len(sequence), bool)
-        keep[place + 1] = False
-        sequence = sequence[keep]
-        chosen = kinds[top[good]]
+        sequence[place] = number[kind]
+        gone = np.zeros(len(sequence), bool)
+        gone[place + 1] = True
+        moved = np.cumsum(~gone) - 1
+        # What was frequent before, and what now stands beside a new symbol.
+        near = np.zeros(len(sequence), bool)
+        near[active[~gone[active]]] = True
+        new = moved[place]
+        sequence = sequence[~gone]
+        near = near[~gone]
+        near[new] = True
+        near[np.maximum(new - 1, 0)] = True
+        if len(near):
+            near[-1] = False
+        active = np.flatnonzero(near)
+        chosen = ordered[first[good]]
         rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         symbols += int(good.sum())
     return sequence, np.concatenate(rules), base
@@ -120,29 +156,33 @@ def write(documents: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_file(path)
-        place, shard, parts, names, counts = None, 0, [], [], []
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        place, shard, parts, names, counts, held = None, 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(x, pa.int64())) for x in (names, counts)]
             return pa.RecordBatch.from_arrays(
-                [pa.array([place], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(np.concatenate(parts))], pa.binary()), pa.array([names], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                ["range", "shard", "payload", "doc_ids", "counts"],
+                [pa.array([place], pa.int32()), pa.array([shard], pa.int32()), pa.array([pack(np.concatenate(parts))], pa.binary()), *lists], ["range", "shard", "payload", "doc_ids", "counts"]
             )
 
         for whole in batches:
             for batch in row_slices(whole, "text", 1 << 20):
-                encoded = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)
+                ids, sizes = _encoders[path].encode([t or "" for t in batch.column("text").to_pylist()], END)
                 place = batch.column("range")[0].as_py()
-                for name, e in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
-                    parts.append(np.array([*e.ids, END], np.uint32))
-                    names.append(name)
-                    counts.append(len(parts[-1]))
-                    if sum(counts[-1:]) >= SHARD_IDS or (len(counts) % 64 == 0 and sum(counts) >= SHARD_IDS):
+                stops = np.cumsum(sizes)
+                row, begin = 0, 0
+                while row < len(sizes):
+                    # Documents up to the one that fills the shard.
+                    stop = min(int(np.searchsorted(stops, begin + SHARD_IDS - held)) + 1, len(sizes))
+                    parts.append(ids[begin : stops[stop - 1]])
+                    names += batch.column("doc_id")[row:stop].to_pylist()
+                    counts += sizes[row:stop].tolist()
+                    held += len(parts[-1])
+                    row, begin = stop, int(stops[stop - 1])
+                    if held >= SHARD_IDS:
                         yield flush()
-                        shard, parts, names, counts = shard + 1, [], [], []
+                        shard, parts, names, counts, held = shard + 1, [], [], [], 0
         if counts:
             yield flush()
 
@@ -154,7 +194,11 @@ def write(documents: DataFrame, path: str) -> DataFrame:
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 for every document of the stored shards."""
+    """doc_id, start, n_tokens, ids_crc32 for every document of the stored shards.
+
+    Every record gives its documents' rows, null and repeated doc_ids included; no record gives no row.
+    `Shard.ids` decodes single documents; here each shard is decoded once, as all of it is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +206,8 @@ def read(shards: DataFrame) -> DataFrame:
                 shard = Shard(batch.column("payload")[i].as_py())
                 counts = np.array(batch.column("counts")[i].as_py(), np.int64)
                 ends = np.cumsum(counts)
-                crc = [zlib.crc32(shard.ids(int(e - c), int(e)).astype("<u4").tobytes()) for e, c in zip(ends, counts, strict=True)]
+                ids = memoryview(shard.ids(0, int(counts.sum())).astype("<u4").tobytes())
+                crc = [zlib.crc32(ids[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(c)[i].as_py()] * n, pa.int32()) for c in ("range", "shard")]
