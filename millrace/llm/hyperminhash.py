@@ -316,8 +316,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     linked = cut(components(found))
     release(documents.sparkSession)
 
-    # Second pass: members of buckets that still hold several components. A block has one home, the smallest
-    # leader its members share a bucket with; those of the home's own component keep to blocks of their own.
+    # Second pass: members of buckets that still hold several components. A block has one home, the component of
+    # the smallest leader that its members share a bucket with; those of that component keep to blocks of their own.
     placed = members.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     placed = through_table(placed.join(mixed.select("key"), "key", "left_semi"), "mixed")
@@ -326,7 +326,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     else:
         homes = placed.groupBy("node").agg(F.min("leader").alias("home"), F.first("component").alias("component"), F.first("n_shingles").alias("n"))
         of_home = linked.select(F.col("node").alias("home"), F.col("component").alias("main"))
-        homes = homes.join(of_home, "home", "left").withColumn("own", F.col("component") == F.coalesce("main", "home")).drop("main")
+        homes = homes.join(of_home, "home", "left").withColumn("home", F.coalesce("main", "home")).withColumn("own", F.col("component") == F.col("home")).drop("main")
         sizes = homes.groupBy("home", "own").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select("home", "own", parts("total", "k").alias("salts"))
         homes = homes.join(sizes, ["home", "own"]).select("node", "component", F.expr("xxhash64(home, own, pmod(xxhash64(node), salts))").alias("block"))
         homes = through_table(homes, "blocks")
