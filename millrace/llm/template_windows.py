@@ -1,24 +1,26 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers become one placeholder, units after a number another; everything is lower-cased and stripped of
-punctuation. Names have a third placeholder, in three forms of every text: `named` takes capitalised words
-inside sentences for names, `capital` every capitalised word (a name at a sentence start as well), `folded`
-none (text in upper or title case). Windows of ten words of every document, in each form, are hash-joined to
-those of the benchmark items, so that a question with other numbers or names, or in another case, still
-meets its original. A window of an item must hold at least MIN_LITERAL ordinary words.
-
-A document-item pair is kept when enough of the item's windows were found, of the named or of the folded
-ones, by any form. Pairs whose raw words agree too, case ignored, are verbatim. For the rest the slots are
-compared on every offset at which a window was found: each value of the item must stand for one value in
-the document throughout; a pair that fails this on every offset is dropped.
-
-The benchmark side is broadcast when its windows number at most BROADCAST_WINDOWS, otherwise the join is
-an ordinary shuffled one on the window hash.
+Every text is read in three modes. `named` takes capitalised words inside sentences for names, `capital`
+every capitalised word (a name at a sentence start as well), `folded` none (text in upper or title case).
+Neighbouring name words are one name. In each mode numbers, number words, units after a number and names
+become placeholders; the rest is lower-cased and stripped of punctuation. Windows of ten words are
+hash-joined within their mode, so that a question with other numbers or names, or in another case, still
+meets its original. A window must hold at least MIN_LITERAL ordinary words. An item of fewer than ten words
+is one window; an item without such windows is looked for by its plain words.
+
+A document-item pair is kept when enough of the item's windows were found in a mode and either all of them
+agree word for word (verbatim) or the slots are consistent on an offset at which windows were found: each
+value of the item stands for one value in the document throughout.
+
+Before all this, texts are chosen that can hold a window at all: six ordinary words among ten stand next to
+one another at least once, so for each window its longest pair of neighbouring ordinary words must occur in
+the text. That is one hash a word and a look-up; everything else runs on the texts chosen, each distinct
+text once. Up to ANCHORS pairs the look-up is a set in the plan, beyond that a join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.storage import through_table
@@ -28,97 +30,147 @@ MIN_LITERAL = 6
 #: Share of an item's windows that must be found in a document, in percent.
 SHARE = 30
 BROADCAST_WINDOWS = 200_000
-UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "lb", "oz", "ml", "l", "s", "ms", "min", "h", "hours", "days", "years", "dollars", "euros", "percent", "miles", "feet", "inches", "watts", "volts")
-_NAME, _NUMBER, _UNIT = "\ue000", "\ue001", "\ue002"
-FORMS = ("named", "capital", "folded")
+ANCHORS = 20_000
+UNITS = (
+    "mm", "cm", "m", "km", "g", "kg", "mg", "lb", "lbs", "oz", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks",
+    "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "degrees", "mile", "miles", "meter", "meters", "metres", "kilometers",
+    "feet", "foot", "inch", "inches", "yards", "liter", "liters", "litres", "gallons", "gram", "grams", "kilograms", "tons", "watts", "volts", "mph", "kmh",
+)
+NUMBER_WORDS = (
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+    "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+)
+_NAME, _NUMBER, _UNIT, _JOIN = "", "", "", ""
+_MARKS = f"{_NAME}{_NUMBER}{_UNIT}{_JOIN}"
+#: Stripped from words; white space of any kind parts them.
+_STRIPPED, _SPACES = r"[^\p{L}\p{M}\p{N}\s\p{Z}]+", r"[\s\p{Z}]+"
 
 
-def _words(rows: DataFrame, *keep: str) -> DataFrame:
-    """raw: lower-cased words without punctuation; named, capital, folded: the same places with placeholders."""
-    marked = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), f"[{_NAME}{_NUMBER}{_UNIT}]", "")
-    marked = F.regexp_replace(marked, r"(?<=[^.!?\s][ \t])(?=\p{Lu})", _NAME)
-    marked = F.regexp_replace(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{_NAME}]+", "")
-    spaced = rows.select(*keep, F.trim(F.regexp_replace(marked, r"\s+", " ")).alias("marked")).withColumn("plain", F.translate("marked", _NAME, ""))
+def _text(column: str = "text") -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
-    def typed(text: Column) -> Column:
-        return F.regexp_replace(F.lower(F.regexp_replace(text, r"\p{N}\S*", _NUMBER)), rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?= |$)", _UNIT)
 
-    texts = {
-        "raw": F.lower("plain"), "named": typed(F.regexp_replace("marked", rf"{_NAME}\S+", _NAME)),
-        "capital": typed(F.regexp_replace("plain", r"(?<!\S)\p{Lu}\S*", _NAME)), "folded": typed(F.col("plain")),
-    }
-    return spaced.select(*keep, *[F.split(F.nullif(x, F.lit("")), " ").alias(name) for name, x in texts.items()])
+def plain_words(text: Column) -> Column:
+    """Lower-cased words without punctuation; an empty word may come first or last."""
+    return F.split(F.lower(F.regexp_replace(text, _STRIPPED, "")), _SPACES)
 
 
-def _hashes(words: DataFrame, *keep: str) -> DataFrame:
-    """Each form's words as hashes; none without words."""
-    return words.select(*keep, *[F.expr(f"transform(coalesce({x}, array()), x -> xxhash64(x))").alias(x) for x in FORMS])
+def _typed(text: Column) -> Column:
+    """Lower-cased, with placeholders for numbers and for units after them."""
+    numbered = F.lower(F.regexp_replace(text, r"\p{N}\S*", _NUMBER))
+    numbered = F.regexp_replace(numbered, rf"(?<!\S)(?:{'|'.join(NUMBER_WORDS)})(?!\S)", _NUMBER)
+    return F.regexp_replace(numbered, rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?!\S)", _UNIT)
 
 
-def _each_window(fields: str) -> Column:
-    """A row for each window, from its place i; no filter, as one would be pushed below and repeat the patterns."""
-    return F.explode(F.expr(f"transform(if(size(named) >= {WINDOW}, sequence(0, size(named) - {WINDOW}), cast(array() as array<int>)), i -> struct(i as place, {fields}))"))
+def modes(rows: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, mode, raw, typed, slots, capital): arrays of equal length for each text and mode.
 
+    `typed` has the placeholders of the mode, `slots` those that an item compares, `capital` those that a
+    document offers: all numbers, units and capitalised words. Mode `plain` has no placeholders at all.
+    """
+    base = F.regexp_replace(F.regexp_replace(_text(), f"[{_MARKS}]", ""), r"\p{Z}", " ")
+    marked = F.regexp_replace(base, r"(?<=[^.!?\s]\s)(?=\p{Lu})", _NAME)
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{_MARKS}]+", ""), r"\s+", " "))
+    run = r"(?<={}\p{{Lu}}[\p{{L}}\p{{M}}]{{0,40}})\s(?={}\p{{Lu}})"
+    out = rows.select(*keep, clean(marked).alias("u"), clean(F.regexp_replace(marked, run.format(_NAME, _NAME), _JOIN)).alias("n"), clean(F.regexp_replace(base, run.format("", ""), _JOIN)).alias("c"))
+
+    def mode(name: str, text: str, typed: str, slots: str) -> Column:
+        plain = F.translate(text, _NAME, "")
+        words = {"raw": F.lower(plain), "named": _typed(F.regexp_replace(text, rf"{_NAME}\S+", _NAME)), "capital": _typed(F.regexp_replace(plain, r"(?<!\S)\p{Lu}\S*", _NAME)), "folded": _typed(plain)}
+        split = lambda t: F.split(t, " ")
+        return F.struct(F.lit(name).alias("mode"), split(words["raw"]).alias("raw"), split(words[typed]).alias("typed"), split(words[slots]).alias("slots"), split(words["capital"]).alias("capital"))
+
+    each = F.array(mode("named", "n", "named", "named"), mode("capital", "c", "capital", "capital"), mode("folded", "u", "folded", "named"), mode("plain", "u", "raw", "raw"))
+    return out.where("u <> ''").select(*keep, F.explode(each).alias("x")).select(*keep, "x.*")
+
+
+def _windows(rows: DataFrame, sizes: Column, *keep: str) -> DataFrame:
+    """(*keep, mode, place, size, h) for every window of one of the sizes."""
+    sized = rows.withColumn("size", F.explode(sizes)).where("size(raw) >= size")
+    places = "transform(sequence(0, size(typed) - size), i -> struct(i as place, xxhash64(mode, slice(typed, i + 1, size)) as h))"
+    return sized.withColumn("w", F.explode(F.expr(places))).select(*keep, "mode", "w.place", "size", "w.h")
 
-def _window(form: str) -> str:
-    return f"xxhash64(slice({form}, i + 1, {WINDOW}))"
 
+def _literals(of: str) -> str:
+    return f"filter({of}, x -> not x rlike '[{_MARKS}]')"
 
-def _literal(form: str) -> str:
-    return f"size(filter(slice({form}, place + 1, {WINDOW}), x -> x not in ('{_NAME}', '{_NUMBER}', '{_UNIT}'))) >= {MIN_LITERAL}"
+
+def item_windows(item_modes: DataFrame) -> DataFrame:
+    """(item_id, mode, place, size, h, anchor) of the windows with enough ordinary words, plain ones only for items without others."""
+    size = F.expr(f"array(cast(if(size(raw) >= {WINDOW}, {WINDOW}, size(raw)) as int))")
+    found = _windows(item_modes, size, "item_id").join(item_modes.select("item_id", "mode", "typed"), ["item_id", "mode"])
+    found = found.withColumn("words", F.expr("slice(typed, place + 1, size)")).where(f"size({_literals('words')}) >= {MIN_LITERAL}")
+    pairs = f"transform(sequence(0, size(words) - 2), i -> if(words[i] rlike '[{_MARKS}]' or words[i + 1] rlike '[{_MARKS}]', null, struct(length(words[i]) + length(words[i + 1]) as n, words[i] as a, words[i + 1] as b)))"
+    found = found.withColumn("best", F.expr(f"array_max(filter({pairs}, x -> x is not null))")).withColumn("anchor", F.expr("xxhash64(best.a, best.b)"))
+    found = found.select("item_id", "mode", "place", "size", "h", "anchor")
+    templates = found.where("mode <> 'plain'")
+    return templates.unionByName(found.where("mode = 'plain'").join(templates.select("item_id").distinct(), "item_id", "left_anti"))
+
+
+def _candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows whose text holds an anchor pair."""
+    worded = docs.withColumn("words", plain_words(_text()))
+    hashes = "transform(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]))"
+    few = [r["anchor"] for r in anchors.limit(ANCHORS + 1).collect()]
+    if len(few) <= ANCHORS:
+        inside = f"exists(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]) in ({', '.join(map(str, few))}))" if few else "false"
+        return worded.where(f"size(words) > 1 and {inside}").drop("words")
+    pairs = worded.where("size(words) > 1").select("t", F.explode(F.expr(f"array_distinct({hashes})")).alias("anchor"))
+    return docs.join(pairs.join(anchors, "anchor", "left_semi").select("t").distinct(), "t", "left_semi")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_found, n_windows, verbatim for each document that holds a benchmark item or its template.
+    """doc_id, text_hash, item_id, n_found, n_windows, verbatim for each document that holds a benchmark item or its template.
 
-    n_windows counts the item's distinct named windows, n_found those met in the document by any form; where
-    too few of these were met they count the folded windows. Items or documents of fewer than ten words have
-    no windows and never match; null or empty texts likewise, and rows with a null key are left out. Repeated
-    rows give one result; other columns are ignored; an empty table on either side gives an empty result.
+    n_windows counts the item's distinct windows in the mode with the largest share found, n_found those met
+    in the document. An item or document without MIN_LITERAL words never matches; null or empty texts
+    likewise. A null doc_id is reported as null; a null item_id takes part as one item. Rows that repeat a
+    doc_id and text give one result; text_hash (xxhash64 of the text) tells texts of one doc_id apart. Other
+    columns are ignored; an empty table on either side gives an empty result.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-    item_words = through_table(_words(items, "item_id"), "items")
-    windows = _hashes(item_words, "item_id").select("item_id", _each_window(", ".join(f"{_window(x)} as {x}_h" for x in FORMS)).alias("w")).select("item_id", "w.*")
-    # Null where a window holds too few ordinary words.
-    places = windows.join(item_words, "item_id").select("item_id", F.col("place").alias("item_place"), *[F.expr(f"if({_literal(x)}, {x}_h, null)").alias(x) for x in FORMS])
-    places = through_table(places.where(F.coalesce(*FORMS).isNotNull()), "item-windows")
-    totals = places.groupBy("item_id").agg(F.countDistinct("named").alias("n_named"), F.countDistinct("folded").alias("n_folded"))
-    few = places.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    side = places.distinct().withColumn("key", F.explode(F.expr(f"array_distinct(array_compact(array({', '.join(FORMS)})))"))).drop("capital")
-    keys = _hashes(_words(docs, "doc_id"), "doc_id").select("doc_id", _each_window(f"array_distinct(array({', '.join(map(_window, FORMS))})) as keys").alias("w"))
-    keys = keys.select("doc_id", F.col("w.place").alias("place"), F.explode("w.keys").alias("key"))
-    met = keys.join(F.broadcast(side) if few else side, "key").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "named", "folded")
-    met = through_table(met.distinct(), "met")
-    found = met.groupBy("doc_id", "item_id").agg(F.countDistinct("named").alias("named"), F.countDistinct("folded").alias("folded"))
-    found = found.join(F.broadcast(totals) if few else totals, "item_id").withColumn("by_name", F.expr(f"n_named > 0 and 100 * named >= {SHARE} * n_named"))
-    pairs = found.where(f"by_name or (n_folded > 0 and 100 * folded >= {SHARE} * n_folded)").select(
-        "doc_id", "item_id", F.expr("if(by_name, named, folded)").alias("n_found"), F.expr("if(by_name, n_named, n_folded)").alias("n_windows")
-    )
-    pairs = through_table(pairs, "pairs")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # Items go by a number of their own here, as ids may be null or repeat.
+    items = through_table(items.distinct().withColumn("item_id", F.monotonically_increasing_id()), "items")
+    item_modes = through_table(modes(items, "item_id"), "item-modes")
+    windows = through_table(item_windows(item_modes), "item-windows")
+    few = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    small = F.broadcast if few else (lambda df: df)
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+
+    chosen = through_table(_candidates(docs, windows.select("anchor").distinct()), "candidates")
+    texts = through_table(modes(chosen.groupBy("t").agg(F.first("text").alias("text")), "t"), "texts")
+    every = _windows(texts, F.expr(f"cast(array({', '.join(map(str, sizes))}) as array<int>)"), "t")
+    met = every.join(small(windows.withColumnRenamed("place", "item_place").drop("anchor")), ["mode", "size", "h"])
+    met = through_table(met.select("t", "item_id", "mode", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "size", "h").distinct(), "met")
+
+    totals = windows.groupBy("item_id", "mode").agg(F.countDistinct("h").alias("n_windows"))
+    found = met.groupBy("t", "item_id", "mode").agg(F.countDistinct("h").alias("n_found")).join(small(totals), ["item_id", "mode"])
+    pairs = through_table(found.where(f"100 * n_found >= {SHARE} * n_windows"), "pairs")
 
-    texts = _words(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id")
-    texts = through_table(texts.select("doc_id", F.col("raw").alias("doc_raw"), F.col("capital").alias("doc_capital"), F.col("folded").alias("doc_folded")), "texts")
     # A capitalised word at a sentence start is a slot where the item has it as a name elsewhere.
-    kinds = item_words.withColumn("names", F.expr(f"filter(raw, (x, i) -> named[i] = '{_NAME}')")).select(
-        "item_id", F.col("raw").alias("item_raw"),
-        F.expr(f"transform(named, (x, i) -> if(x in ('{_NAME}', '{_NUMBER}', '{_UNIT}'), x, if(capital[i] = '{_NAME}' and array_contains(names, raw[i]), '{_NAME}', null)))").alias("kinds"),
-    )
-    kept = met.join(pairs, ["doc_id", "item_id"], "left_semi").groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set(F.struct("item_place", F.coalesce("named", "folded").alias("h"))).alias("at")
+    sides = item_modes.withColumn("names", F.expr(f"filter(raw, (x, i) -> slots[i] = '{_NAME}')")).select(
+        "item_id", "mode", F.col("raw").alias("item_raw"),
+        F.expr(f"transform(slots, (x, i) -> if(x in ('{_NAME}', '{_NUMBER}', '{_UNIT}'), x, if(mode in ('named', 'folded') and capital[i] = '{_NAME}' and array_contains(names, raw[i]), '{_NAME}', null)))").alias("kinds"),
     )
-    lined = kept.join(kinds, "item_id").join(texts, "doc_id").select(
-        "doc_id", "item_id",
-        F.expr(f"transform(at, x -> struct(x.h as h, slice(doc_raw, x.item_place + shift + 1, {WINDOW}) = slice(item_raw, x.item_place + 1, {WINDOW}) as same))").alias("at"),
+    lined = met.join(pairs.select("t", "item_id", "mode"), ["t", "item_id", "mode"], "left_semi").groupBy("t", "item_id", "mode", "shift").agg(F.collect_set(F.struct("item_place", "size", "h")).alias("at"))
+    lined = lined.join(small(sides), ["item_id", "mode"]).join(texts.select("t", "mode", F.col("raw").alias("doc_raw"), "capital"), ["t", "mode"]).select(
+        "t", "item_id", "mode",
+        F.expr("transform(at, x -> struct(x.h as h, slice(doc_raw, x.item_place + shift + 1, x.size) = slice(item_raw, x.item_place + 1, x.size) as same))").alias("at"),
         F.expr(
             "array_distinct(filter(transform(sequence(0, size(item_raw) - 1), i -> if(kinds[i] is not null and i + shift >= 0 and i + shift < size(doc_raw)"
-            f" and kinds[i] = if(kinds[i] = '{_NAME}', get(doc_capital, i + shift), get(doc_folded, i + shift)),"
-            " struct(kinds[i] as kind, item_raw[i] as v, get(doc_raw, i + shift) as d), null)), x -> x is not null))"
+            " and kinds[i] = get(capital, i + shift), struct(kinds[i] as kind, item_raw[i] as v, get(doc_raw, i + shift) as d), null)), x -> x is not null))"
         ).alias("slots"),
     )
     # One value of the item, one value of the document: distinct (kind, v, d) must be as many as distinct (kind, v).
-    lined = through_table(lined.select("doc_id", "item_id", "at", F.expr("size(slots) = size(array_distinct(transform(slots, x -> struct(x.kind, x.v))))").alias("good")), "lined")
-    # A window found raw anywhere is verbatim, a pair if all its windows are.
-    each = lined.select("doc_id", "item_id", "good", F.explode("at").alias("x")).groupBy("doc_id", "item_id", "x.h").agg(F.max("x.same").alias("same"), F.max("good").alias("good"))
-    judged = each.groupBy("doc_id", "item_id").agg(F.min("same").alias("verbatim"), F.max("good").alias("good"))
-    return pairs.join(judged.where("verbatim or good"), ["doc_id", "item_id"]).select("doc_id", "item_id", "n_found", "n_windows", "verbatim")
+    lined = lined.select("t", "item_id", "mode", "at", F.expr("size(slots) = size(array_distinct(transform(slots, x -> struct(x.kind, x.v))))").alias("good"))
+    each = lined.select("t", "item_id", "mode", "good", F.explode("at").alias("x")).groupBy("t", "item_id", "mode", "x.h").agg(F.max("x.same").alias("same"), F.max("good").alias("good"))
+    judged = each.groupBy("t", "item_id", "mode").agg(F.min("same").alias("same"), F.max("good").alias("good"))
+    # Agreement word for word counts in a mode with the largest share: names may differ where another mode found more.
+    share = F.expr("n_found / n_windows")
+    most = F.max(share).over(Window.partitionBy("t", "item_id"))
+    kept = pairs.withColumn("most", most).join(judged, ["t", "item_id", "mode"]).withColumn("verbatim", F.col("same") & (share >= F.col("most"))).where("verbatim or good")
+    best = F.max(F.struct(share, F.expr("array_position(array('plain', 'folded', 'capital', 'named'), mode)"), "n_found", "n_windows", "verbatim")).alias("b")
+    kept = kept.groupBy("t", "item_id").agg(best).select("t", "item_id", "b.n_found", "b.n_windows", "b.verbatim")
+    named = kept.join(small(items.select("item_id", "item")), "item_id").groupBy("t", "item").agg(F.max(F.struct("n_found", "n_windows", "verbatim")).alias("b"))
+    return chosen.select("doc_id", "t").distinct().join(named, "t").select("doc_id", F.col("t").alias("text_hash"), F.col("item").alias("item_id"), "b.n_found", "b.n_windows", "b.verbatim")

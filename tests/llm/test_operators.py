@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 
 from millrace.llm import byte_bpe, difference_cover, hyperminhash, licence_sentences, pseudo_likelihood, quote_links, repair_grammar, robust_outliers, secret_forest, template_windows
@@ -241,6 +242,121 @@ def test_template_copy_after_an_inconsistent_one(spark):
     assert set(got) == {1} and got[1]["n_found"] == got[1]["n_windows"]
 
 
+def template_modes(text):
+    """(raw, typed, slots, capital) of each mode, by plain Python."""
+    name, number, unit, join = "\ue000", "\ue001", "\ue002", "\ue003"
+    base = regex.sub(r"\p{Z}", " ", text)
+    marked = regex.sub(r"(?<=[^.!?\s]\s)(?=\p{Lu})", name, base)
+    clean = lambda t: regex.sub(r"\s+", " ", regex.sub(rf"[^\p{{L}}\p{{M}}\p{{N}}\s{name}{join}]+", "", t)).strip()
+    runs = lambda t, mark: regex.sub(rf"(?<={mark}\p{{Lu}}[\p{{L}}\p{{M}}]{{0,40}})\s(?={mark}\p{{Lu}})", join, t)
+
+    def typed(t):
+        out = [number if w in template_windows.NUMBER_WORDS else w for w in regex.sub(r"\p{N}\S*", number, t).lower().split(" ")]
+        return [unit if i and out[i - 1][-1:] == number and w in template_windows.UNITS else w for i, w in enumerate(out)]
+
+    found = {}
+    for mode, words, typing, slots in (("named", runs(marked, name), 0, 0), ("capital", runs(base, ""), 1, 1), ("folded", marked, 2, 0), ("plain", marked, 3, 3)):
+        words = clean(words)
+        plain = words.replace(name, "")
+        forms = [typed(regex.sub(rf"{name}\S+", name, words)), typed(regex.sub(r"(?<!\S)\p{Lu}\S*", name, plain)), typed(plain), plain.lower().split(" ")]
+        if words:
+            found[mode] = forms[3], forms[typing], forms[slots], forms[1]
+    return found
+
+
+def template_pairs(documents, items):
+    marks = set("\ue000\ue001\ue002\ue003")
+    pairs = {}
+    for i, item in items.items():
+        of_item, windows = template_modes(item), {}
+        for mode, (_, typed, _, _) in of_item.items():
+            size = min(10, len(typed))
+            places = [k for k in range(len(typed) - size + 1) if sum(not marks & set(w) for w in typed[k : k + size]) >= 6]
+            windows[mode] = {k: tuple(typed[k : k + size]) for k in places}
+        if any(windows[m] for m in windows if m != "plain"):
+            windows.pop("plain", None)
+        for d, text in documents.items():
+            of_doc, found = template_modes(text), {}
+            for mode, wanted in windows.items():
+                if not wanted or mode not in of_doc:
+                    continue
+                (raw, _, slots, caps), (draw, dtyped, _, dcap) = of_item[mode], of_doc[mode]
+                size = len(next(iter(wanted.values())))
+                met = [(k, p) for p in range(len(dtyped) - size + 1) for k, w in wanted.items() if tuple(dtyped[p : p + size]) == w]
+                hit, total = {wanted[k] for k, _ in met}, set(wanted.values())
+                if not met or 100 * len(hit) < 30 * len(total):
+                    continue
+                same = all(any(wanted[k] == w and draw[p : p + size] == raw[k : k + size] for k, p in met) for w in hit)
+                names = {r for r, s in zip(raw, slots) if s == "\ue000"}
+                good = False
+                for shift in {p - k for k, p in met}:
+                    values = set()
+                    for k, (r, s) in enumerate(zip(raw, slots)):
+                        kind = s if s in marks else "\ue000" if mode in ("named", "folded") and caps[k] == "\ue000" and r in names else None
+                        if kind and 0 <= k + shift < len(draw) and dcap[k + shift] == kind:
+                            values.add((kind, r, draw[k + shift]))
+                    good |= len(values) == len({v[:2] for v in values})
+                found[mode] = len(hit) / len(total), ("plain", "folded", "capital", "named").index(mode), len(hit), len(total), same, good
+            most = max((f[0] for f in found.values()), default=0)
+            kept = [(*f[:4], f[4] and f[0] >= most) for f in found.values() if f[5] or (f[4] and f[0] >= most)]
+            if kept:
+                pairs[d, i] = max(kept)[2:]
+    return pairs
+
+
+def test_templates_against_brute_force(spark):
+    r = random.Random(12)
+    names, words = ["Alice", "Bob", "Mary Ann", "Von Der Berg", "Zoe"], [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(6) for b in range(5)]
+
+    def item():
+        who = r.choice(names)
+        out = [r.choice(words) for _ in range(r.randrange(4, 30))]
+        for _ in range(r.randrange(5)):
+            out[r.randrange(len(out))] = r.choice([who, who, str(r.randrange(90)), f"{r.randrange(9)} miles", "seven days", out[0].title() + ". " + out[1].title()])
+        return " ".join(out).capitalize() + "?"
+
+    def other(text):
+        def word(w):
+            return str(r.randrange(100)) if w.isdigit() else r.choice(["Carol", "Anna Lee", w]) if w in ("Alice", "Bob", "Zoe") else w
+
+        kind = r.randrange(6)
+        fixed = r.choice(["Carol", "Anna Lee"])
+        if kind == 0:
+            return text
+        if kind == 1:
+            return text.upper()
+        if kind == 2:
+            return text.replace("Alice", fixed).replace("Mary Ann", fixed).replace("Von Der Berg", fixed).replace("seven", "nine")
+        if kind == 3:
+            return " ".join(map(word, text.split(" ")))
+        if kind == 4:
+            return " ".join(text.split(" ")[: r.randrange(6, 20)])
+        return text.replace(" ", "\n", 3).replace("Bob", fixed)
+
+    items = {i: item() for i in range(40)}
+    documents = {d: ". ".join(" ".join(r.choice(words) for _ in range(r.randrange(12))) if r.random() < 0.4 else other(items[r.randrange(40)]) for _ in range(r.randrange(1, 5))) for d in range(150)}
+    wanted = template_pairs(documents, items)
+    assert 40 < len(wanted) and {v[2] for v in wanted.values()} == {True, False}
+    tables = [spark.createDataFrame(list(x.items()), f"{k} long, text string") for x, k in ((documents, "doc_id"), (items, "item_id"))]
+    for anchors in (template_windows.ANCHORS, 3):
+        old, template_windows.ANCHORS = template_windows.ANCHORS, anchors
+        got = {(x["doc_id"], x["item_id"]): (x["n_found"], x["n_windows"], x["verbatim"]) for x in template_windows.contaminated(*tables).collect()}
+        template_windows.ANCHORS = old
+        assert got == wanted
+
+
+def test_templates_of_null_and_repeated_ids_and_clashing_columns(spark):
+    item = "If the merchant Alice sells 12 crates of apples each day for 5 weeks then how many crates of apples will Alice have sold when the season ends"
+    plain = "12 7 9 44 31 8 2 15"
+    schema = "doc_id long, text string, item_id long, t long, h long, mode string, place int, size int, anchor long, raw string"
+    rest = (1, 1, 1, "m", 1, 1, 1, "r")
+    rows = [(None, item, *rest), (1, item, *rest), (1, item, *rest), (1, "other words", *rest), (2, "then " + plain + " and", *rest), (3, "", *rest), (4, None, *rest)]
+    docs = spark.createDataFrame(rows, schema)
+    benchmark = spark.createDataFrame([(7, item, 1), (7, item, 2), (8, plain, 3), (9, "too short", 4), (None, item, 5)], "item_id long, text string, t long")
+    got = sorted(((x["doc_id"], x["item_id"], x["verbatim"]) for x in template_windows.contaminated(docs, benchmark).collect()), key=repr)
+    assert got == sorted([(None, 7, True), (1, 7, True), (None, None, True), (1, None, True), (2, 8, True)], key=repr)
+
+
 def test_secrets(docs, empty):
     forest = secret_forest.Forest(secret_forest.rule_findings())
     held = secret_forest.rule_findings(1500, 77)
