@@ -4,7 +4,8 @@ Words are hashed to SIDE * SIDE codes. The embeddings of the two words before an
 vector of its place, are summed through tanh to a hidden vector; the word's code is predicted digit by
 digit (the second given the first), which keeps the probabilities proper at little cost. Every partition
 trains on all its texts by minibatch steps from one common start; the results are averaged by number of
-words, streamed through FAN_IN tasks, so the driver sees FAN_IN parameter vectors however large the corpus.
+words, summed FAN_IN at a time in as many rounds as it takes, so no task and not the driver sees more than
+FAN_IN parameter vectors, however large the corpus. The result depends on how the texts are partitioned.
 
 A word's probability is its code's, from the network, times its own within the code, from the counts of
 all distinct words of the corpus. The counts are a table that grows with the corpus and are joined to the
@@ -30,12 +31,14 @@ REACH = 2
 BATCH = 1024
 RATE = 0.5
 EPOCHS = 2
-FAN_IN = 8
+FAN_IN = 16
 FREQUENT = 1 << 16
 _CODES = SIDE * SIDE
 #: Embedding row of places outside the text.
 _EDGE = _CODES
 _SHAPES = ((_CODES + 1, WIDTH), (2 * REACH, WIDTH), (WIDTH, SIDE), (SIDE,), (SIDE, WIDTH), (WIDTH, SIDE), (SIDE,))
+#: Where a place's neighbours stand in a chunk, counted from the first of them.
+_SHIFTS = [k for k in range(2 * REACH + 1) if k != REACH]
 _SIZES = [int(np.prod(s)) for s in _SHAPES]
 
 
@@ -51,59 +54,85 @@ def _views(flat: np.ndarray) -> list[np.ndarray]:
     return [flat[a:b].reshape(s) for a, b, s in zip(ends[:-1], ends[1:], _SHAPES, strict=True)]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def _context(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Codes of the neighbours of each word; beyond its text, the edge."""
-    n = len(codes)
+def sequence(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Codes of all texts in one array, with REACH edges before, between and after them."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(n)
-    out = np.full((n, 2 * REACH), _EDGE, np.int64)
-    for k, shift in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        near = at + shift
-        inside = (near >= first[row]) & (near < first[row + 1])
-        out[inside, k] = codes[near[inside]]
+    out = np.full(len(codes) + REACH * len(first), _EDGE, np.uint16)
+    out[np.arange(len(codes)) + REACH * (row + 1)] = codes
     return out
 
 
-def _forward(p: list[np.ndarray], context: np.ndarray, target: np.ndarray):
-    embed, place, w1, b1, e1, w2, b2 = p
-    seen = embed[context]
-    h = np.tanh((seen * place).sum(axis=1))
-    d1, d2 = target // SIDE, target % SIDE
-    h2 = h + e1[d1]
-    p1, p2 = _softmax(h @ w1 + b1), _softmax(h2 @ w2 + b2)
-    return seen, h, h2, d1, d2, p1, p2
+def chunks(whole: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Runs of `size` places of a sequence, each with REACH more on both sides."""
+    for a in range(REACH, len(whole) - REACH, size):
+        yield whole[a - REACH : min(a + size, len(whole) - REACH) + REACH]
 
 
-def step(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> None:
-    """One minibatch of gradient descent, in place."""
-    embed, place, w1, b1, e1, w2, b2 = p
-    seen, h, h2, d1, d2, g1, g2 = _forward(p, context, target)
-    at = np.arange(len(target))
-    g1[at, d1] -= 1
-    g2[at, d2] -= 1
-    g1 /= len(target)
-    g2 /= len(target)
-    back2 = g2 @ w2.T
-    inner = (g1 @ w1.T + back2) * (1 - h * h)
-    w1 -= RATE * (h.T @ g1)
-    b1 -= RATE * g1.sum(axis=0)
-    w2 -= RATE * (h2.T @ g2)
-    b2 -= RATE * g2.sum(axis=0)
-    np.subtract.at(e1, d1, RATE * back2)
-    spread = inner[:, None, :] * place
-    place -= RATE * np.einsum("nw,nkw->kw", inner, seen)
-    np.subtract.at(embed, context.ravel(), RATE * spread.reshape(-1, WIDTH))
+def _hidden(p: list[np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Embeddings of a chunk, the places of its words, their codes and hidden vectors."""
+    seen = p[0][codes]
+    n = len(codes) - 2 * REACH
+    z = np.zeros((n, WIDTH), np.float32)
+    for k, shift in enumerate(_SHIFTS):
+        z += seen[shift : shift + n] * p[1][k]
+    middle = codes[REACH : REACH + n]
+    words = np.flatnonzero(middle != _EDGE)
+    return seen, words, middle[words].astype(np.int64), np.tanh(z[words])
 
 
-def log_probability(p: list[np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    _, _, _, d1, d2, p1, p2 = _forward(p, context, target)
-    at = np.arange(len(target))
-    return np.log(p1[at, d1] + 1e-12) + np.log(p2[at, d2] + 1e-12)
+def _exponentials(h: np.ndarray, w: np.ndarray, b: np.ndarray, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Logits less a shift, and their exponentials. Hidden values are at most `high`, so mostly no shift is needed."""
+    x = h @ w
+    x += b
+    if high * float(np.abs(w).sum(axis=0).max()) + float(np.abs(b).max()) > 60:
+        x -= x.max(axis=1, keepdims=True)
+    return x, np.exp(x)
+
+
+def step(p: list[np.ndarray], codes: np.ndarray) -> None:
+    """One minibatch of gradient descent over a chunk, in place."""
+    embed, place, w1, b1, e1, w2, b2 = p
+    seen, words, target, h = _hidden(p, codes)
+    if not len(words):
+        return
+    d1, d2 = target // SIDE, target % SIDE
+    h2 = h + e1[d1]
+    at, high = np.arange(len(target)), 1 + float(np.abs(e1).max())
+    g1, g2 = (_exponentials(*x)[1] for x in ((h, w1, b1, 1.0), (h2, w2, b2, high)))
+    for g, d in ((g1, d1), (g2, d2)):
+        g /= g.sum(axis=1, keepdims=True)
+        g[at, d] -= 1
+    rate = np.float32(RATE / len(target))
+    back2 = g2 @ w2.T
+    inner = np.zeros((len(codes) - 2 * REACH, WIDTH), np.float32)
+    inner[words] = (g1 @ w1.T + back2) * (1 - h * h)
+    for x, gradient in ((w1, h.T @ g1), (b1, g1.sum(axis=0)), (w2, h2.T @ g2), (b2, g2.sum(axis=0))):
+        x -= rate * gradient
+    _subtract(e1, d1.astype(np.uint16), back2, rate)
+    # A place's embedding takes part in the hidden vectors of its neighbours.
+    back = np.zeros_like(seen)
+    moved = np.empty_like(place)
+    for k, shift in enumerate(_SHIFTS):
+        back[shift : shift + len(inner)] += inner * place[k]
+        moved[k] = np.einsum("nw,nw->w", inner, seen[shift : shift + len(inner)])
+    place -= rate * moved
+    _subtract(embed, codes, back, rate)
+
+
+def _subtract(rows: np.ndarray, at: np.ndarray, gradient: np.ndarray, rate: np.float32) -> None:
+    """rows[at] -= rate * gradient, with repeated places summed."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    rows[ordered[first]] -= rate * np.add.reduceat(gradient[order], first)
+
+
+def log_probability(p: list[np.ndarray], codes: np.ndarray) -> np.ndarray:
+    """Log probability of the code of every word of a chunk, given its neighbours."""
+    _, _, target, h = _hidden(p, codes)
+    at, d1, d2 = np.arange(len(target)), target // SIDE, target % SIDE
+    (x1, y1), (x2, y2) = _exponentials(h, p[2], p[3], 1.0), _exponentials(h + p[4][d1], p[5], p[6], 1 + float(np.abs(p[4]).max()))
+    return x1[at, d1] - np.log(y1.sum(axis=1)) + x2[at, d2] - np.log(y2.sum(axis=1))
 
 
 def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,24 +168,28 @@ def train(documents: DataFrame) -> np.ndarray:
             for whole in batches:
                 for batch in row_slices(whole, "text", 1 << 20):
                     _, codes, first = _coded(batch)
-                    context = _context(codes, first)
-                    for a in range(0, len(codes), BATCH):
-                        step(p, context[a : a + BATCH], codes[a : a + BATCH])
+                    for chunk in chunks(sequence(codes, first), BATCH):
+                        step(p, chunk)
                     words += len(codes)
             if words:
-                yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([mine.tobytes()], pa.binary())], ["n", "flat"])
+                yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([(words * mine.astype(np.float64)).tobytes()], pa.binary())], ["n", "flat"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, words = np.zeros(sum(_SIZES)), 0
             for batch in batches:
                 for n, data in zip(batch.column("n").to_pylist(), batch.column("flat"), strict=True):
-                    total += n * np.frombuffer(data.as_buffer(), np.float32)
+                    total += np.frombuffer(data.as_buffer())
                     words += n
             if words:
                 yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "flat"])
 
         kind = "n long, flat binary"
-        sums = docs.mapInArrow(run, kind).repartition(FAN_IN).mapInArrow(add, kind).collect()
+        sums = docs.mapInArrow(run, kind)
+        parts = docs.rdd.getNumPartitions()
+        while parts > FAN_IN:
+            parts = -(-parts // FAN_IN)
+            sums = sums.repartition(parts).mapInArrow(add, kind)
+        sums = sums.collect()
         if sums:
             flat = (sum(np.frombuffer(s["flat"]) for s in sums) / sum(s["n"] for s in sums)).astype(np.float32)
     return flat
@@ -186,8 +219,7 @@ def score(documents: DataFrame, flat: np.ndarray | None = None, words: DataFrame
         for whole in batches:
             for batch in row_slices(whole, "text", 1 << 20):
                 hashes, codes, first = _coded(batch)
-                context = _context(codes, first)
-                each = np.concatenate([np.zeros(0)] + [log_probability(p, context[a : a + 8192], codes[a : a + 8192]) for a in range(0, len(codes), 8192)])
+                each = np.concatenate([np.zeros(0)] + [log_probability(p, chunk) for chunk in chunks(sequence(codes, first), 2048)])
                 rare = np.ones(len(hashes), bool)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)

@@ -456,6 +456,46 @@ def test_pseudo_likelihood(spark, empty):
     assert pseudo_likelihood.score(empty).collect() == []
 
 
+def test_pseudo_likelihood_gradient():
+    """Log probabilities against plain loops, their sum over all codes, and a step against numeric differences."""
+    M = pseudo_likelihood
+    r = np.random.default_rng(2)
+    codes, first = r.integers(0, 4096, 40), np.array([0, 0, 7, 8, 40])
+    chunk = M.sequence(codes, first)
+    assert len(chunk) == 40 + 2 * 5 and (chunk[chunk != 4096] == codes).all()
+    flat = (M.start() + r.normal(0, 0.2, len(M.start()))).astype(np.float32)
+    p = [x.astype(np.float64) for x in M._views(flat)]
+
+    def plain(p, target=None):
+        out = []
+        for row in range(4):
+            text = codes[first[row] : first[row + 1]].tolist()
+            for i, c in enumerate(text):
+                near = [text[i + k] if 0 <= i + k < len(text) else 4096 for k in (-2, -1, 1, 2)]
+                h = np.tanh(sum(p[0][n] * p[1][k] for k, n in enumerate(near)))
+                x1 = h @ p[2] + p[3]
+                for t in [c] if target is None else target:
+                    x2 = (h + p[4][t // 64]) @ p[5] + p[6]
+                    out.append(x1[t // 64] - np.log(np.exp(x1).sum()) + x2[t % 64] - np.log(np.exp(x2).sum()))
+        return np.array(out)
+
+    assert np.allclose(M.log_probability(M._views(flat), chunk), plain(p), atol=1e-4)
+    assert np.exp(plain(p, range(4096))).sum() == pytest.approx(40)
+    parts = np.concatenate([M.log_probability(M._views(flat), c) for c in M.chunks(chunk, 16)])
+    assert np.allclose(parts, plain(p), atol=1e-4)
+    after = [x.astype(np.float32) for x in p]
+    M.step(after, chunk)
+    for part, (old, new) in enumerate(zip(p, after)):
+        places = np.argwhere(np.abs(new - old) > 1e-4)
+        assert len(places)
+        for place in places[:: max(1, len(places) // 8)]:
+            low, high = ([x.copy() for x in p] for _ in range(2))
+            low[part][tuple(place)] -= 1e-4
+            high[part][tuple(place)] += 1e-4
+            slope = (plain(high).mean() - plain(low).mean()) / 2e-4
+            assert (new - old)[tuple(place)] == pytest.approx(M.RATE * slope, rel=0.02, abs=2e-5)
+
+
 def test_pseudo_likelihood_of_words_with_one_code(spark, monkeypatch):
     names = [f"q{i}" for i in range(20000)]
     column = pa.RecordBatch.from_arrays([pa.array(names)], ["text"])
