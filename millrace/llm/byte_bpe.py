@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.words import row_slices
 
 #: Distinct pre-tokens a worker remembers, and the longest that it does; results do not depend on either.
-MEMORY = 300_000
+MEMORY = 500_000
 LONGEST_KEPT = 64
 _STEP, _MIX, _MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
@@ -131,18 +131,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memory(dict):
-    """Pre-token to ids; the oldest half goes when it is full."""
+    """Pre-token to ids, in two generations: one that is met again moves to the younger, the older goes when that is full."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        ids = self.codec.piece(token.encode())
+        ids = self.older.get(token)
+        if ids is None:
+            ids = self.codec.piece(token.encode())
         if len(token) <= LONGEST_KEPT:
-            if len(self) >= MEMORY:
-                for old in list(islice(self, MEMORY // 2)):
-                    del self[old]
+            if len(self) >= MEMORY // 2:
+                self.older = dict(self)
+                self.clear()
             self[token] = ids
         return ids
 
@@ -155,6 +158,11 @@ class Codec:
         self.table = table or PerfectHash(ranks)
         self.id_of_slot = [ranks[key] for key in self.table.slots]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.width = np.full(size, -1, np.int64)
+        self.width[list(ranks.values())] = [len(token) for token in ranks]
+        self.begin = np.concatenate(([0], np.cumsum(np.maximum(self.width, 0))))
+        self.blob = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
         self.split = regex.compile(pattern)
         self.memory = _Memory(self)
 
@@ -168,8 +176,17 @@ class Codec:
     def encode(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.memory.__getitem__, self.split.findall(text))), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids one after another; an id without bytes is a KeyError."""
+        ids = np.asarray(ids, np.int64)
+        out = []
+        for part in np.array_split(ids, max(1, -(-len(ids) // (1 << 18)))):
+            if len(part) and not (0 <= part.min() and part.max() < len(self.width) and self.width[part].min() > 0):
+                raise KeyError("an id outside the vocabulary")
+            width = self.width[part]
+            ends = np.cumsum(width)
+            out.append(self.blob[np.repeat(self.begin[part] - (ends - width), width) + np.arange(int(width.sum()))].tobytes())
+        return b"".join(out)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -203,7 +220,7 @@ def encode(documents: DataFrame, path: str, pattern: str, with_decoded: bool = F
                 ids = [codec.encode(text or "") for text in batch.column("text").to_pylist()]
                 columns = [batch.column("doc_id"), _lists(ids)]
                 if with_decoded:
-                    columns.append(pa.array([codec.decode(x.tolist()) for x in ids], pa.binary()))
+                    columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -216,7 +233,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shared.value.decode(x or ()) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shared.value.decode(np.array(x or (), np.int64)) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 

@@ -42,7 +42,7 @@ BANDS = REGISTERS // BAND_ROWS
 #: Six standard deviations of a 256-register estimate below the threshold of 0.75.
 ESTIMATE_SLACK = 0.165
 #: Shingles, and members, of a block on the average.
-CELL, CELL_MEMBERS = 1 << 19, 2048
+CELL, CELL_MEMBERS = 1 << 18, 512
 _EMPTY = np.uint16(0xFFFF)
 _FLIP, _SPREAD = codes(REGISTERS, 41), codes(REGISTERS, 43)
 
