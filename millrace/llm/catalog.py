@@ -48,7 +48,7 @@ def op8_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_documents(spark, sf_dir)).drop("lang", "source")
+    return quality_rules(_documents(spark, sf_dir)).drop("lang", "source", "text_hash")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

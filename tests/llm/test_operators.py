@@ -69,6 +69,69 @@ def test_quality_rejects_outliers(spark):
     assert not got[900]["kept"] and all(got[i]["kept"] for i in range(120))
 
 
+def mcd(x):
+    """Sums of the subset with the least determinant, by numpy."""
+    M = robust_outliers
+    half = lambda v: np.sort(v)[(len(v) + 1) // 2 - 1]
+
+    def sums(rows):
+        return len(rows), rows.sum(axis=0), rows.T @ rows
+
+    def nearest(d2):
+        bins = np.floor(M.BINS * np.log2(d2 + 0.001))
+        return x[bins <= np.sort(bins)[int(np.ceil(len(x) * M.SHARE)) - 1]]
+
+    mid = np.array([half(v) for v in x.T])
+    spread = np.array([half(abs(v - m)) for v, m in zip(x.T, mid)])
+    z = (x - mid) ** 2 / ((spread * 1.4826) ** 2 + M.FLOORS)
+    state = [sums(nearest(d)) for d in (z.sum(axis=1), *z.T, z.max(axis=1))]
+    for _ in range(M.STEPS):
+        after = [sums(nearest(squared(x, estimated(*s)))) for s in state]
+        old, new = ([np.linalg.det(estimated(*s)[1]) for s in of] for of in (state, after))
+        state = after
+        if not any(b < (1 - M.REST) * a for a, b in zip(old, new)):
+            break
+    return state[int(np.argmin(new))]
+
+
+def estimated(m, s, ss):
+    mean = s / m
+    cov = ss / m - np.outer(mean, mean)
+    return mean, cov * robust_outliers.CONSISTENCY + np.diag(robust_outliers.FLOORS)
+
+
+def squared(x, estimate):
+    apart = x - estimate[0]
+    return np.einsum("ni,ij,nj->n", apart, np.linalg.inv(estimate[1]), apart)
+
+
+def test_quality_against_brute_force(spark):
+    """Groups of one row up to hundreds, with outliers; distances by the same steps in numpy."""
+    r = random.Random(6)
+    rows = []
+    for i in range(700):
+        lang, source = r.choice([("en", "a"), ("en", "a"), ("en", "b"), ("de", "a"), (None, None)]) if i % 90 else ("en", f"rare{i}")
+        words = [f"{r.choice('abc')}{r.randrange(10 ** r.randrange(1, 7))}" for _ in range(r.randrange(50, 90))]
+        if i % 23 == 0:
+            words = [w + r.choice(["###", "$$$$$$$", "xxxxxxxxxxxxxxxxxxxxx"]) for w in words]
+        if i % 31 == 0:
+            words[:12] = words[12:24]
+        lines = "\n".join(" ".join(words[k : k + 10]) for k in range(0, len(words), 10))
+        rows.append((i, lines + "\nsame line\nsame line" * (i % 17 == 0), lang, source))
+    stats = robust_outliers._vector(robust_outliers.text_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()
+    vectors = {x["doc_id"]: np.array([x[d] for d in robust_outliers.DIMS], float) for x in stats}
+    got = by_id(robust_outliers.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    fit = {k: [i for i, _, lang, source in rows if k in ((lang, source), (lang, "*")) and not got[i]["base_failed"]] for _, _, lang, source in rows for k in ((lang, source), (lang, "*"))}
+    best = {k: mcd(np.array([vectors[i] for i in ids])) for k, ids in fit.items() if ids}
+    for i, _, lang, source in rows:
+        if not got[i]["base_failed"]:
+            (m, s, ss), (pm, ps, pss) = best[lang, source], best[lang, "*"]
+            weight = robust_outliers.PRIOR / pm
+            d2 = squared(vectors[i][None], estimated(m + robust_outliers.PRIOR, s + weight * ps, ss + weight * pss))[0]
+            assert got[i]["d2"] == pytest.approx(d2, rel=1e-6, abs=1e-9) and got[i]["kept"] == (d2 <= robust_outliers.CUTOFF)
+    assert 10 < sum(not x["kept"] for x in got.values()) < 100
+
+
 def test_byte_bpe_as_tiktoken(docs, texts, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
