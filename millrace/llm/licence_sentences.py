@@ -5,7 +5,7 @@ wraps, indents, comment marks and punctuation do not matter. A known sentence is
 and end at a border: the text's ends, a line end, or . ! ? : ; before a space. `<>` in a known sentence
 stands for one to GAP words, such as a holder's name. A rule is an ordered sequence of
 identifiers; it holds where its identifiers follow one another, with other sentences allowed between
-them. Among rules that start at one sentence the longest is reported.
+them, before its first one comes again. Among rules that start at one place the longest is reported.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.words import row_slices
 
+_WORDS = re.compile(r"[a-z0-9]+")
 #: Known sentences by identifier.
 SENTENCES = {
     "mit-notice": "Released under the MIT License.",
@@ -106,16 +107,37 @@ for _key, _name in _CC.items():
 for _licence in _SPDX:
     SENTENCES[f"spdx-{_licence}"] = f"SPDX-License-Identifier: {_licence}"
     RULES += ((_licence, (f"spdx-{_licence}",)),)
+#: Names of licences as notices give them.
+_NAMES = {
+    "MIT": ("MIT License", "MIT"), "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0 License"), "ISC": ("ISC License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"), "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "GPL-2.0-only": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2", "GPLv2"), "GPL-3.0-only": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3", "GPLv3"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0", "LGPLv3"), "AGPL-3.0-only": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "AGPLv3"),
+    "Unlicense": ("Unlicense",), "BSL-1.0": ("Boost Software License 1.0",), "Zlib": ("zlib License",), "WTFPL": ("WTFPL",), "Artistic-2.0": ("Artistic License 2.0",),
+    **{f"CC-{k.upper()}-4.0": (f"CC {k.upper()} 4.0", f"CC-{k.upper()}-4.0", f"Creative Commons {v} 4.0 International License") for k, v in _CC.items()},
+}
+_NOTICES = (
+    "Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "This project is licensed under {}", "This software is licensed under {}", "This work is licensed under {}",
+    "This program is licensed under {}", "This project is released under {}", "This software is released under {}", "This library is licensed under {}", "This code is licensed under {}",
+)
+for _licence, _all in _NAMES.items():
+    for _name in _all:
+        for _notice in _NOTICES:
+            for _the in ("the ", ""):
+                _sentence = _notice.format(_the + _name)
+                if _WORDS.findall(_sentence.lower()) not in [_WORDS.findall(x.lower()) for x in SENTENCES.values() if x[:20] == _sentence[:20]]:
+                    SENTENCES[f"notice-{len(SENTENCES)}"] = _sentence
+                    RULES += ((_licence, (f"notice-{len(SENTENCES) - 1}",)),)
 #: Most words that `<>` stands for.
 GAP = 16
 #: Every known sentence holds one of these; a text without any is not cut into words.
-_TRIGGERS = ("licen", "permission", "software", "version", "redistribut", "cc0", "cc by")
-_WORD = re.compile(r"[a-z0-9]+")
+_TRIGGERS = ("licen", "permission", "software", "version", "redistribut", "cc0", "cc by", "under")
 _BORDER = re.compile(r"\n|[.!?:;][\"')\]]*\s")
 
 
 def normalise(sentence: str) -> list[str]:
-    return _WORD.findall(sentence.lower())
+    return _WORDS.findall(sentence.lower())
 
 
 #: Known sentences, as parts between gaps, by their first two words; the longest first.
@@ -125,6 +147,17 @@ for _name, _sentence in sorted(SENTENCES.items(), key=lambda x: -len(x[1])):
     _KNOWN.setdefault((_parts[0][0], _parts[0][1]), []).append((_name, _parts))
 
 
+def _by_first(rules: tuple) -> dict[str, list[tuple[str, tuple[str, ...]]]]:
+    """Rules by their first identifier, the longest first."""
+    out: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+    for rule in sorted(rules, key=lambda x: -len(x[1])):
+        out.setdefault(rule[1][0], []).append(rule)
+    return out
+
+
+_BY_FIRST = _by_first(RULES)
+
+
 def _end(words: list[str], at: int, parts: list[list[str]]) -> int:
     """Where the parts end that begin at `at`, or -1."""
     if words[at : at + len(parts[0])] != parts[0]:
@@ -143,7 +176,7 @@ def sentence_ids(text: str) -> list[str]:
     low = text.lower()
     if not any(t in low for t in _TRIGGERS):
         return []
-    spans = [m.span() for m in _WORD.finditer(low)]
+    spans = [m.span() for m in _WORDS.finditer(low)]
     words = [low[a:b] for a, b in spans]
     found, at = [], 0
     while at < len(words) - 1:
@@ -161,13 +194,24 @@ def sentence_ids(text: str) -> list[str]:
 
 
 def match(found: list[str], rules: tuple = RULES) -> list[str]:
-    """Licences whose identifier sequence occurs in order; each start counts for its longest rule."""
-    held: dict[str, tuple[str, int]] = {}
-    for licence, wanted in rules:
-        rest = iter(found)
-        if all(w in rest for w in wanted) and len(wanted) > held.get(wanted[0], ("", 0))[1]:
-            held[wanted[0]] = (licence, len(wanted))
-    return sorted({licence for licence, _ in held.values()})
+    """Licences whose identifiers follow one another in order, other sentences between them.
+
+    Each place of a rule's first identifier counts for the longest rule that holds before that identifier
+    comes again, so a text with several licences gives each of them.
+    """
+    by_first: dict[str, list[tuple[str, tuple[str, ...]]]] = _BY_FIRST if rules is RULES else _by_first(rules)
+    held = set()
+    for i, name in enumerate(found):
+        if known := by_first.get(name):
+            after = found[i + 1 :]
+            if name in after:
+                after = after[: after.index(name)]
+            for licence, wanted in known:
+                rest = iter(after)
+                if all(w in rest for w in wanted[1:]):
+                    held.add(licence)
+                    break
+    return sorted(held)
 
 
 def licences(documents: DataFrame) -> DataFrame:

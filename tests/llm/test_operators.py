@@ -510,6 +510,55 @@ def test_licence_texts_as_wrapped(spark):
     assert [got[i]["licences"] for i in range(1, 11)] == [*([x] for x in wanted), []]
 
 
+def test_licences_against_brute_force(spark):
+    """Sentences and rules found by trying every sentence at every word, on shuffled, wrapped and damaged texts."""
+    L, r = licence_sentences, random.Random(9)
+    known = {k: v for k, v in L.SENTENCES.items() if "<>" not in v}
+    assert len(known) > 400
+
+    def brute(text):
+        tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+", text.lower())]
+        border = [True] + [bool(re.search(r"\n|[.!?:;][\"')\]]*\s", text[a[2] : b[1]])) for a, b in zip(tokens, tokens[1:])] + [True]
+        found, at = [], 0
+        while at < len(tokens):
+            best = ("", 0)
+            for name, sentence in known.items():
+                words = re.findall(r"[a-z0-9]+", sentence.lower())
+                if border[at] and [t[0] for t in tokens[at : at + len(words)]] == words and border[at + len(words)] and len(words) > best[1]:
+                    best = (name, len(words))
+            found += [best[0]] if best[1] else []
+            at += best[1] or 1
+        held = set()
+        for i, name in enumerate(found):
+            end = next((j for j in range(i + 1, len(found)) if found[j] == name), len(found))
+            options = []
+            for licence, wanted in L.RULES:
+                j = i
+                for w in wanted[1:] if wanted[0] == name else ():
+                    j = next((k for k in range(j + 1, end) if found[k] == w), end)
+                if wanted[0] == name and j < end:
+                    options.append((len(wanted), licence))
+            held |= {x for n, x in options if n == max(options)[0]}
+        return found, sorted(held)
+
+    names, texts = sorted(known), []
+    core = [n for n in names if not n.startswith("notice")]
+    for _ in range(40):
+        parts = [known[r.choice(r.choice([names, core]))] for _ in range(r.randrange(1, 7))]
+        parts = [x if r.random() < 0.8 else x.replace(" the ", " a ", 1) for x in parts] + [prose(r.randrange(99), 8)]
+        r.shuffle(parts)
+        text = r.choice([" ", "\n", ". "]).join(x + r.choice(["", ".", "\n"]) for x in parts)
+        texts.append(r.choice([text, text.upper(), "\n".join(textwrap.wrap(text, 50)), "\n".join(textwrap.wrap(text, 40, initial_indent="# ", subsequent_indent="# "))]))
+    grant, source, endorse = known["bsd-grant"], known["bsd-source"], L.SENTENCES["bsd-endorse"].replace("<>", "Some Body")
+    rows = list(enumerate(texts)) + [(None, texts[0]), (7, texts[0]), (100, f"{grant}\n{source}\n{endorse}\nother\n{grant}\n{source}"), (101, ""), (102, "x " * 200000 + "\nReleased under GPLv3")]
+    docs = spark.createDataFrame([(*x, ["a"], "b", "c") for x in rows], "doc_id long, text string, sentence_ids array<string>, licences string, words string")
+    got = L.licences(docs).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["licences"] for r in got}[102] == ["GPL-3.0-only"] and {r["doc_id"]: r["licences"] for r in got}[100] == ["BSD-2-Clause", "BSD-3-Clause"]
+    wanted = [(i, *brute(t)) for i, t in [*enumerate(texts), (None, texts[0]), (7, texts[0])]]
+    mine = [(x["doc_id"], x["sentence_ids"], x["licences"]) for x in got if x["doc_id"] is None or x["doc_id"] < 100]
+    assert sorted(mine, key=repr) == sorted(wanted, key=repr) and sum(len(w[1]) for w in wanted) > 60
+
+
 def test_pseudo_likelihood(spark, empty):
     rows = [(i, " ".join(["one two three four five six"] * 40)) for i in range(200)]
     train = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
