@@ -26,8 +26,7 @@ SHARD_IDS = 1 << 20
 #: A rule takes three numbers and saves one with each use, so it pays from the fourth use on.
 MIN_COUNT = 4
 END = 2
-#: Pairs are first counted by a hash of so many bits, which only spares the sort of rare ones.
-BUCKET_BITS = 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 RANGE_BYTES = 32 << 20
 
 
@@ -35,74 +34,86 @@ RANGE_BYTES = 32 << 20
 _encoders: dict[str, Encoder] = {}
 
 
-def _bucket(pair: np.ndarray, seed: int) -> np.ndarray:
+def _kinds(pair: np.ndarray, seed: int, exact: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(kind of each pair, pair of each kind, count of each kind, whether a pair is its kind's).
+
+    Kinds are hash slots, each held by one of the pairs that fall into it; the others wait for another seed.
+    Only `exact` kinds, by a sort, show that no frequent pair is left.
+    """
+    if exact:
+        pairs, kind, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        return kind, pairs, counts, np.ones(len(pair), bool)
+    bits = max(8, int(2 * len(pair)).bit_length() - 1)
     with np.errstate(over="ignore"):
-        return ((pair * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        kind = ((pair * (_STEP + np.uint64(2 * seed))) >> np.uint64(64 - bits)).astype(np.int32)
+    holder = np.empty(1 << bits, np.uint64)
+    holder[kind] = pair
+    own = holder[kind] == pair
+    return kind, holder, np.bincount(kind[own], minlength=1 << bits), own
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(sequence, rules of two symbols each, first nonterminal) of an id array."""
-    sequence = ids.astype(np.uint32)
-    base = symbols = int(sequence.max()) + 1 if len(sequence) else 1
+    n = len(ids)
+    sequence = np.append(ids.astype(np.uint32), np.uint32(0))
+    base = symbols = int(ids.max()) + 1 if n else 1
     rules = [np.zeros((0, 2), np.uint32)]
-    # Places whose pair may still be frequent: only a pair beside a replacement can become so later.
-    active = np.arange(max(0, len(sequence) - 1))
-    seed = 0
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    live = np.ones(n + 1, bool)
+    live[n] = False
+    # Places whose pair may still be frequent: later on only a pair beside a replacement can become so.
+    active = np.arange(max(0, n - 1), dtype=np.int32)
+    seed, exact = 0, False
     while len(active):
-        pair = (sequence[active].astype(np.uint64) << np.uint64(32)) | sequence[active + 1]
-        bucket = _bucket(pair, seed)
-        often = np.bincount(bucket, minlength=1 << BUCKET_BITS)[bucket] >= MIN_COUNT
-        active, pair = active[often], pair[often]
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(first, len(pair)))
-        kind = np.empty(len(pair), np.int64)
-        kind[order] = np.repeat(np.arange(len(first)), counts)
-        often = counts[kind] >= MIN_COUNT
-        if not often.any():
-            break
-        active, kind = active[often], kind[often]
-        # The more frequent of two neighbours wins, then left to right within runs of one pair.
-        rank = np.empty(len(counts), np.int64)
-        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-        at = rank[kind]
-        beside = active[1:] == active[:-1] + 1
-        win = np.ones(len(at), bool)
-        win[1:] &= ~beside | (at[1:] <= at[:-1])
-        win[:-1] &= ~beside | (at[:-1] <= at[1:])
-        place, kind = active[win], kind[win]
-        run = np.concatenate(([0], np.cumsum(np.diff(place) > 1)))
-        start = np.flatnonzero(np.diff(run, prepend=-1))
-        odd = (np.arange(len(place)) - start[run]) % 2 == 0
-        place, kind = place[odd], kind[odd]
-        used = np.bincount(kind, minlength=len(counts))
-        good = used >= MIN_COUNT
+        follow = after[active]
+        pair = sequence[active].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= sequence[follow]
+        kind, pairs, counts, own = _kinds(pair, seed, exact)
+        here = counts[kind]
+        often = here >= MIN_COUNT
         seed += 1
-        if not good.any():
-            break
-        kept = good[kind]
-        place, kind = place[kept], kind[kept]
-        number = np.cumsum(good) - 1 + symbols
-        sequence[place] = number[kind]
-        gone = np.zeros(len(sequence), bool)
-        gone[place + 1] = True
-        moved = np.cumsum(~gone) - 1
-        # What was frequent before, and what now stands beside a new symbol.
-        near = np.zeros(len(sequence), bool)
-        near[active[~gone[active]]] = True
-        new = moved[place]
-        sequence = sequence[~gone]
-        near = near[~gone]
-        near[new] = True
-        near[np.maximum(new - 1, 0)] = True
-        if len(near):
-            near[-1] = False
-        active = np.flatnonzero(near)
-        chosen = ordered[first[good]]
-        rules.append(np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols += int(good.sum())
-    return sequence, np.concatenate(rules), base
+        at = np.flatnonzero(often & own)
+        # The more frequent of two overlapping pairs wins, then left to right within runs of one pair.
+        rank = (here[at].astype(np.int64) << 32) | kind[at]
+        beside = follow[at[:-1]] == active[at[1:]]
+        win = np.ones(len(at), bool)
+        win[1:] &= ~beside | (rank[1:] >= rank[:-1])
+        win[:-1] &= ~beside | (rank[:-1] >= rank[1:])
+        run = np.zeros(len(at), bool)
+        run[1:] = beside & win[1:] & win[:-1]
+        place = np.arange(len(at))
+        win &= (place - np.maximum.accumulate(np.where(run, 0, place))) % 2 == 0
+        at = at[win]
+        good = np.bincount(kind[at], minlength=len(counts)) >= MIN_COUNT
+        at = at[good[kind[at]]]
+        if not len(at):
+            if exact:
+                break
+            exact = True
+            continue
+        exact = False
+        left, right = active[at], follow[at]
+        beyond = after[right]
+        chosen = np.flatnonzero(good)
+        number = np.zeros(len(counts), np.uint32)
+        number[chosen] = np.arange(symbols, symbols + len(chosen), dtype=np.uint32)
+        sequence[left] = number[kind[at]]
+        live[right] = False
+        after[left] = beyond
+        before[beyond] = left
+        # What was frequent or undecided, and what now stands beside a new symbol.
+        mark = np.zeros(n + 1, bool)
+        mark[active[often | ~own]] = True
+        mark[left] = True
+        mark[np.maximum(before[left], 0)] = True
+        mark &= live
+        active = np.flatnonzero(mark).astype(np.int32)
+        if len(active) and after[active[-1]] >= n:
+            active = active[:-1]
+        rules.append(np.stack([pairs[chosen] >> np.uint64(32), pairs[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        symbols += len(chosen)
+    return sequence[live], np.concatenate(rules), base
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -127,25 +138,34 @@ class Shard:
         self.rules = np.frombuffer(data, "<u4", 2 * n, 12).reshape(n, 2)
         lengths = np.frombuffer(data, "<u4", n, 12 + 8 * n)
         self.sequence = np.frombuffer(data, "<u4", m, 12 + 12 * n)
-        size = np.ones(m, np.int64)
         inner = self.sequence >= self.base
+        size = np.ones(m, np.int64)
         size[inner] = lengths[self.sequence[inner] - self.base]
         self.starts = np.concatenate(([0], np.cumsum(size)))
+        # All rules written out one after another, by halves until no nonterminal is left.
+        self.begin = np.concatenate(([0], np.cumsum(lengths.astype(np.int64))))
+        part = self.rules.ravel()
+        while (inner := part >= self.base).any():
+            out = np.repeat(part, np.where(inner, 2, 1))
+            at = np.flatnonzero(inner) + np.arange(int(inner.sum()))
+            out[at], out[at + 1] = self.rules[part[inner] - self.base].T
+            part = out
+        self.text = part
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         if stop <= start:
             return np.zeros(0, np.uint32)
         a = int(np.searchsorted(self.starts, start, "right")) - 1
         b = int(np.searchsorted(self.starts, stop, "left"))
-        part = self.sequence[a:b]
-        while (inner := part >= self.base).any():
-            out = np.repeat(part, np.where(inner, 2, 1))
-            at = np.flatnonzero(inner) + np.arange(int(inner.sum()))
-            pairs = self.rules[part[inner] - self.base]
-            out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
-            part = out
+        part, ends = self.sequence[a:b], self.starts[a + 1 : b + 1] - self.starts[a]
+        inner = part >= self.base
+        size = np.diff(ends, prepend=0)
+        # Terminals are found behind the written-out rules.
+        source = len(self.text) + np.arange(len(part))
+        source[inner] = self.begin[part[inner] - self.base]
+        out = np.concatenate((self.text, part))[np.repeat(source - (ends - size), size) + np.arange(int(ends[-1]))]
         skip = start - int(self.starts[a])
-        return part[skip : skip + stop - start]
+        return out[skip : skip + stop - start]
 
 
 def write(documents: DataFrame, path: str) -> DataFrame:
@@ -168,7 +188,7 @@ def write(documents: DataFrame, path: str) -> DataFrame:
 
         for whole in batches:
             for batch in row_slices(whole, "text", 1 << 20):
-                ids, sizes = _encoders[path].encode([t or "" for t in batch.column("text").to_pylist()], END)
+                ids, sizes = _encoders[path].encode_column(batch.column("text"), END)
                 place = batch.column("range")[0].as_py()
                 stops = np.cumsum(sizes)
                 row, begin = 0, 0

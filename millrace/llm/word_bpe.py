@@ -1,10 +1,12 @@
-"""Word BPE by pieces: a tokenizer file's own model, asked once for each distinct piece.
-
-The file's normaliser and splitter (composition, lower case, contractions, letter runs, single digits,
-other runs; white space goes) are done here for whole texts at once, and the ids of a piece are looked up
-in a memory that the library's model fills. A text with a special token or with characters that were
-assigned or reclassified after Unicode 3.2, where two Unicode tables might differ, is encoded by the
-library as a whole. A file with another normaliser, splitter or model always is.
+"""Word BPE by words and pieces: a tokenizer file's own model, asked once for each distinct piece.
+
+No piece of such a file crosses white space, so a text's ids are those of its words one after another. Words
+are hashed straight from Arrow buffers and looked up in a table; only words that are new to a worker become
+strings. The file's normaliser and splitter (composition, lower case, contractions, letter runs, single
+digits, other runs; white space goes) are done here, and the ids of a piece are looked up in a memory that
+the library's model fills. A word with a special token or with characters that were assigned or reclassified
+after Unicode 3.2, where two Unicode tables might differ, is encoded by the library as a whole. With another
+normaliser, splitter or model in the file, whole texts always are.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+
+from millrace.llm.words import hash_spans, text_buffer
 
-#: Distinct pieces that a worker remembers; results do not depend on it.
-MEMORY = 400_000
+#: Distinct words and pieces that a worker remembers (it then begins anew); results do not depend on them.
+WORDS, MEMORY = 1 << 20, 400_000
 #: Pieces that are held as strings at a time, and characters of a text that are split at a time.
 PIECES, PART = 1 << 20, 1 << 20
 #: What a tokenizer file must hold for texts to be split here.
@@ -55,6 +60,46 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Table:
+    """Numbers by 64-bit hash, open addressing."""
+
+    def __init__(self, bits: int = 16):
+        self.used, self.shift, self.mask = 0, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.maximum(hashes, np.uint64(1)), (hashes >> self.shift).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for strangers."""
+        keys, slot = self._slots(hashes)
+        out = np.full(len(hashes), -1, np.int32)
+        open_ = np.arange(len(hashes))
+        while len(open_):
+            held = self.keys[slot]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Distinct hashes that are not in the table yet; it stays at most half full."""
+        if 2 * (self.used + len(hashes)) > len(self.keys):
+            held = self.keys != 0
+            keys, values = self.keys[held], self.values[held]
+            self.__init__(int(4 * (len(keys) + len(hashes))).bit_length())
+            self.add(keys, values)
+        self.used += len(hashes)
+        keys, slot = self._slots(hashes)
+        while len(keys):
+            empty = self.keys[slot] == 0
+            self.keys[slot[empty]] = keys[empty]
+            mine = empty & (self.keys[slot] == keys)
+            self.values[slot[mine]] = numbers[mine]
+            keys, numbers, slot = keys[~mine], numbers[~mine], (slot[~mine] + 1) & self.mask
+
+
 def _parts(text: str) -> Iterator[str]:
     """The text in parts that begin at spaces, which no piece and no composition crosses."""
     start = 0
@@ -88,6 +133,44 @@ class Encoder:
         self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.stop = 0
 
+    def begin(self, end: int) -> None:
+        """A table of words that knows only `end`, as word 0."""
+        self.table, self.end = Table(), end
+        self.words, self.word_ids, self.word_ends = 1, np.full(1 << 16, end, np.uint32), np.array([0, 1])
+
+    def encode_column(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As `encode`, for a string column; null is an empty text."""
+        if not self.known:
+            return self.encode([t or "" for t in column.to_pylist()], end)
+        if getattr(self, "end", None) != end or self.words > WORDS:
+            self.begin(end)
+        data, at = text_buffer(column)
+        hashes, first, start, stop = hash_spans(data, at)
+        number = self.table.find(hashes)
+        if (number < 0).any():
+            new, index = np.unique(hashes[number < 0], return_index=True)
+            index = np.flatnonzero(number < 0)[index]
+            raw = data.tobytes() if len(index) > 64 else None
+            spans = zip(start[index].tolist(), stop[index].tolist(), strict=True)
+            ids, counts = self.encode([(raw[a:b] if raw else data[a:b].tobytes()).decode() for a, b in spans], end)
+            ends = np.cumsum(counts)
+            keep = np.ones(len(ids), bool)
+            keep[ends - 1] = False
+            old = int(self.word_ends[-1])
+            ids = ids[keep]
+            if old + len(ids) > len(self.word_ids):
+                self.word_ids = np.resize(self.word_ids, 2 * (old + len(ids)))
+            self.word_ids[old : old + len(ids)] = ids
+            self.word_ends = np.concatenate((self.word_ends, old + ends - np.arange(1, len(ends) + 1)))
+            self.table.add(new, np.arange(self.words, self.words + len(new), dtype=np.int32))
+            self.words += len(new)
+            number = self.table.find(hashes)
+        number = np.insert(number, first[1:], 0)
+        begins, lengths = self.word_ends[number], self.word_ends[number + 1] - self.word_ends[number]
+        ends = np.cumsum(lengths)
+        ids = self.word_ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.diff(ends[first[1:] + np.arange(len(first) - 1)], prepend=0)
+
     def plain(self, text: str) -> bool:
         return self.known and (text.isascii() or not self.odd.search(text)) and not any(t in text for t in self.special)
 

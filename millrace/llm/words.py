@@ -90,7 +90,12 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each row (and past the last) the index of its first word."""
-    hashes, starts = [], []
+    return hash_spans(data, at, lower)[:2]
+
+
+def hash_spans(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As hash_words, and where each word begins and ends in `data`."""
+    hashes, starts, stops = [], [], []
     table = _LOWER if lower else _BYTE
     with np.errstate(over="ignore"):
         for a, b in _pieces(data, at):
@@ -113,9 +118,11 @@ def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
             total = np.cumsum(value, dtype=np.uint64)
             hashes.append(mix(total[last] - total[first] + value[first]))
             starts.append(first + a)
+            stops.append(last + (a + 1))
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(begin, at), begin, np.concatenate(stops)
 
 
 def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int, seed: int = 11) -> np.ndarray:

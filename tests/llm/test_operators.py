@@ -12,7 +12,7 @@ import pytest
 import regex
 import tiktoken
 
-from millrace.llm import byte_bpe, difference_cover, hyperminhash, licence_sentences, pseudo_likelihood, quote_links, repair_grammar, robust_outliers, secret_forest, template_windows
+from millrace.llm import byte_bpe, difference_cover, hyperminhash, licence_sentences, pseudo_likelihood, quote_links, repair_grammar, robust_outliers, secret_forest, template_windows, word_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, secrets string, h long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -257,6 +257,28 @@ def test_repair_of_many_copies():
     assert len(sequence) < 1000 and (repair_grammar.Shard(repair_grammar.pack(ids)).ids(0, len(ids)) == ids).all()
 
 
+def test_word_bpe_as_tokenizers(texts, monkeypatch):
+    """Texts with all kinds of characters, special tokens and long words, one by one and by column, with a small memory too."""
+    r = random.Random(1)
+    wild = ["ΑΣ ΟΔΟΣ Σ", "İstanbul'S DON'T we'RE ''s !'s x'll", "a\x1cb \x85 c\u3000d", "emoji \U0001f600 ok", "<|endoftext|> hi <|start", "a <|startoftext|>b", "A\u030a \u0308x e\u0301 ǅ ß ẞ ² ½ ٣ 中文字", "z" * 5000, "힣 각", "Ⅷ ⅷ Ω ﬁ"]
+    wild += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x600), r.randrange(0x1E00, 0x2200), r.randrange(0xA0, 0xD7FF)])) for _ in range(80)) for _ in range(150)]
+    encoder = word_bpe.Encoder(P.path("word_bpe_49k.json"))
+    assert encoder.known
+    every = [t or "" for t in texts] + wild
+    wanted = [[*x.ids, 2] for x in encoder.library.encode_batch(every, add_special_tokens=False)]
+    for words, pieces in ((1 << 20, 400_000), (64, 10)):
+        monkeypatch.setattr(word_bpe, "WORDS", words)
+        monkeypatch.setattr(word_bpe, "MEMORY", pieces)
+        monkeypatch.setattr(word_bpe, "PIECES", pieces)
+        for encode in (encoder.encode, lambda x, end: encoder.encode_column(pa.array(x, pa.string()), end)):
+            for _ in range(2):
+                ids, counts = encode(every, 2)
+                assert counts.tolist() == list(map(len, wanted)) and ids.tolist() == [x for w in wanted for x in w]
+    other = word_bpe.Encoder(P.path("byte_bpe_50k.json"))
+    ids, counts = other.encode_column(pa.array(["Some text", None]), 9)
+    assert not other.known and ids.tolist() == [*other.library.encode("Some text").ids, 9, 9] and counts.tolist() == [len(ids) - 1, 1]
+
+
 def test_repair_files_as_tokenizers(docs, texts, empty):
     from tokenizers import Tokenizer
 
