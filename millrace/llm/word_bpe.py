@@ -25,7 +25,7 @@ import pyarrow as pa
 from millrace.llm.words import hash_spans, text_buffer
 
 #: Distinct words and pieces that a worker remembers (it then begins anew); results do not depend on them.
-WORDS, MEMORY = 1 << 20, 400_000
+WORDS, MEMORY = 2_000_000, 300_000
 #: Pieces that are held as strings at a time, and characters of a text that are split at a time.
 PIECES, PART = 1 << 20, 1 << 20
 #: What a tokenizer file must hold for texts to be split here.
@@ -124,6 +124,7 @@ class Encoder:
             and (split[1]["type"], split[1]["add_prefix_space"], split[1]["use_regex"]) == ("ByteLevel", False, False)
         )
         self.special = [t["content"] for t in told["added_tokens"]]
+        self.begins = os.path.commonprefix(self.special)
         self.split, self.odd = _patterns()
         self.letters = _byte_letters()
         self.forget()
@@ -172,12 +173,13 @@ class Encoder:
         return ids, np.diff(ends[first[1:] + np.arange(len(first) - 1)], prepend=0)
 
     def plain(self, text: str) -> bool:
-        return self.known and (text.isascii() or not self.odd.search(text)) and not any(t in text for t in self.special)
+        return self.known and (text.isascii() or not self.odd.search(text)) and not (self.begins in text and any(t in text for t in self.special))
 
     def _learn(self, pieces: set[str]) -> None:
-        ends, found = [], []
+        ends, found, tokenize = [], [], self.library.model.tokenize
         for piece in pieces:
-            ids = [t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+            plain = piece.isascii() and piece.isprintable()
+            ids = [t.id for t in tokenize(piece if plain else "".join(map(self.letters.__getitem__, piece.encode())))]
             found += ids
             ends.append(len(found))
         n = len(self.number)
@@ -200,7 +202,11 @@ class Encoder:
         pieces: list[str] = []
         parts, seen, stops, whole = [], 0, [], {}
         for i, text in enumerate(texts):
-            if self.plain(text):
+            # A word of letters is a piece.
+            if text.isascii() and text.isalpha() and self.known:
+                pieces.append(text.lower())
+                seen += 1
+            elif self.plain(text):
                 for part in _parts(text):
                     if not part.isascii():
                         part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
