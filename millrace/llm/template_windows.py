@@ -42,17 +42,14 @@ NUMBER_WORDS = (
 )
 _NAME, _NUMBER, _UNIT, _JOIN = "", "", "", ""
 _MARKS = f"{_NAME}{_NUMBER}{_UNIT}{_JOIN}"
-#: Stripped from words; white space of any kind parts them.
-_STRIPPED, _SPACES = r"[^\p{L}\p{M}\p{N}\s\p{Z}]+", r"[\s\p{Z}]+"
 
 
 def _text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def plain_words(text: Column) -> Column:
-    """Lower-cased words without punctuation; an empty word may come first or last."""
-    return F.split(F.lower(F.regexp_replace(text, _STRIPPED, "")), _SPACES)
+#: Lower-cased words of `text` without punctuation; an empty word may come first or last.
+_PLAIN_WORDS = r"split(lower(regexp_replace(coalesce(cast(text as string), ''), '[^\\p{L}\\p{M}\\p{N}\\s\\p{Z}]+', '')), '[\\s\\p{Z}]+')"
 
 
 def _typed(text: Column) -> Column:
@@ -108,15 +105,19 @@ def item_windows(item_modes: DataFrame) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Rows whose text holds an anchor pair."""
-    worded = docs.withColumn("words", plain_words(_text()))
-    hashes = "transform(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]))"
+    """Rows whose text holds an anchor pair.
+
+    The words are a lambda's variable: as a column of their own they would be made anew for every place.
+    """
     few = [r["anchor"] for r in anchors.limit(ANCHORS + 1).collect()]
+    if not few:
+        return docs.limit(0)
+    pair = "xxhash64(w[i], w[i + 1])"
     if len(few) <= ANCHORS:
-        inside = f"exists(sequence(0, size(words) - 2), i -> xxhash64(words[i], words[i + 1]) in ({', '.join(map(str, few))}))" if few else "false"
-        return worded.where(f"size(words) > 1 and {inside}").drop("words")
-    pairs = worded.where("size(words) > 1").select("t", F.explode(F.expr(f"array_distinct({hashes})")).alias("anchor"))
-    return docs.join(pairs.join(anchors, "anchor", "left_semi").select("t").distinct(), "t", "left_semi")
+        return docs.where(f"exists(transform(array({_PLAIN_WORDS}), w -> size(w) > 1 and exists(sequence(0, size(w) - 2), i -> {pair} in ({', '.join(f'{x}L' for x in few)}))), x -> x)")
+    pairs = f"flatten(transform(array({_PLAIN_WORDS}), w -> if(size(w) > 1, array_distinct(transform(sequence(0, size(w) - 2), i -> {pair})), cast(array() as array<bigint>))))"
+    hits = docs.select("t", F.explode(F.expr(pairs)).alias("anchor")).join(anchors, "anchor", "left_semi").select("t").distinct()
+    return docs.join(hits, "t", "left_semi")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
