@@ -59,8 +59,8 @@ def _typed(text: Column) -> Column:
     return F.regexp_replace(numbered, rf"(?<={_NUMBER} )(?:{'|'.join(UNITS)})(?!\S)", _UNIT)
 
 
-def modes(rows: DataFrame, *keep: str) -> DataFrame:
-    """(*keep, mode, raw, typed, slots, capital): arrays of equal length for each text and mode.
+def modes(rows: DataFrame, *keep: str, arrays: tuple[str, ...] = ("raw", "typed", "slots", "capital")) -> DataFrame:
+    """(*keep, mode, *arrays): arrays of equal length for each text and mode.
 
     `typed` has the placeholders of the mode, `slots` those that an item compares, `capital` those that a
     document offers: all numbers, units and capitalised words. Mode `plain` has no placeholders at all.
@@ -68,14 +68,15 @@ def modes(rows: DataFrame, *keep: str) -> DataFrame:
     base = F.regexp_replace(F.regexp_replace(_text(), f"[{_MARKS}]", ""), r"\p{Z}", " ")
     marked = F.regexp_replace(base, r"(?<=[^.!?\s]\s)(?=\p{Lu})", _NAME)
     clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, rf"[^\p{{L}}\p{{M}}\p{{N}}\s{_MARKS}]+", ""), r"\s+", " "))
-    run = r"(?<={}\p{{Lu}}[\p{{L}}\p{{M}}]{{0,40}})\s(?={}\p{{Lu}})"
-    out = rows.select(*keep, clean(marked).alias("u"), clean(F.regexp_replace(marked, run.format(_NAME, _NAME), _JOIN)).alias("n"), clean(F.regexp_replace(base, run.format("", ""), _JOIN)).alias("c"))
+    # The look-behind comes last, as it is the dear part.
+    run = r"\s(?={0}\p{{Lu}})(?<={0}\p{{Lu}}[\p{{L}}\p{{M}}]{{0,40}}\s)"
+    out = rows.select(*keep, clean(marked).alias("u"), clean(F.regexp_replace(marked, run.format(_NAME), _JOIN)).alias("n"), clean(F.regexp_replace(base, run.format(""), _JOIN)).alias("c"))
 
     def mode(name: str, text: str, typed: str, slots: str) -> Column:
         plain = F.translate(text, _NAME, "")
         words = {"raw": F.lower(plain), "named": _typed(F.regexp_replace(text, rf"{_NAME}\S+", _NAME)), "capital": _typed(F.regexp_replace(plain, r"(?<!\S)\p{Lu}\S*", _NAME)), "folded": _typed(plain)}
-        split = lambda t: F.split(t, " ")
-        return F.struct(F.lit(name).alias("mode"), split(words["raw"]).alias("raw"), split(words[typed]).alias("typed"), split(words[slots]).alias("slots"), split(words["capital"]).alias("capital"))
+        of = {"raw": "raw", "typed": typed, "slots": slots, "capital": "capital"}
+        return F.struct(F.lit(name).alias("mode"), *[F.split(words[of[x]], " ").alias(x) for x in arrays])
 
     each = F.array(mode("named", "n", "named", "named"), mode("capital", "c", "capital", "capital"), mode("folded", "u", "folded", "named"), mode("plain", "u", "raw", "raw"))
     return out.where("u <> ''").select(*keep, F.explode(each).alias("x")).select(*keep, "x.*")
@@ -83,7 +84,7 @@ def modes(rows: DataFrame, *keep: str) -> DataFrame:
 
 def _windows(rows: DataFrame, sizes: Column, *keep: str) -> DataFrame:
     """(*keep, mode, place, size, h) for every window of one of the sizes."""
-    sized = rows.withColumn("size", F.explode(sizes)).where("size(raw) >= size")
+    sized = rows.withColumn("size", F.explode(sizes)).where("size(typed) >= size")
     places = "transform(sequence(0, size(typed) - size), i -> struct(i as place, xxhash64(mode, slice(typed, i + 1, size)) as h))"
     return sized.withColumn("w", F.explode(F.expr(places))).select(*keep, "mode", "w.place", "size", "w.h")
 
@@ -94,7 +95,7 @@ def _literals(of: str) -> str:
 
 def item_windows(item_modes: DataFrame) -> DataFrame:
     """(item_id, mode, place, size, h, anchor) of the windows with enough ordinary words, plain ones only for items without others."""
-    size = F.expr(f"array(cast(if(size(raw) >= {WINDOW}, {WINDOW}, size(raw)) as int))")
+    size = F.expr(f"array(cast(if(size(typed) >= {WINDOW}, {WINDOW}, size(typed)) as int))")
     found = _windows(item_modes, size, "item_id").join(item_modes.select("item_id", "mode", "typed"), ["item_id", "mode"])
     found = found.withColumn("words", F.expr("slice(typed, place + 1, size)")).where(f"size({_literals('words')}) >= {MIN_LITERAL}")
     pairs = f"transform(sequence(0, size(words) - 2), i -> if(words[i] rlike '[{_MARKS}]' or words[i + 1] rlike '[{_MARKS}]', null, struct(length(words[i]) + length(words[i + 1]) as n, words[i] as a, words[i + 1] as b)))"
@@ -140,8 +141,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
 
     chosen = through_table(_candidates(docs, windows.select("anchor").distinct()), "candidates")
-    texts = through_table(modes(chosen.groupBy("t").agg(F.first("text").alias("text")), "t"), "texts")
-    every = _windows(texts, F.expr(f"cast(array({', '.join(map(str, sizes))}) as array<int>)"), "t")
+    texts = chosen.groupBy("t").agg(F.first("text").alias("text"))
+    every = _windows(modes(texts, "t", arrays=("typed",)), F.expr(f"cast(array({', '.join(map(str, sizes))}) as array<int>)"), "t")
     met = every.join(small(windows.withColumnRenamed("place", "item_place").drop("anchor")), ["mode", "size", "h"])
     met = through_table(met.select("t", "item_id", "mode", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "size", "h").distinct(), "met")
 
@@ -149,6 +150,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = met.groupBy("t", "item_id", "mode").agg(F.countDistinct("h").alias("n_found")).join(small(totals), ["item_id", "mode"])
     pairs = through_table(found.where(f"100 * n_found >= {SHARE} * n_windows"), "pairs")
 
+    # From here on only texts in a pair are read.
+    texts = chosen.join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    texts = through_table(modes(texts, "t", arrays=("raw", "capital")), "texts")
     # A capitalised word at a sentence start is a slot where the item has it as a name elsewhere.
     sides = item_modes.withColumn("names", F.expr(f"filter(raw, (x, i) -> slots[i] = '{_NAME}')")).select(
         "item_id", "mode", F.col("raw").alias("item_raw"),
