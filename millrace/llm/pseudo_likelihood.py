@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import through_table
+from millrace.llm.storage import discard, through_table
+from millrace.llm.word_bpe import Table
 from millrace.llm.words import hash_words, row_slices, text_buffer
 
 SIDE = 64
@@ -32,7 +33,9 @@ BATCH = 1024
 RATE = 0.5
 EPOCHS = 2
 FAN_IN = 16
-FREQUENT = 1 << 16
+FREQUENT = 1 << 20
+#: Words of a task that are counted together.
+COUNTED = 1 << 21
 _CODES = SIDE * SIDE
 #: Embedding row of places outside the text.
 _EDGE = _CODES
@@ -141,23 +144,45 @@ def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes.view(np.int64), (hashes % np.uint64(_CODES)).astype(np.int64), first
 
 
-def vocabulary(documents: DataFrame) -> DataFrame:
-    """(h, n): the hash of every distinct word of all texts, and how often it occurs."""
+def coded(documents: DataFrame) -> DataFrame:
+    """A table of (words, codes) for runs of texts, as `sequence` lays them out, and of (h, n), counts of word hashes.
+
+    It is made in one pass and read by `vocabulary` and `train`, so texts are not hashed again for each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def row(words: int, codes: bytes | None, kinds: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64))) for x in (kinds, counts)]
+            return pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([codes], pa.binary()), *lists], ["words", "codes", "h", "n"])
+
+        none = np.zeros(0, np.int64)
         for whole in batches:
-            for batch in row_slices(whole, "text"):
-                kinds, counts = np.unique(_coded(batch)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), pa.array(counts, pa.int64())], ["h", "n"])
+            for batch in row_slices(whole, "text", 1 << 20):
+                hashes, codes, first = _coded(batch)
+                if len(codes):
+                    yield row(len(codes), sequence(codes, first).tobytes(), none, none)
+                    held.append(hashes)
+                if sum(map(len, held)) > COUNTED:
+                    yield row(0, None, *np.unique(np.concatenate(held), return_counts=True))
+                    held = []
+        if held:
+            yield row(0, None, *np.unique(np.concatenate(held), return_counts=True))
 
     docs = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return through_table(docs.mapInArrow(run, "words long, codes binary, h array<long>, n array<long>"), "coded")
 
 
-def train(documents: DataFrame) -> np.ndarray:
-    """Parameters after EPOCHS passes over all texts."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("text").cast("string").alias("text")).where("text is not null")
+def vocabulary(table: DataFrame) -> DataFrame:
+    """(h, n): the hash of every distinct word of a coded table, and how often it occurs."""
+    return table.select(F.inline(F.arrays_zip("h", "n"))).groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def train(table: DataFrame) -> np.ndarray:
+    """Parameters after EPOCHS passes over all texts of a coded table."""
+    spark = table.sparkSession
+    docs = table.select("words", "codes").where("codes is not null")
     flat = start()
     for _ in range(EPOCHS):
         shared = spark.sparkContext.broadcast(flat)
@@ -165,12 +190,11 @@ def train(documents: DataFrame) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             mine = shared.value.copy()
             p, words = _views(mine), 0
-            for whole in batches:
-                for batch in row_slices(whole, "text", 1 << 20):
-                    _, codes, first = _coded(batch)
-                    for chunk in chunks(sequence(codes, first), BATCH):
+            for batch in batches:
+                for n, codes in zip(batch.column("words").to_pylist(), batch.column("codes"), strict=True):
+                    for chunk in chunks(np.frombuffer(codes.as_buffer(), np.uint16), BATCH):
                         step(p, chunk)
-                    words += len(codes)
+                    words += n
             if words:
                 yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([(words * mine.astype(np.float64)).tobytes()], pa.binary())], ["n", "flat"])
 
@@ -198,12 +222,13 @@ def train(documents: DataFrame) -> np.ndarray:
 def score(documents: DataFrame, flat: np.ndarray | None = None, words: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, pseudo_log_likelihood (sum over words) and its mean per word (null without words).
 
-    `flat` and `words` are the results of train and vocabulary, each made from `documents` where not given.
+    `flat` and `words` are the results of train and vocabulary, both made from `documents` where not given.
     A null or empty text scores 0 over no words. Repeated rows are trained on and scored alike; null ids
     pass through; other columns are ignored; an empty table gives an empty result.
     """
     spark = documents.sparkSession
-    counted = through_table(vocabulary(documents) if words is None else words.select("h", "n"), "vocabulary")
+    table = coded(documents) if flat is None or words is None else None
+    counted = through_table(vocabulary(table) if words is None else words.select("h", "n"), "vocabulary")
     code = F.col("h").bitwiseAND(_CODES - 1)
     totals = np.zeros(_CODES, np.int64)
     for r in counted.groupBy(code.alias("code")).agg(F.sum("n").alias("n")).collect():
@@ -211,20 +236,22 @@ def score(documents: DataFrame, flat: np.ndarray | None = None, words: DataFrame
     often = sorted((r["h"], r["n"]) for r in counted.where(F.col("n") >= max(1.0, float(totals.sum()) / FREQUENT)).collect())
     known, n = np.array([x[0] for x in often], np.int64), np.array([x[1] for x in often], np.int64)
     own = np.log(n / (totals[known & (_CODES - 1)] + 1))
-    shared = spark.sparkContext.broadcast((train(documents) if flat is None else flat, known, own))
+    shared = spark.sparkContext.broadcast((train(table) if flat is None else flat, known, own))
+    if table is not None:
+        discard(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, known, own = shared.value
         p = _views(flat.copy())
+        places = Table()
+        places.add(known.view(np.uint64), np.arange(len(known), dtype=np.int32))
         for whole in batches:
             for batch in row_slices(whole, "text", 1 << 20):
                 hashes, codes, first = _coded(batch)
                 each = np.concatenate([np.zeros(0)] + [log_probability(p, chunk) for chunk in chunks(sequence(codes, first), 2048)])
-                rare = np.ones(len(hashes), bool)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                    rare = known[at] != hashes
-                    each = each + np.where(rare, 0.0, own[at])
+                at = places.find(hashes.view(np.uint64))
+                rare = at < 0
+                each = each + np.append(own, 0.0)[at]
                 total = np.diff(np.concatenate(([0.0], np.cumsum(each)))[first])
                 # The rest of each row's distinct words, with their counts, for the join.
                 row, h = np.repeat(np.arange(len(first) - 1), np.diff(first))[rare], hashes[rare]

@@ -584,7 +584,7 @@ def test_licences_against_brute_force(spark):
 def test_pseudo_likelihood(spark, empty):
     rows = [(i, " ".join(["one two three four five six"] * 40)) for i in range(200)]
     train = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-    flat = pseudo_likelihood.train(train)
+    flat = pseudo_likelihood.train(pseudo_likelihood.coded(train))
     got = by_id(pseudo_likelihood.score(spark.createDataFrame([(1, "one two three four five six"), (2, "six one five three two four"), (3, None)], "doc_id long, text string"), flat))
     assert got[1]["mean_log_likelihood"] > got[2]["mean_log_likelihood"] and got[3]["n_words"] == 0 and got[3]["mean_log_likelihood"] is None
     assert pseudo_likelihood.score(empty).collect() == []
@@ -637,7 +637,8 @@ def test_pseudo_likelihood_of_words_with_one_code(spark, monkeypatch):
     often, rare, unseen = (names[i] for i in np.flatnonzero(codes == codes[0])[:3])
     filler = [w for w, c in zip(names, codes, strict=True) if c != codes[0]][:50]
     train = spark.createDataFrame([(i, f"{often} {often} {often} {rare if i == 0 else often} " + " ".join(filler)) for i in range(40)], "doc_id long, text string")
-    flat, words = pseudo_likelihood.train(train), pseudo_likelihood.vocabulary(train)
+    table = pseudo_likelihood.coded(train)
+    flat, words = pseudo_likelihood.train(table), pseudo_likelihood.vocabulary(table)
     assert {r["n"] for r in words.collect()} == {159, 1, 40} and words.count() == 52
     tested = spark.createDataFrame([(1, often), (2, rare), (3, unseen), (4, f"{rare} {often} {rare}"), (None, rare), (2, rare)], "doc_id long, text string")
     results = []
