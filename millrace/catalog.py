@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import normalise as N
 from millrace.operators import rules as R
 from millrace.operators import tables as O
+from millrace.queries import receipts
 from millrace.sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,11 +227,25 @@ _QUERIES = (order_item_rules, sum_field, normalize_date, normalize_amount, norma
     prefix_lookup, pair_rows, smallest_container, nearest_label, section_context, page_islands, evenly_spaced, majority_vote, upper_median, one_sided_rows, next_version, status_dwell, correction_overlay, cell_accuracy, top_misses, queue_reason, detail_rules, empty_columns, export_rows, same_reading, markdown_rows)
 
 
+#: Modules with queries of their own.
+_MODULES = (receipts,)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in _QUERIES}
+    out = {f.__name__: f for f in _QUERIES}
+    for module in _MODULES:
+        out |= module.queries()
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _oracle_sql()
+    for module in _MODULES:
+        out |= module.oracle_sql()
+    return out
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "order_item_rules": """
             SELECT 'DATE.ORDER' AS rule, count(*) AS n_flags FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate::date < o_orderdate::date
