@@ -13,9 +13,9 @@ agree word for word (verbatim) or the slots are consistent on an offset at which
 value of the item stands for one value in the document throughout.
 
 Before all this, texts are chosen that can hold a window at all: six ordinary words among ten stand next to
-one another at least once, so for each window its longest pair of neighbouring ordinary words must occur in
-the text. That is one hash a word and a look-up; everything else runs on the texts chosen, each distinct
-text once. Up to ANCHORS pairs the look-up is a set in the plan, beyond that a join.
+one another at least once, so for each window an anchor, its longest run of up to RUN neighbouring ordinary
+words, must occur in the text. That is a hash a word and a look-up; everything else runs on the texts chosen,
+each distinct text once. Up to ANCHORS anchors the look-up is a set in the plan, beyond that a join.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ MIN_LITERAL = 6
 #: Share of an item's windows that must be found in a document, in percent.
 SHARE = 30
 BROADCAST_WINDOWS = 200_000
-ANCHORS = 20_000
+#: Most words of an anchor, and most anchors that the plan holds as a set.
+RUN, ANCHORS = 4, 20_000
 UNITS = (
     "mm", "cm", "m", "km", "g", "kg", "mg", "lb", "lbs", "oz", "ml", "l", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks",
     "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "pound", "pounds", "cent", "cents", "percent", "degrees", "mile", "miles", "meter", "meters", "metres", "kilometers",
@@ -93,32 +94,38 @@ def _literals(of: str) -> str:
     return f"filter({of}, x -> not x rlike '[{_MARKS}]')"
 
 
+def _anchor(run: int, words: str, at: str) -> str:
+    return f"xxhash64({', '.join(f'{words}[{at} + {k}]' for k in range(run))})"
+
+
 def item_windows(item_modes: DataFrame) -> DataFrame:
-    """(item_id, mode, place, size, h, anchor) of the windows with enough ordinary words, plain ones only for items without others."""
+    """(item_id, mode, place, size, h, run, anchor) of the windows with enough ordinary words, plain ones only for items without others."""
     size = F.expr(f"array(cast(if(size(typed) >= {WINDOW}, {WINDOW}, size(typed)) as int))")
     found = _windows(item_modes, size, "item_id").join(item_modes.select("item_id", "mode", "typed"), ["item_id", "mode"])
     found = found.withColumn("words", F.expr("slice(typed, place + 1, size)")).where(f"size({_literals('words')}) >= {MIN_LITERAL}")
-    pairs = f"transform(sequence(0, size(words) - 2), i -> if(words[i] rlike '[{_MARKS}]' or words[i + 1] rlike '[{_MARKS}]', null, struct(length(words[i]) + length(words[i + 1]) as n, words[i] as a, words[i + 1] as b)))"
-    found = found.withColumn("best", F.expr(f"array_max(filter({pairs}, x -> x is not null))")).withColumn("anchor", F.expr("xxhash64(best.a, best.b)"))
-    found = found.select("item_id", "mode", "place", "size", "h", "anchor")
+    runs = [f"if(size(words) < {g}, array(), transform(sequence(0, size(words) - {g}), i -> if(exists(slice(words, i + 1, {g}), x -> x rlike '[{_MARKS}]'), null, struct({g} as run, length(array_join(slice(words, i + 1, {g}), '')) as n, slice(words, i + 1, {g}) as w))))" for g in range(2, RUN + 1)]
+    found = found.withColumn("best", F.expr(f"array_max(filter(concat({', '.join(runs)}), x -> x is not null))"))
+    anchor = "case best.run " + " ".join(f"when {g} then {_anchor(g, 'best.w', '0')}" for g in range(2, RUN + 1)) + " end"
+    found = found.select("item_id", "mode", "place", "size", "h", "best.run", F.expr(anchor).alias("anchor"))
     templates = found.where("mode <> 'plain'")
     return templates.unionByName(found.where("mode = 'plain'").join(templates.select("item_id").distinct(), "item_id", "left_anti"))
 
 
 def _candidates(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Rows whose text holds an anchor pair.
+    """Rows whose text holds an anchor.
 
     The words are a lambda's variable: as a column of their own they would be made anew for every place.
     """
-    few = [r["anchor"] for r in anchors.limit(ANCHORS + 1).collect()]
+    few = anchors.limit(ANCHORS + 1).collect()
     if not few:
         return docs.limit(0)
-    pair = "xxhash64(w[i], w[i + 1])"
     if len(few) <= ANCHORS:
-        return docs.where(f"exists(transform(array({_PLAIN_WORDS}), w -> size(w) > 1 and exists(sequence(0, size(w) - 2), i -> {pair} in ({', '.join(f'{x}L' for x in few)}))), x -> x)")
-    pairs = f"flatten(transform(array({_PLAIN_WORDS}), w -> if(size(w) > 1, array_distinct(transform(sequence(0, size(w) - 2), i -> {pair})), cast(array() as array<bigint>))))"
-    hits = docs.select("t", F.explode(F.expr(pairs)).alias("anchor")).join(anchors, "anchor", "left_semi").select("t").distinct()
-    return docs.join(hits, "t", "left_semi")
+        sets = {g: ", ".join(f"{r['anchor']}L" for r in few if r["run"] == g) for g in range(2, RUN + 1)}
+        tests = [f"(size(w) >= {g} and exists(sequence(0, size(w) - {g}), i -> {_anchor(g, 'w', 'i')} in ({known})))" for g, known in sets.items() if known]
+        return docs.where(f"exists(transform(array({_PLAIN_WORDS}), w -> {' or '.join(tests)}), x -> x)")
+    runs = [f"if(size(w) >= {g}, array_distinct(transform(sequence(0, size(w) - {g}), i -> struct({g} as run, {_anchor(g, 'w', 'i')} as anchor))), array())" for g in range(2, RUN + 1)]
+    hits = docs.select("t", F.explode(F.expr(f"flatten(transform(array({_PLAIN_WORDS}), w -> concat({', '.join(runs)})))")).alias("x")).select("t", "x.*")
+    return docs.join(hits.join(anchors, ["run", "anchor"], "left_semi").select("t").distinct(), "t", "left_semi")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,10 +147,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     small = F.broadcast if few else (lambda df: df)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
 
-    chosen = through_table(_candidates(docs, windows.select("anchor").distinct()), "candidates")
+    chosen = through_table(_candidates(docs, windows.select("run", "anchor").distinct()), "candidates")
     texts = chosen.groupBy("t").agg(F.first("text").alias("text"))
     every = _windows(modes(texts, "t", arrays=("typed",)), F.expr(f"cast(array({', '.join(map(str, sizes))}) as array<int>)"), "t")
-    met = every.join(small(windows.withColumnRenamed("place", "item_place").drop("anchor")), ["mode", "size", "h"])
+    met = every.join(small(windows.withColumnRenamed("place", "item_place").drop("run", "anchor")), ["mode", "size", "h"])
     met = through_table(met.select("t", "item_id", "mode", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", "size", "h").distinct(), "met")
 
     totals = windows.groupBy("item_id", "mode").agg(F.countDistinct("h").alias("n_windows"))
