@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import normalise as N
 from millrace.operators import rules as R
 from millrace.operators import tables as O
-from millrace.queries import receipts
+from millrace.queries import documents, readings, receipts
 from millrace.sources import text as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +228,7 @@ _QUERIES = (order_item_rules, sum_field, normalize_date, normalize_amount, norma
 
 
 #: Modules with queries of their own.
-_MODULES = (receipts,)
+_MODULES = (receipts, readings, documents)
 
 
 def queries() -> dict[str, Query]:
@@ -272,7 +272,7 @@ def _oracle_sql() -> dict[str, str]:
         "score_grouping_sets": """
             SELECT lang, source, sum((quality = (n_chars > 1000)::int)::int)::bigint AS n_hit, count(*) AS n_total
             FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())""",
-        "content_dedup": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY 1",
+        "content_dedup": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
         "evidence_exact": r"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\x20\x09-\x0D]+')) >= 6",
         "text_blocks": r"""
             SELECT doc_id, line_no, text FROM (
@@ -304,7 +304,7 @@ def _oracle_sql() -> dict[str, str]:
             SELECT user_id, event_type, island, count(*) AS n_rows, min(event_id) AS first, max(event_id) AS last FROM i GROUP BY 1, 2, 3""",
         "evenly_spaced": """
             WITH r AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS size FROM orders)
-            SELECT o_orderpriority, o_orderkey FROM r WHERE pos = 0 OR floor(pos * 7 / size) <> floor((pos - 1) * 7 / size)""",
+            SELECT DISTINCT o_orderpriority, o_orderkey FROM r JOIN (SELECT unnest(range(7)) AS i) ON pos = CASE WHEN size <= 7 THEN i ELSE (i * size) // 7 END""",
         "majority_vote": """
             SELECT l_orderkey, arg_min(l_returnflag, (-k, l_returnflag)) AS l_returnflag, max(k) AS votes
             FROM (SELECT l_orderkey, l_returnflag, count(*) AS k FROM lineitem GROUP BY 1, 2) GROUP BY 1""",
@@ -315,7 +315,7 @@ def _oracle_sql() -> dict[str, str]:
         "next_version": "SELECT p_brand, p_type, (max(p_size) + 1)::bigint AS next_version FROM part GROUP BY 1, 2",
         "status_dwell": """
             SELECT event_type AS status, count(*) AS n, sum(epoch_us(nxt) - epoch_us(ts))::bigint AS micros
-            FROM (SELECT event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events) GROUP BY 1""",
+            FROM (SELECT event_type, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS nxt FROM events) GROUP BY 1""",
         "correction_overlay": """
             SELECT c_custkey AS id, coalesce(n, c_mktsegment) AS v, n IS NOT NULL AS corrected
             FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""",

@@ -115,13 +115,18 @@ def decimal_text(number: Column) -> Column:
     return F.when(number.isNotNull(), F.when(short == "", "0").otherwise(short))
 
 
-def number(value: Column) -> Column:
+def number_value(value: Column) -> Column:
     """The first number, or the product of the first two that a multiplication sign joins; commas of thousands go, others are points."""
     plain = F.translate(F.regexp_replace(value, r"(?<=\d),(?=\d{3}(?!\d))", ""), ",", ".")
     figure = r"(\d+(?:\.\d+)?)"
     pair = rf"{figure}\s*[xX*×]\s*{figure}"
     factor = lambda k: F.regexp_extract(plain, pair, k).try_cast("double")
-    return decimal_text(F.when(plain.rlike(pair), factor(1) * factor(2)).otherwise(F.regexp_extract(plain, figure, 1).try_cast("double")))
+    return F.when(plain.rlike(pair), factor(1) * factor(2)).otherwise(F.regexp_extract(plain, figure, 1).try_cast("double"))
+
+
+def number(value: Column) -> Column:
+    """`number_value` with up to four decimals, as text."""
+    return decimal_text(number_value(value))
 
 
 def phone(value: Column) -> Column:
@@ -299,12 +304,12 @@ def loose(value: Column) -> Column:
 
 
 def needles(value: Column) -> Column:
-    """The forms in which a value may be printed: as it is, a whole number without point, a date with other marks; loosened, distinct."""
-    plain = F.regexp_replace(value, r"[원₩%]", "")
+    """The forms in which a value may be printed: as it is, a whole number without point, without a unit at its end, a date with other marks; loosened, distinct."""
+    plain = stripped(value)
+    bare = F.regexp_replace(plain, r"[원₩%]$", "")
     whole = F.regexp_replace(plain, r"^(-?\d+)\.0+$", "$1")
-    day = r"^(\d{4})-?(\d{2})-?(\d{2})$"
-    dated = [F.when(plain.rlike(day), F.regexp_replace(plain, day, form)) for form in ("$1-$2-$3", "$1.$2.$3", "$1/$2/$3", "$1년$2월$3일", "$1$2$3")]
-    return F.filter(F.array_distinct(F.transform(F.array_compact(F.array(plain, whole, *dated)), loose)), lambda x: x != "")
+    dated = [F.when(plain.rlike(r"^\d{4}[.\-/]\d{1,2}[.\-/]\d{1,2}$"), F.regexp_replace(plain, r"[.\-/]", mark)) for mark in ".-/"]
+    return F.filter(F.array_distinct(F.transform(F.array_compact(F.array(plain, bare, whole, *dated)), loose)), lambda x: x != "")
 
 
 def code_points(value: Column) -> Column:

@@ -59,5 +59,5 @@ def score_grouping_sets(predictions: DataFrame, dimensions: list[str]) -> DataFr
 
 
 def content_groups(documents: DataFrame) -> DataFrame:
-    """Documents of equal content: the smallest id and the number of copies."""
-    return documents.groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+    """Documents of equal content: the smallest id and the number of copies. Documents without text are copies of nothing."""
+    return documents.where(F.col("text").isNotNull()).groupBy(F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))

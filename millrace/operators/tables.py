@@ -29,9 +29,10 @@ def pair_rows(left: DataFrame, right: DataFrame, keys: list[str], order: str) ->
 
     Columns of the right side are prefixed `other_`; rows without a partner stay, with nulls across.
     """
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    a = left.withColumn("turn", turn)
-    b = right.withColumn("turn", turn)
+    # Equal rows of one place in the order are alike, so the rest of the columns decides between them.
+    turn = lambda df: F.row_number().over(Window.partitionBy(*keys).orderBy(order, *[c for c in df.columns if c not in (*keys, order)]))
+    a = left.withColumn("turn", turn(left))
+    b = right.withColumn("turn", turn(right))
     b = b.select(*keys, "turn", *[F.col(c).alias(f"other_{c}") for c in right.columns if c not in keys])
     return a.join(b, [*keys, "turn"], "full_outer")
 
@@ -64,11 +65,21 @@ def islands(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame
 
 
 def evenly_spaced(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """At most n rows of each group at even distances in order; a sampling operator, the same rows every time."""
+    """At most n rows of each group: those at places floor(i * size / n) in order; a sampling operator, the same rows every time.
+
+    Places come from the counts of ranges of `order`, so no group is sorted in one task: rows are ranked within
+    their range and moved by the number of rows in the ranges before it.
+    """
+    spread = rows.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("__part", F.spark_partition_id())
+    inner = spread.withColumn("__in", F.row_number().over(Window.partitionBy("__part", *by).orderBy(order)))
+    counts = spread.groupBy("__part", *by).agg(F.count(F.lit(1)).alias("__k"))
     frame = Window.partitionBy(*by)
-    ranked = rows.withColumns({"at": F.row_number().over(frame.orderBy(order)) - 1, "size": F.count(F.lit(1)).over(frame)})
-    step = F.floor(F.col("at") * n / F.col("size")) != F.floor((F.col("at") - 1) * n / F.col("size"))
-    return ranked.where(step | (F.col("at") == 0)).drop("at", "size")
+    before = counts.withColumns({"__before": F.sum("__k").over(frame.orderBy("__part")) - F.col("__k"), "__size": F.sum("__k").over(frame)})
+    ranked = inner.join(before, ["__part", *by]).withColumn("__at", F.col("__before") + F.col("__in") - 1)
+    # Place p is floor(i * size / n) for some i below n just where ceil(p * n / size) * size / n, floored, is p.
+    i = F.expr(f"((__at * {n}) + __size - 1) div __size")
+    kept = (F.col("__size") <= n) | ((i < n) & (F.expr(f"((((__at * {n}) + __size - 1) div __size) * __size) div {n}") == F.col("__at")))
+    return ranked.where(kept).select(*rows.columns)
 
 
 def majority(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -98,7 +109,7 @@ def next_version(schemas: DataFrame, by: list[str], version: str) -> DataFrame:
 
 def status_dwell(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
     """(status, n, micros): how often a status was entered and for how long it held until the next one."""
-    frame = Window.partitionBy(key).orderBy(at)
+    frame = Window.partitionBy(key).orderBy(at, status)
     spent = F.unix_micros(F.lead(at).over(frame).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
     each = events.select(F.col(status).alias("status"), spent.alias("micros"))
     return each.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("micros").cast("long").alias("micros"))
@@ -106,7 +117,7 @@ def status_dwell(events: DataFrame, key: str, at: str, status: str) -> DataFrame
 
 def overlay(base: DataFrame, corrections: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Base values replaced by each key's last correction; `corrected` says where."""
-    last = corrections.groupBy(key).agg(F.max_by(value, order).alias("new"), F.lit(True).alias("corrected"))
+    last = corrections.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias("new"), F.lit(True).alias("corrected"))
     out = base.join(last, key, "left")
     return out.select(key, F.coalesce("new", value).alias(value), F.coalesce("corrected", F.lit(False)).alias("corrected"))
 

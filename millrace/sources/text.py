@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.documents import LINE_END
+
 
 def text_blocks(documents: DataFrame) -> DataFrame:
     """A row for each non-blank line: doc_id, line_no (of the lines as given) and the trimmed text."""
-    lines = documents.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "text"))
+    # Line ends of any script, as text has them.
+    lines = documents.select("doc_id", F.posexplode(F.split(F.col("text"), LINE_END)).alias("line_no", "text"))
     return lines.withColumn("text", F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).where("text <> ''")
 
 

@@ -47,8 +47,8 @@ CASES = [
     (N.person_name, "홍길동홍길동 (인)", "홍길동"), (N.person_name, "의사 김철수 제12345호", "김철수"), (N.person_name, "남여", None), (N.person_name, "치과", None),
     (N.hospital_name, "병원명: 한빛병 직인생략", "한빛병원"), (N.address, "주소: 서울시 강남구 1로 2 전화 02-123-4567", "서울시 강남구 1로 2"), (N.address, "123", None),
     (N.serial_number, "야간(공휴일)진료", None), (N.serial_number, "A-12345", "A-12345"), (N.serial_number, "20191024-M188", None), (lambda v: N.serial_number(v, False), "20191024-M188", "20191024-M188"), (N.serial_number, "2018 -", None),
-    (N.ward, "내과혈액종양", None), (N.ward, "501호", "501호"), (N.letters_of, "각a", [4352, 4449, 4520, 97]), (N.needles, "20230102", ["20230102", "2023-01-02", "2023.01.02", "2023/01/02", "2023년01월02일"]),
-    (N.needles, "1,200.0원", ["1200.0"]), (lambda v: N.misread_of(v, F.lit("치료재료대")), "치료제료다", True), (lambda v: N.misread_of(v, F.lit("주사료")), "검사로", False), (lambda v: N.misread_of(v, F.lit("abcd")), "abd", True),
+    (N.ward, "내과혈액종양", None), (N.ward, "501호", "501호"), (N.letters_of, "각a", [4352, 4449, 4520, 97]), (N.needles, "2023-1-02", ["2023-1-02", "2023.1.02", "2023/1/02"]), (N.needles, "의원", ["의원", "의"]), (N.needles, "12.0", ["12.0", "12"]),
+    (N.needles, "1,200.0원", ["1200.0원", "1200.0"]), (lambda v: N.misread_of(v, F.lit("치료재료대")), "치료제료다", True), (lambda v: N.misread_of(v, F.lit("주사료")), "검사로", False), (lambda v: N.misread_of(v, F.lit("abcd")), "abd", True),
     (N.is_total, "합 계:", True), (N.is_total, None, False), (N.several_amounts, "1,200 300", True), (N.several_amounts, "1,200", False),
     (lambda v: N.page_numbers(v, F.lit(6)), "5,1-3, 9", [1, 2, 3, 5]), (lambda v: N.page_numbers(v, F.lit(6)), "1-", None), (lambda v: N.page_numbers(v, F.lit(6)), "3-2", []),
     (N.present, "n/a", None), (N.present, " x ", "x"), (N.dictionary_key, "kk-05.4", "KK054"),
