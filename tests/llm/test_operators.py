@@ -501,6 +501,91 @@ def test_quotes_of_later_holders_and_other_line_breaks(spark):
     assert linked == {(1, 3): 2, (1, 4): 2, (1, 7): 5, (1, 8): 5, (2, 1): 0, (2, 3): 2}
 
 
+def test_quotes_against_brute_force(spark, monkeypatch):
+    """Threads with nested, wrapped and partial quotes, and common lines: sources, roots, depths and reply order by plain loops."""
+    r = random.Random(21)
+    monkeypatch.setattr(quote_links, "SIBLINGS", 4)
+
+    def normal(text):
+        return " ".join(regex.findall(r"[\p{L}\p{M}\p{N}]+", text.lower()))
+
+    def passages(text):
+        """(level, passage) of consecutive lines of one level."""
+        out = []
+        for line in (text or "").split("\n"):
+            mark = re.match(r"((?:[ \t]*>)*)[ \t]?", line)[0]
+            level = mark.count(">")
+            if out and out[-1][0] == level:
+                out[-1][1].append(line[len(mark) :])
+            else:
+                out.append((level, [line[len(mark) :]]))
+        return [(level, "\n".join(x)) for level, x in out]
+
+    def hashes(text):
+        """Counts of normalised passages, lines, sentences and windows, by level."""
+        out = Counter()
+        for level, p in passages(text):
+            words = normal(p).split()
+            if words:
+                parts = {" ".join(words), *map(normal, p.split("\n")), *map(normal, re.split(r"(?<=[.!?])\s+", p))} - {""}
+                parts |= {("window", *words[i : i + 6]) for i in range(len(words) - 5)}
+                out.update((level, h) for h in parts)
+        return out
+
+    rows = []
+    for conv in range(25):
+        turns = []
+        for turn in range(r.randrange(1, 22)):
+            own = ". ".join(" ".join(f"{r.choice('abcdefgh')}{r.randrange(9)}" for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 3))) + r.choice([".", "\nThanks.", ""])
+            text = own
+            if turns and r.random() < 0.8:
+                quoted = r.choice(turns[-6:]) or ""
+                if r.random() < 0.4:
+                    quoted = quoted.replace("\n", " ")
+                if r.random() < 0.3:
+                    quoted = "\n".join(textwrap.wrap(quoted.replace("\n", " "), 25)) or quoted
+                if r.random() < 0.2:
+                    quoted = quoted[: len(quoted) // 2]
+                text = "\n".join(("> " if r.random() < 0.7 else ">") + x for x in quoted.split("\n")) + "\n" + own
+            turns.append(text)
+            rows.append((conv, turn, "user", text))
+    rows += [(99, t, "user", f"m{t} body\n" if t == 0 else f"> m{t - 1} body\nm{t} body") for t in range(70)]
+    rows += [(98, t, "user", "the only start" if t == 0 else f"> the only start\nreply {t}") for t in range(30)]
+    texts = {(c, t): x for c, t, _, x in rows}
+    every = {k: hashes(x) for k, x in texts.items()}
+    parent, sources = {}, {}
+    for (c, t), found in every.items():
+        best = {}
+        for level in {lv for lv, _ in found if lv > 0}:
+            scores = Counter()
+            for (lv, h), k in found.items():
+                if lv == level:
+                    for s in range(t):
+                        if every[c, s][0, h]:
+                            scores[s] += k
+            if scores:
+                best[level] = max(scores, key=lambda s: (scores[s], s))
+        if best:
+            parent[c, t], sources[c, t] = best[min(best)], sorted(best.items())
+    children = {}
+    for (c, t), p in sorted(parent.items()):
+        children.setdefault((c, p), []).append(t)
+    wanted = {}
+    for c, t in texts:
+        if (c, t) not in parent:
+            stack, place = [(t, 0)], 0
+            while stack:
+                node, depth = stack.pop()
+                wanted[c, node] = (parent.get((c, node)), t, depth, place)
+                place += 1
+                stack += [(x, depth + 1) for x in reversed(children.get((c, node), []))]
+    assert len(parent) > 200 and max(w[2] for w in wanted.values()) == 69
+    extra = spark.createDataFrame([(*x, 1, "p") for x in rows], "conv_id long, turn long, role string, text string, level int, h string")
+    got = quote_links.reply_order(extra).collect()
+    assert {(x["conv_id"], x["turn"]): (x["parent_turn"], x["root_turn"], x["depth"], x["position"]) for x in got} == wanted
+    assert {(x["conv_id"], x["turn"]): [tuple(s) for s in x["sources"]] for x in got if x["sources"]} == sources
+
+
 def test_licences(spark, empty):
     mit = f"MIT License\n\n{licence_sentences.SENTENCES['mit-grant']}\nsomething\n{licence_sentences.SENTENCES['mit-condition']}"
     rows = [(1, mit), (2, "Some prose. Licensed under CC BY-NC 4.0. More"), (3, None), (4, "no licence here"), (5, licence_sentences.SENTENCES["mit-condition"])]
