@@ -2,11 +2,11 @@
 
 Candidates are runs of 16 or more letters, digits and a few marks, of any length, and runs of SHORT or more
 that an assignment with a hint word precedes. Each has a vector of length, character
-classes, likelihood under letter transitions, dictionary coverage, path-like shape and the words around
-it. The forest is trained here on labelled findings. With no labelled table at hand the findings are
+classes, likelihood under letter transitions, dictionary coverage, path-like shape, the words around it
+and those of its file's path, where documents have one. The forest is trained here on labelled findings. With no labelled table at hand the findings are
 written by rule: keys, tokens and passwords in assignments on one side; checksums, identifiers, paths,
-long numbers and joined words in prose on the other. A table (token, before, after, secret) may be given
-instead; at most MAX_FINDINGS of its rows are used for fitting. Scanning covers every text whole.
+long numbers and joined words in prose on the other. A table (token, before, after, secret, and a path if
+there are paths) may be given instead; at most MAX_FINDINGS of its rows are used for fitting. Scanning covers every text whole.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ AROUND = 48
 HINTS = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api", "auth", "bearer", "credential", "private", "access")
 HARMLESS = ("checksum", "sha", "sha1", "sha256", "md5", "hash", "commit", "digest", "revision", "uuid", "id", "etag", "url", "path", "file", "example", "version")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "AIza", "glpat-", "npm_")
+#: Words of paths that hold samples, and of paths that hold settings.
+SAMPLES = ("test", "tests", "example", "examples", "sample", "samples", "fixture", "fixtures", "mock", "mocks", "demo", "doc", "docs", "lock", "vendor", "spec")
+SETTINGS = ("env", "config", "configs", "conf", "settings", "credentials", "secrets", "deploy", "yml", "yaml", "ini", "properties", "tfvars", "pem")
 #: A shorter value after an assignment, and the name before it, which must hold a hint word.
 _VALUE = re.compile(rf"[:=][ \t]*[\"']?(?P<value>[A-Za-z0-9_+/.\-][A-Za-z0-9_+/=.\-]{{{SHORT - 1},14}})(?![A-Za-z0-9_+/=.\-])")
 _HINTED = re.compile(rf"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:{'|'.join(HINTS)})(?:s|\d+|[_\-][A-Za-z0-9_\-]{{0,24}}|[A-Z][A-Za-z0-9]{{0,24}})?[\"']?[ \t]*$")
@@ -40,7 +43,11 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 DICTIONARY = (
     "the and for with that this from have not are was were will would can could should about which their there one two time people year work "
     "data file path user name test example config service server client request response value default home local share build source main "
-    "index page image report version update table document list number system value get set new old"
+    "index page image report version update table document list number system value get set new old after before because between first last long "
+    "other over same some such than then these those through under very where while without world water house school state night point right place "
+    "string object function return class method field array count start stop read write open close create delete send load save login session "
+    "der die das und nicht mit ist auch auf eine wird werden sich nach haben oder aber mehr wenn les des est une dans pour que qui sur par pas avec "
+    "plus los las para con una por como pero esta este todo muy"
 ).split()
 _WORDS = frozenset(DICTIONARY)
 
@@ -57,8 +64,10 @@ def _transitions() -> np.ndarray:
 _LOG = _transitions()
 
 
-def features(token: str, before: str, after: str) -> list[float]:
+def features(token: str, before: str, after: str, path: str = "") -> list[float]:
+    """The vector of a candidate from its text, the text around it and the path of its file, if any."""
     low = token.lower()
+    steps = re.findall(r"[a-z]+", _CAMEL.sub(" ", path).lower())
     n = len(token)
     letters = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low]
     _, counts = np.unique(list(token), return_counts=True)
@@ -76,11 +85,12 @@ def features(token: str, before: str, after: str) -> list[float]:
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(any(w in HINTS for w in near)), float(any(w in HARMLESS for w in near + behind)),
         float(after[:1] in "\"'"), float(low.endswith("=")), float(digits == n),
         float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))), max((len(p) for p in parts), default=0) / n,
+        float(bool(path)), float(any(s in SAMPLES for s in steps)), float(any(s in SETTINGS for s in steps)),
     ]
 
 
-def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (token, before, after, secret) written by rule."""
+def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int, str]]:
+    """Labelled findings (token, before, after, secret, path) written by rule; half of them without a path."""
     rng = np.random.default_rng(seed)
     alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
@@ -133,8 +143,9 @@ def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int
             short = [pick(alnum, int(rng.integers(SHORT, 16))) + pick("0123456789", 1), word() + pick("0123456789", int(rng.integers(2, 5))), pick(alnum[:52], int(rng.integers(8, 16)))]
             made = (short[rng.integers(3)][:15], f"{prose(2)} {hint}{assign}", close, 1)
         elif kind == 16:
-            plain = [word(), f"{word()}{['-', '_', '.', ''][rng.integers(4)]}{word()}", pick("0123456789", int(rng.integers(SHORT, 12)))]
-            made = (plain[rng.integers(3)][:15], f"{prose(2)} {hint}{assign}", close, 0)
+            spoken = "".join("bcdfghklmnprstvw"[a] + "aeiou"[b] + "nrstl  "[c] for a, b, c in zip(rng.integers(0, 16, 5), rng.integers(0, 5, 5), rng.integers(0, 7, 5), strict=True)).replace(" ", "")
+            plain = [word(), f"{word()}{['-', '_', '.', ''][rng.integers(4)]}{word()}", pick("0123456789", int(rng.integers(SHORT, 12))), spoken[: int(rng.integers(SHORT, 13))]]
+            made = (plain[rng.integers(4)][:15], f"{prose(2)} {hint}{assign}", close, 0)
         elif kind == 17:
             joined = "".join("bcdfghklmnprstvw"[a] + "aeiou"[b] + "nrstl "[c] for a, b, c in zip(rng.integers(0, 16, 12), rng.integers(0, 5, 12), rng.integers(0, 6, 12), strict=True)).replace(" ", "")
             joined = [joined, joined.upper(), joined.title()][rng.integers(3)] + ["", "."][rng.integers(2)]
@@ -143,7 +154,10 @@ def rule_findings(n: int = 4000, seed: int = 5) -> list[tuple[str, str, str, int
         else:
             made = (pick(alnum + "+/", int(rng.integers(60, 2400))) + "=" * int(rng.integers(3)), prose(2) + f" data:{['image/png', 'font/woff2', 'image/gif'][rng.integers(3)]};base64,", close, 0)
         if len(made[0]) >= 16 or kind in (15, 16) and len(made[0]) >= SHORT:
-            out.append(made)
+            # Secrets stand more often in settings than in samples, other tokens the other way round.
+            of = [SETTINGS, SAMPLES][int(rng.random() < (0.2 if made[3] else 0.7))]
+            path = ["", f"src/{word()}/{of[rng.integers(len(of))]}/{word()}.txt", "", f"{word()}/{word()}.py"][rng.integers(4)]
+            out.append((*made, path))
     return out
 
 
@@ -190,8 +204,8 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = D
 
 
 class Forest:
-    def __init__(self, findings: list[tuple[str, str, str, int]], seed: int = 3):
-        x = np.array([features(*f[:3]) for f in findings])
+    def __init__(self, findings: list[tuple], seed: int = 3):
+        x = np.array([features(*f[:3], *f[4:5]) for f in findings])
         y = np.array([f[3] for f in findings], float)
         rng = np.random.default_rng(seed)
         self.trees = []
@@ -217,10 +231,10 @@ def train(findings: DataFrame | None = None) -> Forest:
     if findings is None:
         return Forest(rule_findings())
     rows = findings.where("secret is not null and length(token) > 1").orderBy(F.xxhash64("token", "before", "after")).limit(MAX_FINDINGS).collect()
-    return Forest([(r["token"], r["before"] or "", r["after"] or "", int(r["secret"])) for r in rows])
+    return Forest([(r["token"], r["before"] or "", r["after"] or "", int(r["secret"]), (r["path"] or "") if "path" in findings.columns else "") for r in rows])
 
 
-def find(texts: list[str], forest: Forest, threshold: float = 0.5) -> tuple[list[int], list[list[tuple[int, int]]]]:
+def find(texts: list[str], forest: Forest, threshold: float = 0.5, paths: list[str | None] | None = None) -> tuple[list[int], list[list[tuple[int, int]]]]:
     """Number of candidates of each text, and the code point ranges judged to be secrets."""
     spans, rows, vectors = [], [], []
     for i, text in enumerate(texts):
@@ -246,7 +260,7 @@ def find(texts: list[str], forest: Forest, threshold: float = 0.5) -> tuple[list
             token = text[a:b]
             spans.append((a, b))
             rows.append(i)
-            vectors.append(features(token, text[max(0, a - AROUND) : a], text[b : b + AROUND]))
+            vectors.append(features(token, text[max(0, a - AROUND) : a], text[b : b + AROUND], (paths[i] or "") if paths else ""))
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     if vectors:
         for i, span, score in zip(rows, spans, forest.score(np.array(vectors)), strict=True):
@@ -266,7 +280,8 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "<secret>") -> s
 def scan(documents: DataFrame, forest: Forest | None = None) -> DataFrame:
     """Every row and column of `documents`, text redacted, with n_candidates and secrets (array of start, stop).
 
-    Ranges are code points of the original text. A null text stays null and has no candidates; an empty one
+    Ranges are code points of the original text. A column `path`, if there is one, names each text's file; a null one
+    is none. A null text stays null and has no candidates; an empty one
     stays empty. Rows are independent, so repeated rows and null ids pass through; columns named like the
     results are replaced; an empty table gives an empty result.
     """
@@ -280,7 +295,8 @@ def scan(documents: DataFrame, forest: Forest | None = None) -> DataFrame:
         for whole in batches:
             for batch in row_slices(whole, "text"):
                 texts = batch.column("text").to_pylist()
-                counts, found = find([t or "" for t in texts], shared.value)
+                paths = batch.column("path").cast(pa.string()).to_pylist() if "path" in batch.schema.names else None
+                counts, found = find([t or "" for t in texts], shared.value, paths=paths)
                 clean = [t if not s else redact(t, s) for t, s in zip(texts, found, strict=True)]
                 columns = [pa.array(clean, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names]
                 spans = pa.array([[{"start": a, "stop": b} for a, b in s] for s in found], kind)
@@ -290,7 +306,10 @@ def scan(documents: DataFrame, forest: Forest | None = None) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """doc_id, n_candidates, n_secrets, secrets and the digest of the redacted text per document."""
-    return scan(documents.select("doc_id", "text")).select(
+    """doc_id, n_candidates, n_secrets, secrets and the digest of the redacted text per document.
+
+    Rows and edge cases are those of `scan`; the digest of a null text is null. Other columns but path are ignored.
+    """
+    return scan(documents.select("doc_id", "text", *[c for c in documents.columns if c == "path"])).select(
         "doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), "secrets", F.sha2("text", 256).alias("redacted_sha256")
     )

@@ -475,6 +475,40 @@ def test_secrets_of_any_length():
     assert [t[x[0][0] : x[0][1]] for t, x in zip(held, found, strict=False)] == values
 
 
+def test_secret_scan_against_brute_force(spark):
+    """Every row of a table with nulls, repeated rows, paths and clashing columns, judged one candidate at a time."""
+    forest, r = secret_forest.train(), random.Random(44)
+    values = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKIA" + "Q7" * 8, "docs/source/index/page.html", "hunter2hunter2", "0123456789012345678"]
+    texts = [None, "", "x" * 70000, *[f"{prose(i, 5)} {r.choice(['token = ', 'password: ', 'checksum ', 'see ', 'key='])}{r.choice(values)} {prose(i + 1, 3)}\n" * r.randrange(1, 4) for i in range(60)]]
+    rows = [(None if i % 9 == 0 else i % 40, t, r.choice([None, "src/tests/a.py", "deploy/prod.env"]), 1, "s", "n") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, path string, n_candidates int, secrets string, mark string")
+    trees = [list(zip(t.feature, t.threshold, t.left, t.right, t.share)) for t in forest.trees]
+
+    def score(vector):
+        total = 0.0
+        for tree in trees:
+            at = 0
+            while tree[at][0] >= 0:
+                at = tree[at][2] if vector[tree[at][0]] <= tree[at][1] else tree[at][3]
+            total += tree[at][4]
+        return total / len(trees)
+
+    wanted = []
+    for name, text, path, *_ in rows + rows[:5]:
+        spans = []
+        for m in secret_forest.CANDIDATE.finditer(text or ""):
+            a, b = m.span()
+            if m[0].startswith("key="):
+                a += 4
+            spans.append((a, b))
+        short = [(m.start(2), m.end(2)) for m in re.finditer(r"(token = |password: |key=)(hunter2hunter2)", text or "") if not any(a <= m.start(2) < b for a, b in spans)]
+        spans = sorted(spans + short)
+        found = [(a, b) for a, b in spans if score(secret_forest.features(text[a:b], text[max(0, a - 48) : a], text[b : b + 48], path or "")) >= 0.5]
+        wanted.append((name, text if not found else secret_forest.redact(text, found), path, len(spans), found, "n"))
+    got = [(x["doc_id"], x["text"], x["path"], x["n_candidates"], [tuple(s) for s in x["secrets"]], x["mark"]) for x in secret_forest.scan(docs, forest).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted)) and 10 < sum(len(w[4]) for w in wanted)
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "First line here.\nSecond, line!"), (1, 1, "assistant", "> second line\nA reply"), (1, 2, "user", "> > Second line\n> a reply\nmore"),
