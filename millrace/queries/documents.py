@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import normalise as N
+from millrace.operators import apply as P
 from millrace.operators import detail as D
 from millrace.operators import dictionary as M
 from millrace.operators import evidence as G
@@ -222,7 +223,56 @@ def flatten_rows(spark, sf_dir):
     return K.table_rows(items)
 
 
-_QUERIES = (html_parsed, local_extract, table_items, validate_schema, review_status, chunk_merge, list_merge, page_pack, evidence_rows, label_fill, dictionary_names, dictionary_truncate, correct_name, normalize_edi, normalize_number,
+def split_cells(spark, sf_dir):
+    rows = spark.sql("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_name, ' (M', lpad(CAST(p_partkey % 1000 AS string), 3, '0'), '.9)') WHEN 1 THEN p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'X1' ELSE '' END AS code FROM {part}", part=_t(spark, sf_dir, "part"))
+    return P.split_codes(rows, "name", "code")
+
+
+def hollow_rows(spark, sf_dir):
+    rows = spark.sql("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '항목' WHEN 1 THEN '4 환자구분' WHEN 2 THEN '구분 번호' WHEN 3 THEN '[ ] a [ ] b' ELSE '검사료' END AS name, CASE WHEN o_orderkey % 7 = 0 THEN '100' ELSE '0' END AS total FROM {orders}", orders=_t(spark, sf_dir, "orders"))
+    return P.without_hollow_rows(rows, ["name", "total"], ("항목", "환자", "구분", "번호", "환자구분"))
+
+
+_TOTALS = """
+    b AS (SELECT l_orderkey AS doc, CAST(l_linenumber AS bigint) AS row, 'x' AS name, CAST(sum(l_quantity) AS bigint) * 100 AS v FROM {lineitem} GROUP BY 1, 2),
+    rows AS (SELECT doc, row, name, CAST(v AS string) AS v FROM b UNION ALL SELECT doc, 50, '소 계', CAST(sum(v) AS string) FROM b GROUP BY doc UNION ALL SELECT doc, 99, '합 계', CAST(sum(v) + CASE WHEN doc % 5 = 4 THEN 5000 ELSE 0 END AS string) FROM b GROUP BY doc),
+    fields AS (SELECT doc, 'total' AS field, CASE doc % 3 WHEN 0 THEN '' WHEN 1 THEN '7' ELSE CAST(sum(v) + 50 AS string) END AS value FROM b GROUP BY doc)"""
+
+
+def total_rows(spark, sf_dir):
+    rows, fields = (spark.sql(f"WITH {_TOTALS} SELECT * FROM {name}", lineitem=_t(spark, sf_dir, "lineitem")) for name in ("rows", "fields"))
+    return P.total_fields(rows, fields, {"v": "total"})
+
+
+def derive_fields(spark, sf_dir):
+    fields = spark.sql("SELECT c_custkey AS doc, concat('900101-', CAST(c_custkey % 8 + 1 AS string), '234567') AS idnum, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '남' END AS sex, CAST(NULL AS string) AS birthday, CASE WHEN c_custkey % 3 = 0 THEN '02' ELSE '01' END AS kind, CASE c_custkey % 4 WHEN 0 THEN '501 호' WHEN 1 THEN '외래' WHEN 2 THEN '입원실' END AS room, '' AS stay, CASE WHEN c_custkey % 5 > 0 THEN '20240105' END AS begin, CAST(NULL AS string) AS end, '' AS accident FROM {customer}", customer=_t(spark, sf_dir, "customer"))
+    days = spark.sql("SELECT o_custkey AS doc, date_format(o_orderdate, 'yyyyMMdd') AS day FROM {orders}", orders=_t(spark, sf_dir, "orders"))
+    return P.derived(fields, days).drop("idnum", "room", "begin")
+
+
+def column_votes(spark, sf_dir):
+    moves = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("row"), F.col("l_linestatus").alias("column"), F.col("l_returnflag").alias("target"))
+    return P.column_moves(moves)
+
+
+def result_search(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "completed").otherwise("failed").alias("status"))
+    return P.search(rows, "MACHI", ["c_name", "c_mktsegment"], "completed").select("c_custkey")
+
+
+def treatment_period(spark, sf_dir):
+    fields = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).alias("begin"), F.lit("").alias("end"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.date_format("l_shipdate", "yyyyMMdd").alias("begin"), F.date_format("l_shipdate", "yyyyMMdd").alias("end"))
+    return P.period(fields, rows, "begin", "end")
+
+
+def parse_audit(spark, sf_dir):
+    cells = F.array(F.array(F.lit("1,000 2,000"), F.col("l_returnflag")), F.array(F.col("l_linestatus")))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.when(F.col("l_returnflag") == "N", "text").otherwise("table").alias("type"), F.when(F.col("l_returnflag") != "N", cells).alias("rows"), (F.col("l_orderkey") % 3).alias("kind"))
+    return P.parse_metrics(rows, "kind")
+
+
+_QUERIES = (split_cells, hollow_rows, total_rows, derive_fields, column_votes, result_search, treatment_period, parse_audit, html_parsed, local_extract, table_items, validate_schema, review_status, chunk_merge, list_merge, page_pack, evidence_rows, label_fill, dictionary_names, dictionary_truncate, correct_name, normalize_edi, normalize_number,
     normalize_phone, normalize_bool_enum, same_pairs, canonical_item, detail_arithmetic, detail_quality, detail_classes, detail_sections, detail_ids, detail_printed, detail_field_sums, detail_missing, detail_wards, flatten_rows)
 
 
@@ -243,6 +293,21 @@ def oracle_sql() -> dict[str, str]:
     wrong = """, w AS (SELECT doc, row FROM d WHERE doc % 5 = 1 AND (SELECT count(*) FROM d e WHERE e.doc = d.doc AND e.price <> '0' AND e.days <> '0') < 3 AND price <> '0' AND days <> '0' UNION SELECT doc, row FROM d WHERE doc % 5 = 2 AND row = 1 AND price <> '0'),
         sh AS (SELECT doc, row FROM d WHERE covered AND fund IS NOT NULL AND (own <> '0' OR fund <> '0') AND abs(own::decimal(18,0) + fund::decimal(18,0) - total) >= 100)"""
     return {
+        "split_cells": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'X1' WHEN p_partkey % 3 = 0 THEN 'M' || lpad((p_partkey % 1000)::varchar, 3, '0') || '9' END AS code FROM part""",
+        "hollow_rows": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '항목' WHEN 1 THEN '4 환자구분' WHEN 2 THEN '구분 번호' WHEN 3 THEN '[ ] a [ ] b' ELSE '검사료' END AS name, CASE WHEN o_orderkey % 7 = 0 THEN '100' ELSE '0' END AS total FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 4",
+        "total_rows": sql(_TOTALS) + """, s AS (SELECT doc, sum(v) AS a, sum(v) + CASE WHEN doc % 5 = 4 THEN 5000 ELSE 0 END AS t FROM b GROUP BY doc)
+            SELECT doc, field, CASE WHEN t <> 0 AND (value = '' OR (abs(t - a) < 100 AND abs(value::bigint - t) >= 100)) THEN t::varchar ELSE value END AS value FROM fields JOIN s USING (doc)""",
+        "derive_fields": """
+            SELECT c_custkey AS doc, CASE WHEN c_custkey % 2 = 1 THEN '남' WHEN c_custkey % 8 + 1 IN (1, 3, 5) THEN '남' WHEN c_custkey % 8 + 1 IN (2, 4, 6) THEN '여' END AS sex, CASE WHEN c_custkey % 8 + 1 IN (3, 4, 7, 8) THEN '20' ELSE '19' END || '900101' AS birthday,
+                   CASE WHEN c_custkey % 3 = 0 THEN '02' ELSE '01' END AS kind, CASE c_custkey % 4 WHEN 0 THEN '입원' WHEN 1 THEN '통원' WHEN 2 THEN '입원' END AS stay, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 > 0 THEN '20240105' END AS end,
+                   CASE WHEN c_custkey % 5 > 0 THEN '20240105' ELSE d END AS accident
+            FROM customer LEFT JOIN (SELECT o_custkey, min(strftime(o_orderdate, '%Y%m%d')) AS d FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
+        "column_votes": """SELECT l_orderkey AS doc, l_linestatus AS "column", min(l_returnflag) AS target FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 1 AND count(DISTINCT l_linenumber) >= 2""",
+        "result_search": "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND (contains(upper(c_mktsegment), 'MACHI') OR contains(upper(c_name), 'MACHI'))",
+        "treatment_period": """SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y%m%d') ELSE a END AS begin, b AS end
+            FROM orders LEFT JOIN (SELECT l_orderkey, strftime(min(l_shipdate), '%Y%m%d') AS a, strftime(max(l_shipdate), '%Y%m%d') AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+        "parse_audit": """SELECT l_orderkey % 3 AS kind, count(*) FILTER (l_returnflag <> 'N') AS tables, 2 * count(*) FILTER (l_returnflag <> 'N') AS rows, count(*) FILTER (l_returnflag <> 'N') AS several,
+            (SELECT count(*) FROM (SELECT l_orderkey AS o FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag <> 'N') = 0) WHERE o % 3 = kind) AS bare FROM lineitem GROUP BY 1""",
         "html_parsed": """SELECT page_id, unnest(range(len(h))) AS n, replace(replace(replace(trim(regexp_replace(regexp_replace(unnest(h), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages)""",
         "local_extract": """
             SELECT c_custkey AS doc, 'full_name' AS field, c_name AS value, 0.82::double AS confidence FROM customer UNION ALL SELECT c_custkey, 'balance', c_acctbal::decimal(18,2)::varchar, 0.82 FROM customer
