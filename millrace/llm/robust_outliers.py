@@ -32,6 +32,8 @@ FLOORS = (50.0**2, 50.0**2, 50.0**2, 100.0**2)
 PRIOR = 40
 STEPS = 20
 SHARE = 0.75
+#: Most groups whose cuts (a row for each start) are broadcast.
+GROUPS = 100_000
 #: A determinant that falls by less than this share has come to rest.
 REST = 1e-3
 #: The 0.9999 quantile of chi-square with four degrees of freedom.
@@ -133,11 +135,12 @@ def _nearest(rows: DataFrame, value: str, share: float, keys: tuple[str, ...]) -
     return running.where(F.col("below") >= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.min("cut").alias("cut"))
 
 
-def _concentrated(rows: DataFrame) -> DataFrame:
-    """Estimates (glang, gsource, start) from the nearest of rows that have d2 for each start."""
+def _concentrated(rows: DataFrame, few: bool) -> DataFrame:
+    """Estimates (glang, gsource, start) from the nearest of rows that have d2 for each start; few: whether there are at most GROUPS groups."""
     keys = (*_GROUP, "start")
     binned = rows.withColumn("bin", F.expr(f"cast(floor({BINS} * log2(d2 + 0.001D)) as bigint)"))
-    near = binned.join(_nearest(binned, "bin", SHARE, keys), list(keys)).where("bin <= cut")
+    cuts = _nearest(binned, "bin", SHARE, keys)
+    near = binned.join(F.broadcast(cuts) if few else cuts, list(keys)).where("bin <= cut")
     return through_table(_estimate(_sums(near, *keys)), "moments")
 
 
@@ -169,9 +172,10 @@ def least_determinant(vectors: DataFrame) -> DataFrame:
     z = [F.pow(F.col(d) - F.col(f"m{i}"), 2) / F.col(f"c{i}") for i, d in enumerate(DIMS)]
     starts = F.array(z[0] + z[1] + z[2] + z[3], *z, F.greatest(*z))
     begun = vectors.join(through_table(_start(vectors), "start"), list(_GROUP)).select(*_GROUP, *DIMS, F.posexplode(starts).alias("start", "d2"))
-    moments = _concentrated(begun)
+    few = vectors.select(*_GROUP).distinct().limit(GROUPS + 1).count() <= GROUPS
+    moments = _concentrated(begun, few)
     for _ in range(STEPS):
-        before, moments = moments, _concentrated(_distance(vectors, moments))
+        before, moments = moments, _concentrated(_distance(vectors, moments), few)
         old = before.select(*_GROUP, "start", F.col("det").alias("old"))
         if moments.join(old, [*_GROUP, "start"]).where(F.col("det") < (1 - REST) * F.col("old")).isEmpty():
             break
