@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import alignment as A
+from millrace.operators import apply as P
 from millrace.operators import arbitration as V
 from millrace.operators import detail as D
 from millrace.operators import dictionary as M
@@ -212,3 +213,49 @@ def test_leases_in_a_batch_and_in_a_stream(spark, tmp_path):
     query = leases.claims(stream).writeStream.format("memory").queryName("decided").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["event_id"]: (r["granted"], r["status"], r["attempts"]) for r in spark.table("decided").collect()} == batch
+
+
+def test_edits_moves_and_files(spark):
+    cells = spark.createDataFrame([(1, 0, "진찰료"), (1, 1, "abcdefgh"), (1, 2, ""), (1, 3, "abcdefgh"), (1, 4, "12")], "doc long, cell_no long, text string")
+    edits = spark.createDataFrame([(1, 0, "진칠료"), (1, 1, "abcdefgx"), (1, 2, "new"), (1, 3, "zzzzzzzz"), (1, 4, " ")], "doc long, cell_no long, text string")
+    assert {r["cell_no"]: r["text"] for r in P.accepted_edits(cells, edits).collect()} == {0: "진칠료", 1: "abcdefgx", 2: "", 3: "abcdefgh", 4: "12"}
+    moves = [(1, 0, "a", "b"), (1, 1, "a", "b"), (1, 2, "c", "d"), (1, 0, "e", "f"), (1, 1, "e", "f"), (1, 2, "e", "g")]
+    assert [tuple(r) for r in P.column_moves(spark.createDataFrame(moves, "doc long, row long, column string, target string")).collect()] == [(1, "a", "b")]
+    grids = spark.createDataFrame([([["a"], ["b"], ["c"]], [["x"], ["y"]]), ([["a"], ["b"], ["c"]], [["x"]]), (None, None)], "read array<array<string>>, ruled array<array<string>>")
+    assert [len(r[0] or []) for r in grids.select(P.better_grid(F.col("read"), F.col("ruled"))).collect()] == [2, 3, 0]
+    files = spark.createDataFrame([("new/a", bytearray(b"x")), ("new/b", bytearray(b"y"))], "path string, content binary")
+    sha = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    records = spark.createDataFrame([(1, "old/a", sha, "new/a"), (2, "old/b", sha, "new/b"), (3, "old/c", sha, "new/c")], "key long, path string, sha256 string, to string")
+    assert {r["key"]: (r["path"], r["moved"]) for r in P.relocated(records, files).collect()} == {1: ("new/a", True), 2: ("old/b", False), 3: ("old/c", False)}
+    drift = E.manifest_drift(records.select(F.col("to").alias("path"), "sha256"), files)
+    assert {r["path"]: r["reason"] for r in drift.collect()} == {"new/b": "changed", "new/c": "missing"}
+    with pytest.raises(ValueError):
+        P.restrict(spark.createDataFrame([("a", "1")], "key string, value string"), ["x"], ["a"])
+    empty = files.where("false")
+    assert P.migrated(spark.createDataFrame([("a\0b",)], "s string"), empty).first()[0] == "ab"
+    with pytest.raises(ValueError):
+        P.migrated(empty, files)
+
+
+def test_bands_and_labels(spark):
+    lines = [(1, 0, 0, 10.0, 0.0, 20.0, 10.0), (1, 0, 1, 10.0, 100.0, 20.0, 110.0), (1, 1, 2, 0.0, 98.0, 5.0, 108.0)]
+    frame = spark.createDataFrame(lines, "page long, value_id long, line long, x0 double, y0 double, x1 double, y1 double")
+    assert G.band(frame.withColumnRenamed("page", "doc"), ["doc"]).collect()[0]["band"] == 103.0
+    near = G.nearest_centre(frame.withColumnRenamed("page", "doc"), G.band(frame.withColumnRenamed("page", "doc"), ["doc"]), ["doc"])
+    assert {r["value_id"]: r["line"] for r in near.collect()} == {0: 1, 1: 2}
+    anchors = spark.createDataFrame([(1, 0, 9, 5.0, 96.0, 104.0), (1, 1, 2, 0.0, 98.0, 108.0)], "page long, value_id long, anchor long, x0 double, y0 double, y1 double")
+    assert {r["value_id"]: r["line"] for r in G.labelled(frame, anchors, ["page"], 1).collect()} == {0: 1}
+
+
+def test_two_sides_of_an_evaluation(spark):
+    cells = "doc long, key string, value string"
+    both = E.two_sides(spark.createDataFrame([(1, "a", "5")], cells), spark.createDataFrame([(1, "b", "6")], cells), spark.createDataFrame([(1, "a", "5", "amount"), (1, "c", "7", "amount")], cells + ", kind string"), ["doc", "key"])
+    assert {r["key"]: (r["first"], r["last"], r["label"]) for r in both.collect()} == {"a": ("5", None, "5"), "b": (None, "6", None), "c": (None, None, "7")}
+    rows = spark.createDataFrame([(1, "합계"), (1, "x"), (2, "합계")], "doc long, name string")
+    assert sorted(tuple(r) for r in E.without_totals(rows, rows.where("doc = 2"), "doc", "name").collect()) == [(1, "x"), (2, "합계")]
+    assert [r[0] for r in spark.createDataFrame([("None",), ("x",), (None,)], "v string").select(E.nullish(F.col("v"))).collect()] == [None, "x", None]
+
+
+def test_windows_of_event_time(spark):
+    events = spark.createDataFrame([("a", 0), ("a", 3599), ("b", 3600)], "kind string, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert sorted((r["kind"], r["n"]) for r in leases.windowed(events, "at", "kind").collect()) == [("a", 2), ("b", 1)]
