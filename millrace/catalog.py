@@ -273,7 +273,7 @@ def _oracle_sql() -> dict[str, str]:
             SELECT lang, source, sum((quality = (n_chars > 1000)::int)::int)::bigint AS n_hit, count(*) AS n_total
             FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), ())""",
         "content_dedup": "SELECT sha256(text) AS content, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
-        "evidence_exact": r"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\x20\x09-\x0D]+')) >= 6",
+        "evidence_exact": r"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(b.text, '[^\x20\x09-\x0D]+')) >= 3",
         "text_blocks": r"""
             SELECT doc_id, line_no, text FROM (
                 SELECT doc_id, unnest(range(len(l))) AS line_no, regexp_replace(unnest(l), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text

@@ -36,20 +36,37 @@ def latest(events: DataFrame, key: str, order: list[str], value: str) -> DataFra
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.count(F.lit(1)).alias("n_events"))
 
 
-def exact_evidence(documents: DataFrame, needles: DataFrame, least_words: int = 6) -> DataFrame:
+#: Most items whose anchors the plan holds as a set.
+ANCHORS = 20_000
+_WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+
+
+def exact_evidence(documents: DataFrame, needles: DataFrame, least_words: int = 3) -> DataFrame:
     """(doc_id, item_id) where a document holds an item's whole text; items of fewer words are left out.
 
-    Candidates come from a hash join on the item's second to fifth words, which stand between spaces in
-    any text that holds the item.
+    All words of an item but the first and the last stand between spaces in any text that holds it. Of these the run
+    of up to four with the most characters is the item's anchor; a text is read once, its places are held against the
+    set of anchors (or, where there are many, hash-joined to them), and only hits are compared with whole items.
     """
-    words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    items = needles.withColumn("w", words("text")).where(F.size("w") >= least_words)
-    items = items.select("item_id", F.col("text").alias("needle"), F.xxhash64(F.slice("w", 2, 4)).alias("h"))
-    spans = documents.select("doc_id", words("text").alias("w")).where("size(w) >= 4")
-    spans = spans.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 3), i -> xxhash64(slice(w, i, 4)))"))).alias("h"))
-    candidates = spans.join(items.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-    held = candidates.join(items.select("item_id", "needle"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
-    return held.where(F.contains("text", "needle")).select("doc_id", "item_id")
+    gram = lambda g, w, at: f"xxhash64({', '.join(f'{w}[{at} + {k}]' for k in range(g))})"
+    items = needles.select("item_id", "text").withColumn("w", F.expr(_WORDS)).where(F.size("w") >= least_words).withColumn("g", F.least(F.lit(4), F.size("w") - 2))
+    items = items.withColumn("at", F.expr("array_max(transform(sequence(1, size(w) - 1 - g), i -> struct(length(array_join(slice(w, i + 1, g), '')) as n, i as i))).i"))
+    hashed = "case g " + " ".join(f"when {g} then {gram(g, 'w', 'at')}" for g in range(1, 5)) + " end"
+    items = items.select("item_id", F.col("text").alias("needle"), "g", F.expr(hashed).alias("h"))
+    few = items.select("g", "h").limit(ANCHORS + 1).collect()
+    sizes = sorted({r["g"] for r in few}) if len(few) <= ANCHORS else [1, 2, 3, 4]
+    if not few:
+        return documents.select("doc_id").limit(0).join(items.select("item_id").limit(0), F.lit(True))
+    known = {g: ", ".join(sorted({f"{r['h']}L" for r in few if r["g"] == g})) for g in sizes}
+    places = [f"transform(if(size(w) >= {g}, sequence(0, size(w) - {g}), array()), i -> {gram(g, 'w', 'i')})" for g in sizes]
+    kept = [f"filter({p}, h -> h in ({known[g]}))" if len(few) <= ANCHORS else p for g, p in zip(sizes, places, strict=True)]
+    hits = F.expr(f"array_distinct(flatten(transform(array({_WORDS}), w -> concat({', '.join(kept)}))))")
+    if len(few) <= ANCHORS:
+        found = documents.select("doc_id", "text", F.explode(hits).alias("h")).join(F.broadcast(items), "h")
+        return found.where(F.contains("text", "needle")).select("doc_id", "item_id").distinct()
+    pairs = documents.select("doc_id", F.explode(hits).alias("h")).join(items.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    held = pairs.join(items.select("item_id", "needle"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
+    return held.where(F.contains("text", "needle")).select("doc_id", "item_id").distinct()
 
 
 def score_grouping_sets(predictions: DataFrame, dimensions: list[str]) -> DataFrame:

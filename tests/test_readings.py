@@ -14,6 +14,7 @@ from millrace.operators import dictionary as M
 from millrace.operators import evaluation as E
 from millrace.operators import evidence as G
 from millrace.operators import extraction as X
+from millrace.operators import rules
 from millrace.sinks import export as K
 from millrace.sources import documents as S
 from millrace.streaming import leases
@@ -259,3 +260,17 @@ def test_two_sides_of_an_evaluation(spark):
 def test_windows_of_event_time(spark):
     events = spark.createDataFrame([("a", 0), ("a", 3599), ("b", 3600)], "kind string, s long").withColumn("at", F.timestamp_seconds("s"))
     assert sorted((r["kind"], r["n"]) for r in leases.windowed(events, "at", "kind").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_exact_evidence(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: r.choice(["a", "bb", "ccc", "d,", "ee."])
+    items = [(i, " ".join(word() for _ in range(r.randrange(1, 9)))) for i in range(60)] + [(60, None), (61, "")]
+    docs = [(d, "x".join(r.choice(items)[1] or "" for _ in range(3)) + r.choice(["", "\n", "y"]) + " ".join(word() for _ in range(30))) for d in range(60)] + [(60, None), (61, "")]
+    wanted = {(d, i) for d, t in docs for i, n in items if t and n and len(n.split()) >= 3 and n in t}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for most in (20_000, 3):
+        monkeypatch.setattr(rules, "ANCHORS", most)
+        got = rules.exact_evidence(*frames).collect()
+        assert {tuple(x) for x in got} == wanted and len(got) == len(wanted) > 50
+    assert rules.exact_evidence(frames[0], frames[1].where("false")).collect() == []
