@@ -220,7 +220,8 @@ def flatten_rows(spark, sf_dir):
         F.array_sort(F.collect_set(F.struct(F.col("l_linenumber").alias("line"), F.struct(F.col("l_returnflag").alias("flag")).alias("note")))).alias("items"), F.array_sort(F.collect_set(F.struct(F.col("l_suppkey").alias("id")))).alias("suppliers"),
         F.array_sort(F.collect_set("l_linestatus")).alias("states"),
     )
-    return K.table_rows(items)
+    flat = K.table_rows(items)
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
 
 
 def split_cells(spark, sf_dir):
@@ -358,5 +359,5 @@ def oracle_sql() -> dict[str, str]:
         "flatten_rows": """
             WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT [l_linenumber::varchar, l_returnflag])) AS i, list_sort(list(DISTINCT l_suppkey)) AS s, list_sort(list(DISTINCT l_linestatus)) AS t FROM lineitem GROUP BY 1),
             r AS (SELECT *, unnest(range(greatest(len(i), len(s)))) AS row FROM g)
-            SELECT row, l_orderkey, i[row + 1][1]::int AS "items.line", i[row + 1][2] AS "items.note.flag", s[row + 1] AS "suppliers.id", '["' || array_to_string(t, '","') || '"]' AS states FROM r""",
+            SELECT row, l_orderkey, i[row + 1][1]::int AS items_line, i[row + 1][2] AS items_note_flag, s[row + 1] AS suppliers_id, '["' || array_to_string(t, '","') || '"]' AS states FROM r""",
     }
