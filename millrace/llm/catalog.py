@@ -111,8 +111,7 @@ def oracle_sql() -> dict[str, str]:
                 WHERE 100 * c >= 75 * (x.n + y.n - c)
             ),
             r AS (SELECT a AS doc_id, b AS c FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c),
-            k AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id),
-            l AS (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a)
+            k AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
             SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(k.c, d.doc_id)) AS component_id,
                    d.doc_id = least(d.doc_id, coalesce(k.c, d.doc_id)) AS kept
             FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
