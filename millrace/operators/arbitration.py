@@ -1,4 +1,4 @@
-"""Two readings of a document and verdicts on where they differ: disputes, decisions, balance of sums, marks for review, counts."""
+"""Two readings of a document, one and two, and verdicts on where they differ: disputes, decisions, balance of sums, marks for review, counts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import normalise as N
 
-SOURCES = ("agree", "ao", "docraft", "corrected", "unknown")
+SOURCES = ("agree", "one", "two", "corrected", "unknown")
 
 
 def _same(a: str, b: str, kinds: list[str], strict: bool = False) -> Column:
@@ -25,10 +25,10 @@ def canonical(elements: DataFrame) -> DataFrame:
 
 
 def disputed(own: DataFrame, other: DataFrame, flagged: DataFrame, kinds: list[str]) -> DataFrame:
-    """(doc, key, kind, ao, docraft, differs, hinted): values of `own` that differ from `other`'s, or that a rule flags."""
-    both = own.withColumnRenamed("value", "ao").join(other.select("doc", "key", F.col("value").alias("docraft")), ["doc", "key"], "left")
+    """(doc, key, kind, one, two, differs, hinted): values of `own` that differ from `other`'s, or that a rule flags."""
+    both = own.withColumnRenamed("value", "one").join(other.select("doc", "key", F.col("value").alias("two")), ["doc", "key"], "left")
     hints = flagged.select("doc", "key").distinct().withColumn("hinted", F.lit(True))
-    judged = both.join(hints, ["doc", "key"], "left").withColumns({"differs": ~_same("ao", "docraft", kinds), "hinted": F.coalesce("hinted", F.lit(False))})
+    judged = both.join(hints, ["doc", "key"], "left").withColumns({"differs": ~_same("one", "two", kinds), "hinted": F.coalesce("hinted", F.lit(False))})
     return judged.where("differs or hinted")
 
 
@@ -40,19 +40,19 @@ def resolved(own: DataFrame, other: DataFrame, flagged: DataFrame, verdicts: Dat
     A document whose own values are all empty takes the other reading's without verdicts.
     """
     doubts = disputed(own, other, flagged, kinds).select("doc", "key", F.lit(True).alias("disputed"))
-    both = own.withColumnRenamed("value", "ao").join(other.select("doc", "key", F.col("value").alias("docraft")), ["doc", "key"], "left").join(doubts, ["doc", "key"], "left")
+    both = own.withColumnRenamed("value", "one").join(other.select("doc", "key", F.col("value").alias("two")), ["doc", "key"], "left").join(doubts, ["doc", "key"], "left")
     empty = own.groupBy("doc").agg(F.min((F.coalesce("value", F.lit("")) == "")).alias("blank"))
     rows = both.join(empty, "doc").join(verdicts.select("doc", "key", F.col("source").alias("said"), F.col("value").alias("new")), ["doc", "key"], "left")
     rows = rows.join(fixes.select("doc", "key").distinct().withColumn("mended", F.lit(True)), ["doc", "key"], "left")
-    as_ao, as_other = _same("new", "ao", kinds), _same("new", "docraft", kinds)
+    as_one, as_other = _same("new", "one", kinds), _same("new", "two", kinds)
     source = (
-        F.when(F.col("disputed").isNull(), "agree").when(F.col("blank"), "docraft").when(F.col("said").isNull(), "unknown").when(F.col("said").isin("ao", "docraft"), F.col("said"))
-        .when(as_ao, "ao").when(as_other, "docraft").otherwise("corrected")
+        F.when(F.col("disputed").isNull(), "agree").when(F.col("blank"), "two").when(F.col("said").isNull(), "unknown").when(F.col("said").isin("one", "two"), F.col("said"))
+        .when(as_one, "one").when(as_other, "two").otherwise("corrected")
     )
     chosen = rows.withColumn("source", source)
-    value = F.when(F.col("source") == "docraft", F.col("docraft")).when(F.col("source") == "corrected", F.col("new")).otherwise(F.col("ao"))
-    last = F.when(F.col("mended") & F.col("source").isin("agree", "ao", "unknown"), "corrected").otherwise(F.col("source"))
-    return chosen.select("doc", "key", "kind", "ao", "docraft", value.alias("value"), last.alias("source"))
+    value = F.when(F.col("source") == "two", F.col("two")).when(F.col("source") == "corrected", F.col("new")).otherwise(F.col("one"))
+    last = F.when(F.col("mended") & F.col("source").isin("agree", "one", "unknown"), "corrected").otherwise(F.col("source"))
+    return chosen.select("doc", "key", "kind", "one", "two", value.alias("value"), last.alias("source"))
 
 
 def source_counts(chosen: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def balanced(chosen: DataFrame, sums: dict[str, tuple[str, ...]], tolerance: int
     """
     keys = sorted({k for whole, parts in sums.items() for k in (whole, *parts)})
     amount = lambda c: N.money(N.present(F.col(c)))
-    item = F.struct("key", amount("value").alias("v"), amount("ao").alias("a"), amount("docraft").alias("b"), "source")
+    item = F.struct("key", amount("value").alias("v"), amount("one").alias("a"), amount("two").alias("b"), "source")
     docs = chosen.where(F.col("key").isin(*keys)).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("key", item))).alias("m"))
     pick = lambda k, x: f"m['{k}'].{x}"
     state = docs.select("doc", "m", *[F.expr(pick(k, "v")).alias(f"v_{i}") for i, k in enumerate(keys)], *[F.expr(f"coalesce({pick(k, 'source')}, 'none')").alias(f"s_{i}") for i, k in enumerate(keys)])
@@ -101,7 +101,7 @@ def balanced(chosen: DataFrame, sums: dict[str, tuple[str, ...]], tolerance: int
         return " + ".join(tests)
 
     for i, k in enumerate(keys):
-        for side, name in (("a", "ao"), ("b", "docraft")):
+        for side, name in (("a", "one"), ("b", "two")):
             new = pick(k, side)
             better = f"not coalesce(moved, false) and s_{i} <> '{name}' and {new} is not null and not ({new} <=> v_{i}) and ({broken({i: new})}) < ({broken({})})"
             state = state.withColumn("moved", F.lit(False)) if side == "a" else state
@@ -111,7 +111,7 @@ def balanced(chosen: DataFrame, sums: dict[str, tuple[str, ...]], tolerance: int
 
 
 def review(cells: DataFrame, flags: DataFrame, kinds: list[str]) -> DataFrame:
-    """The cells (doc, key, row, column, kind, ao, docraft) with `review`: read differently, strictly, or named by a flag (doc, key, row, column; null is any)."""
+    """The cells (doc, key, row, column, kind, one, two) with `review`: read differently, strictly, or named by a flag (doc, key, row, column; null is any)."""
     own = ["doc", "key", "row", "column"]
     hit = None
     # Each form of a flag is an equi-join of its own, so no cell is held against all flags of a document.
@@ -123,7 +123,7 @@ def review(cells: DataFrame, flags: DataFrame, kinds: list[str]) -> DataFrame:
     marked = hit.distinct().withColumn("flagged", F.lit(True))
     same = [F.col(f"c.{c}").eqNullSafe(F.col(f"f.{c}")) for c in own]
     joined = cells.alias("c").join(marked.alias("f"), same[0] & same[1] & same[2] & same[3], "left").select("c.*", "f.flagged")
-    return joined.withColumn("review", F.coalesce("flagged", F.lit(False)) | ~_same("ao", "docraft", kinds, strict=True)).drop("flagged")
+    return joined.withColumn("review", F.coalesce("flagged", F.lit(False)) | ~_same("one", "two", kinds, strict=True)).drop("flagged")
 
 
 def review_counts(marked: DataFrame) -> DataFrame:

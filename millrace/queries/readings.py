@@ -41,7 +41,7 @@ _FIELDS = """
         UNION ALL SELECT o_orderkey, 'priority', 'text', CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE o_orderpriority END FROM {orders}),
     other AS (SELECT o_orderkey AS doc, 'status' AS key, CASE WHEN o_orderkey % 5 = 1 THEN 'X' ELSE o_orderstatus END AS value FROM {orders}
         UNION ALL SELECT o_orderkey, 'priority', CASE WHEN o_orderkey % 7 = 2 THEN 'other' ELSE o_orderpriority END FROM {orders}),
-    verdict AS (SELECT doc, key, CASE doc % 4 WHEN 0 THEN 'ao' WHEN 1 THEN 'docraft' ELSE 'corrected' END AS source, CASE WHEN doc % 4 = 2 THEN value ELSE 'third' END AS value FROM other WHERE doc % 3 <> 0),
+    verdict AS (SELECT doc, key, CASE doc % 4 WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'corrected' END AS source, CASE WHEN doc % 4 = 2 THEN value ELSE 'third' END AS value FROM other WHERE doc % 3 <> 0),
     flag AS (SELECT o_orderkey AS doc, 'status' AS key FROM {orders} WHERE o_orderkey % 23 = 4),
     fix AS (SELECT o_orderkey AS doc, 'priority' AS key FROM {orders} WHERE o_orderkey % 19 = 3)"""
 
@@ -65,8 +65,8 @@ def source_counts(spark, sf_dir):
 
 
 _REVIEW = """
-    cells AS (SELECT l_orderkey AS doc, 'items' AS key, CAST(l_linenumber AS bigint) AS row, 'q' AS column, 'amount' AS kind, CAST(max(l_quantity) AS string) AS ao,
-        CASE WHEN l_orderkey % 6 = 1 THEN concat(CAST(max(l_quantity) AS string), '0') WHEN l_orderkey % 6 = 2 THEN NULL ELSE CAST(max(l_quantity) AS string) END AS docraft FROM {lineitem} GROUP BY l_orderkey, l_linenumber),
+    cells AS (SELECT l_orderkey AS doc, 'items' AS key, CAST(l_linenumber AS bigint) AS row, 'q' AS column, 'amount' AS kind, CAST(max(l_quantity) AS string) AS one,
+        CASE WHEN l_orderkey % 6 = 1 THEN concat(CAST(max(l_quantity) AS string), '0') WHEN l_orderkey % 6 = 2 THEN NULL ELSE CAST(max(l_quantity) AS string) END AS two FROM {lineitem} GROUP BY l_orderkey, l_linenumber),
     flags AS (SELECT DISTINCT doc, 'items' AS key, CASE WHEN doc % 4 < 2 THEN row END AS row, CASE WHEN doc % 4 IN (0, 2) THEN 'q' END AS column FROM cells WHERE doc % 9 = 5 AND row = 2)"""
 
 
@@ -82,9 +82,9 @@ def review_counts(spark, sf_dir):
 
 _SUMS = """
     m AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice) AS bigint) AS t, CAST(floor(o_totalprice / 3) AS bigint) AS a FROM {orders}),
-    chosen AS (SELECT doc, 'a' AS key, CAST(CASE WHEN doc % 4 = 1 THEN a + 5000 ELSE a END AS string) AS value, CAST(CASE WHEN doc % 4 = 1 THEN a + 5000 ELSE a END AS string) AS ao, CAST(a AS string) AS docraft, 'ao' AS source FROM m
+    chosen AS (SELECT doc, 'a' AS key, CAST(CASE WHEN doc % 4 = 1 THEN a + 5000 ELSE a END AS string) AS value, CAST(CASE WHEN doc % 4 = 1 THEN a + 5000 ELSE a END AS string) AS one, CAST(a AS string) AS two, 'one' AS source FROM m
         UNION ALL SELECT doc, 'b', CAST(t - a AS string), CAST(t - a AS string), CAST(t - a + 9000 AS string), 'agree' FROM m
-        UNION ALL SELECT doc, 'total', CAST(CASE WHEN doc % 4 = 2 THEN t + 700 ELSE t END AS string), CAST(t AS string), CAST(CASE WHEN doc % 4 = 2 THEN t + 700 ELSE t END AS string), 'docraft' FROM m)"""
+        UNION ALL SELECT doc, 'total', CAST(CASE WHEN doc % 4 = 2 THEN t + 700 ELSE t END AS string), CAST(t AS string), CAST(CASE WHEN doc % 4 = 2 THEN t + 700 ELSE t END AS string), 'two' FROM m)"""
 
 
 def balance_sums(spark, sf_dir):
@@ -137,12 +137,12 @@ _PAIRED = """,
     rr AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place) AS k FROM r WHERE name = '기타료'),
     p AS (SELECT * FROM m UNION ALL SELECT rl.doc, pair, rl.name, rl.q, rr.name, rr.q FROM rl LEFT JOIN rr ON rr.doc = rl.doc AND rr.k = rl.k)"""
 _JUDGED = """,
-    j AS (SELECT own.doc, own.key, own.value AS ao, other.value AS docraft, nullif(own.value, '') IS DISTINCT FROM other.value AS differs, flag.doc IS NOT NULL AS hinted, v.source AS said, v.value AS new, fix.doc IS NOT NULL AS mended, own.doc % 17 = 0 AS blank
+    j AS (SELECT own.doc, own.key, own.value AS one, other.value AS two, nullif(own.value, '') IS DISTINCT FROM other.value AS differs, flag.doc IS NOT NULL AS hinted, v.source AS said, v.value AS new, fix.doc IS NOT NULL AS mended, own.doc % 17 = 0 AS blank
         FROM own LEFT JOIN other USING (doc, key) LEFT JOIN flag USING (doc, key) LEFT JOIN verdict v USING (doc, key) LEFT JOIN fix USING (doc, key)),
-    s AS (SELECT *, CASE WHEN NOT differs AND NOT hinted THEN 'agree' WHEN blank THEN 'docraft' WHEN said IS NULL THEN 'unknown' WHEN said IN ('ao', 'docraft') THEN said WHEN new = nullif(ao, '') THEN 'ao' WHEN new = docraft THEN 'docraft' ELSE 'corrected' END AS src FROM j),
-    res AS (SELECT doc, key, CASE src WHEN 'docraft' THEN docraft WHEN 'corrected' THEN new ELSE ao END AS value, CASE WHEN mended AND src IN ('agree', 'ao', 'unknown') THEN 'corrected' ELSE src END AS source FROM s)"""
+    s AS (SELECT *, CASE WHEN NOT differs AND NOT hinted THEN 'agree' WHEN blank THEN 'two' WHEN said IS NULL THEN 'unknown' WHEN said IN ('one', 'two') THEN said WHEN new = nullif(one, '') THEN 'one' WHEN new = two THEN 'two' ELSE 'corrected' END AS src FROM j),
+    res AS (SELECT doc, key, CASE src WHEN 'two' THEN two WHEN 'corrected' THEN new ELSE one END AS value, CASE WHEN mended AND src IN ('agree', 'one', 'unknown') THEN 'corrected' ELSE src END AS source FROM s)"""
 _MARKED = """,
-    k AS (SELECT c.doc, c.row, (docraft IS NULL AND ao::double <> 0) OR (docraft IS NOT NULL AND replace(docraft, '.00', '.0') <> ao) OR EXISTS (SELECT 1 FROM flags f WHERE f.doc = c.doc AND (f.row IS NULL OR f.row = c.row) AND (f."column" IS NULL OR f."column" = c."column")) AS review FROM cells c)"""
+    k AS (SELECT c.doc, c.row, (two IS NULL AND one::double <> 0) OR (two IS NOT NULL AND replace(two, '.00', '.0') <> one) OR EXISTS (SELECT 1 FROM flags f WHERE f.doc = c.doc AND (f.row IS NULL OR f.row = c.row) AND (f."column" IS NULL OR f."column" = c."column")) AS review FROM cells c)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -159,8 +159,8 @@ def oracle_sql() -> dict[str, str]:
         "review_cells": marked + " SELECT doc, row, review FROM k",
         "review_counts": marked + " SELECT doc, count(*) AS cells, count(*) FILTER (review) AS review FROM k GROUP BY doc",
         "balance_sums": "WITH " + _SUMS.replace("{orders}", "orders").replace("AS string", "AS varchar") + """
-            SELECT doc, key, CASE WHEN key = 'a' THEN docraft ELSE value END::bigint AS value, CASE WHEN key = 'a' AND doc % 4 = 1 THEN 'docraft' ELSE source END AS source FROM chosen WHERE NOT (key = 'total' AND doc % 4 = 2)
-            UNION ALL SELECT doc, key, ao::bigint, 'ao' FROM chosen WHERE key = 'total' AND doc % 4 = 2""",
+            SELECT doc, key, CASE WHEN key = 'a' THEN two ELSE value END::bigint AS value, CASE WHEN key = 'a' AND doc % 4 = 1 THEN 'two' ELSE source END AS source FROM chosen WHERE NOT (key = 'total' AND doc % 4 = 2)
+            UNION ALL SELECT doc, key, one::bigint, 'one' FROM chosen WHERE key = 'total' AND doc % 4 = 2""",
         "score_fields": "WITH " + _SCORED.replace("{orders}", "orders").replace("AS string", "AS varchar") + """,
             n AS (SELECT field, coalesce(label, '') = '' AS empty, nullif(label, '') AS l, replace(given, '원', '') AS g FROM rows),
             v AS (SELECT field, empty, coalesce(l, '0') = coalesce(g, '0') AS agrees, l IS NOT DISTINCT FROM g AS strict FROM n)

@@ -172,9 +172,9 @@ def test_verdicts_and_balance(spark):
     rows = [("amount", None, "0"), ("amount", "", "5"), ("amount", "10", "10원"), ("amount", "10", None), ("text", "정형외과 의원", "정형외과의원"), ("text", None, None)]
     judged = E.verdicts(spark.createDataFrame(rows, "kind string, label string, given string"), ["amount"]).collect()
     assert [r["verdict"] for r in judged] == ["skip", "fp", "correct", "wrong", "correct", "skip"] and [r["strict"] for r in judged] == [False, False, True, False, False, True]
-    chosen = [(1, "a", "5", "5", "9", "ao"), (1, "b", "4000", "4000", None, "ao"), (1, "t", "4209", "4209", "4009", "ao"), (2, "a", "500", "500", "100", "ao"), (2, "b", "1", "1", "7", "ao"), (2, "t", "101", "101", None, "ao")]
-    got = V.balanced(spark.createDataFrame(chosen, "doc long, key string, value string, ao string, docraft string, source string"), {"t": ("a", "b")}).collect()
-    assert {(r["doc"], r["key"]): (r["value"], r["source"]) for r in got} == {(1, "a"): (5, "ao"), (1, "b"): (4000, "ao"), (1, "t"): (4009, "docraft"), (2, "a"): (100, "docraft"), (2, "b"): (1, "ao"), (2, "t"): (101, "ao")}
+    chosen = [(1, "a", "5", "5", "9", "one"), (1, "b", "4000", "4000", None, "one"), (1, "t", "4209", "4209", "4009", "one"), (2, "a", "500", "500", "100", "one"), (2, "b", "1", "1", "7", "one"), (2, "t", "101", "101", None, "one")]
+    got = V.balanced(spark.createDataFrame(chosen, "doc long, key string, value string, one string, two string, source string"), {"t": ("a", "b")}).collect()
+    assert {(r["doc"], r["key"]): (r["value"], r["source"]) for r in got} == {(1, "a"): (5, "one"), (1, "b"): (4000, "one"), (1, "t"): (4009, "two"), (2, "a"): (100, "two"), (2, "b"): (1, "one"), (2, "t"): (101, "one")}
 
 
 def test_detail_rows(spark):
