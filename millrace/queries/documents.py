@@ -10,6 +10,7 @@ from millrace.operators import detail as D
 from millrace.operators import dictionary as M
 from millrace.operators import evidence as G
 from millrace.operators import extraction as X
+from millrace.operators import headers as H
 from millrace.operators import receipt as R
 from millrace.sinks import export as K
 from millrace.sources import documents as S
@@ -273,7 +274,21 @@ def parse_audit(spark, sf_dir):
     return P.parse_metrics(rows, "kind")
 
 
-_QUERIES = (split_cells, hollow_rows, total_rows, derive_fields, column_votes, result_search, treatment_period, parse_audit, html_parsed, local_extract, table_items, validate_schema, review_status, chunk_merge, list_merge, page_pack, evidence_rows, label_fill, dictionary_names, dictionary_truncate, correct_name, normalize_edi, normalize_number,
+def header_infer(spark, sf_dir):
+    """Columns told by products: price, times, days and total in one row for each item."""
+    cells = F.array(F.lit("x"), F.col("l_partkey").cast("string"), F.lit("2"), F.col("l_linenumber").cast("string"), F.format_number(F.col("l_partkey") * 2 * F.col("l_linenumber") + F.when(F.col("l_suppkey") % 10 == 0, 500).otherwise(0), 0))
+    rows = _t(spark, sf_dir, "lineitem").withColumn("cells", cells).groupBy(F.col("l_orderkey").alias("doc")).agg(F.collect_list("cells").alias("rows"))
+    return H.inferred(rows.withColumn("block", F.lit(0))).select("doc", F.array_join("cells", " ").alias("cells"))
+
+
+def header_words(spark, sf_dir):
+    """Forms with headers of several kinds, and which columns they have."""
+    rows = F.expr("CASE c_custkey % 4 WHEN 0 THEN array(array('title'), array('구분항목', '단가', '횟수(총투)'), array('', '급여', '본인부담')) WHEN 1 THEN array(array('일자 코드 명칭', '총투', '횟수')) WHEN 2 THEN array(array('항 목', '비급여')) ELSE array(array('일자', 'x')) END")
+    cells = H.header_cells(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.lit(0).alias("block"), rows.alias("rows")))
+    return cells.select("doc", H.has_header(F.col("cells"), ("단가", "금액")).alias("price"), H.has_header(F.col("cells"), ("투여량", "총투+횟수")).alias("dose"), H.is_title(F.col("cells"), "급여").alias("covered"), H.is_title(F.col("cells"), "비급여").alias("free"))
+
+
+_QUERIES = (header_infer, header_words, split_cells, hollow_rows, total_rows, derive_fields, column_votes, result_search, treatment_period, parse_audit, html_parsed, local_extract, table_items, validate_schema, review_status, chunk_merge, list_merge, page_pack, evidence_rows, label_fill, dictionary_names, dictionary_truncate, correct_name, normalize_edi, normalize_number,
     normalize_phone, normalize_bool_enum, same_pairs, canonical_item, detail_arithmetic, detail_quality, detail_classes, detail_sections, detail_ids, detail_printed, detail_field_sums, detail_missing, detail_wards, flatten_rows)
 
 
@@ -294,6 +309,10 @@ def oracle_sql() -> dict[str, str]:
     wrong = """, w AS (SELECT doc, row FROM d WHERE doc % 5 = 1 AND (SELECT count(*) FROM d e WHERE e.doc = d.doc AND e.price <> '0' AND e.days <> '0') < 3 AND price <> '0' AND days <> '0' UNION SELECT doc, row FROM d WHERE doc % 5 = 2 AND row = 1 AND price <> '0'),
         sh AS (SELECT doc, row FROM d WHERE covered AND fund IS NOT NULL AND (own <> '0' OR fund <> '0') AND abs(own::decimal(18,0) + fund::decimal(18,0) - total) >= 100)"""
     return {
+        "header_infer": """
+            WITH v AS (SELECT l_orderkey AS doc, l_partkey * 2 * l_linenumber AS x, l_partkey * 2 * l_linenumber + CASE WHEN l_suppkey % 10 = 0 THEN 500 ELSE 0 END AS t FROM lineitem)
+            SELECT doc, '금액 일수 총액 횟수' AS cells FROM v WHERE t >= 10 GROUP BY doc HAVING count(*) >= 3 AND count(*) FILTER (abs(x - t) <= greatest(1, t / 100)) >= 0.8 * count(*)""",
+        "header_words": """SELECT c_custkey AS doc, c_custkey % 4 = 0 AS price, c_custkey % 4 = 1 AS dose, CASE c_custkey % 4 WHEN 0 THEN true END AS covered, CASE c_custkey % 4 WHEN 2 THEN false END AS free FROM customer WHERE c_custkey % 4 < 3""",
         "split_cells": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'X1' WHEN p_partkey % 3 = 0 THEN 'M' || lpad((p_partkey % 1000)::varchar, 3, '0') || '9' END AS code FROM part""",
         "hollow_rows": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '항목' WHEN 1 THEN '4 환자구분' WHEN 2 THEN '구분 번호' WHEN 3 THEN '[ ] a [ ] b' ELSE '검사료' END AS name, CASE WHEN o_orderkey % 7 = 0 THEN '100' ELSE '0' END AS total FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 4",
         "total_rows": sql(_TOTALS) + """, s AS (SELECT doc, sum(v) AS a, sum(v) + CASE WHEN doc % 5 = 4 THEN 5000 ELSE 0 END AS t FROM b GROUP BY doc)
