@@ -12,12 +12,15 @@ components of the links so found settle whole groups of copies without pairing t
 still shares a bucket with members of another component is held against all of those, so no pair that
 shares a bucket goes untested unless the two are already connected.
 
-Members are compared in cells. In the first pass a cell is a leader with some of its members, in the
-second two blocks of members that meet in a bucket; both are salted to about CELL shingles, so a bucket
-of any size is dealt over many tasks, and a member's sketch is sent once for each cell, not once for each
-pair. A task compares a cell's sketches by numpy and emits only the pairs whose estimate, corrected for
-registers that agree by chance, is not clearly below the threshold, as lists of partners; only their
-texts are then brought to the cell and verified on the full shingle sets.
+Members are compared in cells. In the first pass a cell is a leader with some of its members, salted to
+about CELL shingles. In the second it is a block of members with members of smaller blocks that meet it in
+a bucket and visit it, so a large block is not sent out again for each small one that it meets. Blocks and
+what visits them grow with the square root of the group, so rows sent grow with the power 1.5 of a group
+that shares buckets and is not connected, up to blocks of LARGEST cells; only tests of sketches within a
+task are as many as its pairs. A bucket of any size is dealt over many tasks, and a member's sketch is
+sent once for each cell, not once for each pair. A task compares a cell's sketches by numpy and emits only
+the pairs whose estimate, corrected for registers that agree by chance, is not clearly below the threshold,
+as lists of partners; only their texts are then brought to the cell and verified on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ BANDS = REGISTERS // BAND_ROWS
 ESTIMATE_SLACK = 0.165
 #: Shingles, and members, of a block on the average.
 CELL, CELL_MEMBERS = 1 << 18, 512
+#: Cells' worth of members in a block at most, by which a task's memory is bounded.
+LARGEST = 32
 _EMPTY = np.uint16(0xFFFF)
 _FLIP, _SPREAD = codes(REGISTERS, 41), codes(REGISTERS, 43)
 
@@ -304,8 +309,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         discard(found)
         return out
 
+    def weight(total: str, count: str):
+        """Cells that members of so many shingles fill, one at least."""
+        return F.greatest(F.col(total) / CELL, F.col(count) / CELL_MEMBERS, F.lit(1.0))
+
     def parts(total: str, count: str):
-        return F.ceil(F.greatest(F.col(total) / CELL, F.col(count) / CELL_MEMBERS, F.lit(1.0))).cast("long")
+        return F.ceil(weight(total, count)).cast("long")
+
+    def roots(total: str, count: str):
+        """Blocks of a group: the square root of its cells, so that they are as large as they are many."""
+        return F.ceil(F.greatest(F.sqrt(weight(total, count)), weight(total, count) / LARGEST)).cast("long")
 
     # First pass: every leader with its members, in as many cells as they need.
     star = members.where("node <> leader").groupBy("leader", "node").agg(F.first("n_shingles").alias("n"))
@@ -327,17 +340,29 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         homes = placed.groupBy("node").agg(F.min("leader").alias("home"), F.first("component").alias("component"), F.first("n_shingles").alias("n"))
         of_home = linked.select(F.col("node").alias("home"), F.col("component").alias("main"))
         homes = homes.join(of_home, "home", "left").withColumn("home", F.coalesce("main", "home")).withColumn("own", F.col("component") == F.col("home")).drop("main")
-        sizes = homes.groupBy("home", "own").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select("home", "own", parts("total", "k").alias("salts"))
-        homes = homes.join(sizes, ["home", "own"]).select("node", "component", F.expr("xxhash64(home, own, pmod(xxhash64(node), salts))").alias("block"))
+        sizes = homes.groupBy("home", "own").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select("home", "own", roots("total", "k").alias("salts"))
+        homes = homes.join(sizes, ["home", "own"]).select("node", "component", "n", F.expr("xxhash64(home, own, pmod(xxhash64(node), salts))").alias("block"))
         homes = through_table(homes, "blocks")
         inside = placed.select("key", "node").join(homes, "node").groupBy("key", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         inside = through_table(inside, "inside")
         other = inside.select("key", F.col("block").alias("c2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
         meet = inside.withColumnRenamed("block", "c1").join(other, "key").where("c1 <= c2 and least(lo, lo2) <> greatest(hi, hi2)").select("c1", "c2").distinct()
-        sides = meet.select("c1", "c2", F.explode(F.expr("if(c1 = c2, array(struct(c1 as block, 0 as part)), array(struct(c1 as block, 0 as part), struct(c2 as block, 1 as part)))")).alias("x"))
-        more = links(sides.select("c1", "c2", "x.block", "x.part").join(homes, "block").drop("block"), _blocks)
+        # The smaller block of two visits the larger, in as many cells as the visitors of a block need.
+        blocks = homes.groupBy("block").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
+        one, two = (blocks.select(F.col("block").alias(c), F.struct("k", "total", "block").alias(x)) for c, x in (("c1", "x"), ("c2", "y")))
+        visits = meet.join(one, "c1").join(two, "c2").select(F.greatest("x", "y").alias("stay"), F.least("x", "y").alias("guest"))
+        visits = through_table(visits.select("stay.block", F.col("guest.block").alias("guest"), "stay.k", "stay.total", F.col("guest.k").alias("gk"), F.col("guest.total").alias("gtotal")), "visits")
+        met = visits.where("block <> guest")
+        room = met.groupBy("block", "k", "total").agg(F.sum("gk").alias("gk"), F.sum("gtotal").alias("gtotal"))
+        room = room.select("block", F.ceil(weight("gtotal", "gk") / weight("total", "k")).cast("long").alias("salts"))
+        salted = met.join(room, "block").select("block", "guest", F.expr("pmod(xxhash64(guest), salts)").alias("c2"))
+        zero = F.lit(0).alias("part")
+        sides = salted.select(F.col("block").alias("c1"), "c2", F.col("guest").alias("block"), F.lit(1).alias("part"))
+        sides = sides.unionByName(salted.select(F.col("block").alias("c1"), "c2").distinct().select("c1", "c2", F.col("c1").alias("block"), zero))
+        sides = sides.unionByName(visits.where("block = guest").select(F.col("block").alias("c1"), F.lit(-1).cast("long").alias("c2"), "block", zero))
+        more = links(sides.join(homes.drop("n"), "block").drop("block"), _blocks)
         final = linked if more.isEmpty() else cut(components(found.unionByName(more)))
-        discard(homes, inside)
+        discard(homes, inside, visits)
     discard(members, placed)
 
     placed = classes.select("s1", "s2", "n_shingles", "least", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))

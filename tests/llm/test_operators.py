@@ -212,6 +212,23 @@ def test_hyperminhash_of_large_ids_and_many_near_copies(spark):
         assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=repr) == wanted
 
 
+def test_hyperminhash_rows_sent_of_unconnected_members(spark, monkeypatch):
+    """Four times the texts that share buckets but no link: fewer rows in cells than pairs' growth of 16, and a near copy of one still found."""
+    base, sent, dealt = prose(61, 160, 5000).split(), {}, hyperminhash._dealt
+    monkeypatch.setattr(hyperminhash, "CELL_MEMBERS", 8)
+    for n in (100, 400):
+        r, counts = random.Random(n), []
+        # Sixty words of their own at the end leave a similarity of about 0.56 to one another.
+        texts = [" ".join(base + [f"x{r.randrange(10**9)}" for _ in range(60)]) for _ in range(n)]
+        texts.append(texts[n // 2] + " and more")
+        monkeypatch.setattr(hyperminhash, "_dealt", lambda rows, counts=counts: (counts.append(rows.count()), dealt(rows))[1])
+        got = by_id(hyperminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+        assert [got[i]["component_id"] for i in range(n + 1)] == [*range(n), n // 2]
+        # Members in cells come first in each pass, then those in a plausible pair.
+        sent[n] = counts[2]
+    assert sent[100] > 100 and sent[400] <= 11 * sent[100]
+
+
 def _thue_morse(a, b):
     out = a
     for _ in range(11):
