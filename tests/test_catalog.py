@@ -79,3 +79,12 @@ def test_same(spark):
 def test_html_rows(spark):
     df = spark.createDataFrame([("<table><tr><th>a</th><td> b <b>c</b></td></tr><tr><td>4,593</td></tr></table>",), (None,)], "v string")
     assert [r[0] for r in df.select(N.html_rows(df.v)).collect()] == [[["a", "b c"], ["4,593"]], None]
+
+
+def test_steps_are_made_once(spark):
+    """A step that names its value several times does not copy its expression, however many steps follow."""
+    v = F.col("v")
+    for made in (N.money(N.present(v)), N.number_value(N.present(v)), N.same("text", v, F.col("w")), N.same("date", v, F.col("w"))):
+        assert made._jc.toString().count("v") == 1
+    df = spark.createDataFrame([("007",), ("-7",), ("1,2",), ("9" * 16,), ("x",), (None,)], "v string")
+    assert [r[0] for r in df.select(N.money(df.v)).collect()] == [7, -7, 12, 10**16, None, None]
