@@ -36,13 +36,18 @@ def lookup(cells: DataFrame, dictionary: DataFrame, system: Column, code: str, c
 
 
 def item_codes(cells: DataFrame, dictionary: DataFrame, code: str, system: str = "EDI") -> DataFrame:
-    """The cells with `normal`, their item code: S and B are digits where only then the dictionary knows it."""
+    """The cells with `normal`, their item code: S and B are digits where only then the dictionary knows it, or knows it whole.
+
+    A cut-off code that both readings begin with does not tell them apart, so it does not outweigh a whole one.
+    """
     read, digits = N.item_code(N.present(F.col(code).cast("string")))
     both = cells.withColumns({"__a": read, "__b": digits})
     for form in ("__a", "__b"):
-        found = lookup(both.select(form).distinct(), dictionary, F.lit(system), form).where("known is not null").select(form, F.lit(True).alias(f"has{form}"))
+        whole = F.col("known") == N.dictionary_key(F.col(form))
+        found = lookup(both.select(form).distinct(), dictionary, F.lit(system), form).where("known is not null").select(form, whole.alias(f"whole{form}"))
         both = both.join(found, form, "left")
-    normal = F.when((F.col("__a") != F.col("__b")) & F.col("has__b") & F.col("has__a").isNull(), F.col("__b")).otherwise(F.col("__a"))
+    only = F.col("whole__b").isNotNull() & F.col("whole__a").isNull() | F.col("whole__b") & ~F.col("whole__a")
+    normal = F.when((F.col("__a") != F.col("__b")) & only, F.col("__b")).otherwise(F.col("__a"))
     return both.select(*cells.columns, normal.alias("normal"))
 
 
